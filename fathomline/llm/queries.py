@@ -4,17 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import licenses, packing, quality, sharding
 from .common import documents
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(documents(spark, sf_dir))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    return licenses.scan(documents(spark, sf_dir)).select(*cols)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir), 40)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality.score(documents(spark, sf_dir)).select(*cols, "log_perplexity", "low", "high")
 
 
 def queries():
-    return {"op9_quality": op9_quality}
+    return {f.__name__: f for f in (op5_best_fit_packing, op6_license_scan, op7_sharding, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
