@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, quality, sharding
+from . import licenses, minhash, packing, quality, sharding
 from .common import documents
 
 
@@ -26,8 +26,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir)).select(*cols, "log_perplexity", "low", "high")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(documents(spark, sf_dir))
+
+
 def queries():
-    return {f.__name__: f for f in (op5_best_fit_packing, op6_license_scan, op7_sharding, op9_quality)}
+    return {f.__name__: f for f in (op5_best_fit_packing, op6_license_scan, op7_sharding, op9_quality, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
