@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, minhash, packing, quality, sharding
+from . import licenses, minhash, mixing, packing, quality, repeats, sharding, toxicity, urls, vectors
 from .common import documents
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removals(documents(spark, sf_dir))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op3_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(documents(spark, sf_dir))
 
@@ -21,6 +37,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 40)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weigh(documents(spark, sf_dir)).select("doc_id", "source", "lang", "topic", "tokens", "chance", "drawn")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality.score(documents(spark, sf_dir)).select(*cols, "log_perplexity", "low", "high")
@@ -30,9 +50,25 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(documents(spark, sf_dir))
 
 
+_ALL = (op1_suffix_array, op2_url_filter, op3_embedding_duplicates, op4_toxicity, op5_best_fit_packing, op6_license_scan, op7_sharding, op8_mixing, op9_quality, op10_minhash)
+
+
 def queries():
-    return {f.__name__: f for f in (op5_best_fit_packing, op6_license_scan, op7_sharding, op9_quality, op10_minhash)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The list of domains here is the cascade's: in SQL it is a plain look-up."""
+    listed = ", ".join(f"('{x}')" for x in urls.LISTED)
+    op2 = f"""
+    WITH parts AS (
+        SELECT page_id, lower(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')) AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+    ), rules(verdict, h, p) AS (VALUES {", ".join(str(r) for r in urls.RULES)}), listed(h) AS (VALUES {listed}),
+    fits AS (
+        SELECT page_id, host, path, max_by(rules.h || rules.p, length(rules.h || rules.p)) AS rule, max_by(rules.verdict, length(rules.h || rules.p)) AS said
+        FROM parts LEFT JOIN rules ON (host = rules.h OR ends_with(host, '.' || rules.h)) AND starts_with(path, rules.p) GROUP BY ALL
+    )
+    SELECT page_id, host, path, rule, coalesce(said, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
+    FROM (SELECT *, EXISTS (SELECT 1 FROM listed WHERE host = listed.h OR ends_with(host, '.' || listed.h)) AS listed FROM fits)
+    """
+    return {"op2_url_filter": op2}
