@@ -1 +1 @@
-"""Spark-native observability analytics."""
+"""Scalar functions as Column expressions."""

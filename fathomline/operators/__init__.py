@@ -1 +1 @@
-"""Spark-native observability analytics."""
+"""Operators: functions from DataFrames (or Columns) to DataFrames (or Columns)."""

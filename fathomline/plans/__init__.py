@@ -1 +1 @@
-"""Spark-native observability analytics."""
+"""Registered queries, each with its oracle where SQL can express it."""

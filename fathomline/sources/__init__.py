@@ -1 +1 @@
-"""Spark-native observability analytics."""
+"""Readers, writers and adapters from the test tables."""

@@ -1 +1 @@
-"""Spark-native observability analytics."""
+"""Operators on streams."""
