@@ -21,8 +21,8 @@ from .common import LOWER, U64, Rolling, mix, steps, texts_of, words_of
 from .licenses import PARTS
 
 BUCKETS = 1 << 18
-TRAIN_ROWS, EPOCHS = 15_000, 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
+TRAIN_ROWS, EPOCHS = 20_000, 10
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.0
 THRESHOLD = 0.7
 
 _ROLL = Rolling(404)
