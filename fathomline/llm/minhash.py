@@ -3,13 +3,14 @@
 A document's set holds its distinct shingles. Two collections of SIDE minhash groups, ROWS minhashes each, are computed
 for it; every pair of a group of the first and a group of the second makes one table key, so SIDE * SIDE tables cost
 2 * SIDE * ROWS minhashes. Two sets of similarity s meet in some table with probability (1 - (1 - s**ROWS)**SIDE)**2,
-over 0.999 at 0.8.
+over 0.999 at 0.8. One bit of every minhash is kept as a sketch: two sets that differ in more bits than a link of the least
+similarity does but for a chance of 1 in 100,000 are not compared.
 
 Equal sets count as one class before anything is compared, so copies make no pairs. Groups that no other class shares
 are left out before tables are formed. In a bucket every class is held against one hub, not against all others;
-links are confirmed on full sets, and only buckets that hold more than one component after that give further pairs:
-those with one end outside the bucket's largest component, which is every pair that could still join components.
-All confirmed links then give components.
+links are confirmed on full sets. Buckets that hold more than one component after that are searched again, exactly:
+classes outside a bucket's largest component meet the others by their rarest shingles. All confirmed links then
+give components.
 
 Defined results: a null or empty text, or one without words, has an empty set and its own component; doc_id null
 is a component of its own; repeated rows share their id and so their fate; other columns are ignored by `classes`, and kept
@@ -28,12 +29,13 @@ from pyspark.sql import functions as F
 from .common import LOWER, U64, Rolling, mix, seeds, steps, stored, texts_of, words_of
 from .graphs import components
 
-SHINGLE, SIDE, ROWS = 4, 12, 3
+SHINGLE, SIDE, ROWS = 4, 20, 5
 PERCENT = 80
 
 _ROLL = Rolling(1010)
 _STEP = U64(0x9E3779B97F4A7C15)
 _HASHES = seeds(2 * SIDE * ROWS, 4242)
+SKETCH = -(-len(_HASHES) // 64)
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,15 +69,18 @@ def _signatures(k: int):
                 have = np.flatnonzero(count)
                 begin = np.concatenate([[0], np.cumsum(count[have])])[:-1]
                 groups = np.zeros((hi - lo, 2 * SIDE), U64)
+                bits = np.zeros((hi - lo, SKETCH), U64)
                 key = np.zeros(hi - lo, U64)
                 if len(have):
                     key[have] = mix(np.add.reduceat(mix(sets ^ U64(0x5851F42D4C957F2D)), begin) + count[have].astype(U64))
                     for j, h in enumerate(_HASHES):
-                        low = mix(np.minimum.reduceat(mix(sets * h), begin))
+                        low = mix(np.minimum.reduceat(sets * h, begin))  # the sets are mixed already
                         groups[have, j // ROWS] = groups[have, j // ROWS] * _STEP + low
+                        bits[have, j // 64] |= (low & U64(1)) << U64(j % 64)
                 yield pa.record_batch({
                     "doc_id": batch.column(0).slice(lo, hi - lo), "place": batch.column(2).slice(lo, hi - lo), "set": pa.array(key.view(np.int64)), "n_shingles": pa.array(count),
                     "groups": pa.FixedSizeListArray.from_arrays(pa.array(mix(groups).view(np.int64).ravel()), 2 * SIDE).cast(pa.list_(pa.int64())),
+                    "sketch": pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).ravel()), SKETCH).cast(pa.list_(pa.int64())),
                 })
 
     return run
@@ -102,40 +107,51 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text", _place().alias("place"))
-    rows = stored(texts.mapInArrow(_signatures(k), f"doc_id {kind}, place long, set long, n_shingles long, groups array<long>"), "signatures")
+    rows = stored(texts.mapInArrow(_signatures(k), f"doc_id {kind}, place long, set long, n_shingles long, groups array<long>, sketch array<long>"), "signatures")
     sets = stored(
-        rows.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("n_shingles", "place", "groups")).alias("x"))
+        rows.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("n_shingles", "place", "groups", "sketch")).alias("x"))
         .select("set", "doc_id", "x.*"), "sets")
 
-    halves = sets.select("set", "n_shingles", F.posexplode("groups").alias("i", "key"))
+    about = F.struct(F.col("n_shingles").alias("n"), "sketch").alias("about")
+    halves = sets.select("set", F.posexplode("groups").alias("i", "key"))
     common = halves.groupBy("i", "key").agg(F.count("*").alias("c")).filter("c > 1").select("i", "key")
-    live = halves.join(common, ["i", "key"]).groupBy("set").agg(F.first("n_shingles").alias("n"), F.collect_list(F.struct("i", "key")).alias("live"))  # 2 * SIDE at most
+    live = halves.join(common, ["i", "key"]).groupBy("set").agg(F.collect_list(F.struct("i", "key")).alias("live"))  # 2 * SIDE at most
     first, second = F.filter("live", lambda x: x.i < SIDE), F.filter("live", lambda x: x.i >= SIDE)
     keys = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x.i, x.key, y.i, y.key))))
-    table = stored(live.select("set", "n", F.explode(keys).alias("bucket")), "tables")
-    hubs = table.groupBy("bucket").agg(F.min("set").alias("hub"), F.count("*").alias("c"), F.min_by("n", "set").alias("m")).filter("c > 1")
-    near = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))  # noqa: E731  a similarity needs sizes as near
-    pairs = stored(table.join(hubs, "bucket").filter((F.col("set") != F.col("hub")) & near(F.col("n"), F.col("m"))).groupBy(F.col("set").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("votes")), "pairs")
+    table = stored(live.select("set", F.explode(keys).alias("bucket")).join(sets.select("set", about), "set"), "tables")
+    hubs = table.groupBy("bucket").agg(F.min("set").alias("hub"), F.count("*").alias("c"), F.min_by("about", "set").alias("of")).filter("c > 1")
+    bits, p = len(_HASHES), (1 - percent / 100) / 2
+    most = int(bits * p + 4.5 * (bits * p * (1 - p)) ** 0.5)
+
+    def near(a, b):
+        """A link needs sizes as near, and sketches."""
+        differ = sum((F.bit_count(a["sketch"][i].bitwiseXOR(b["sketch"][i])) for i in range(1, SKETCH)), F.bit_count(a["sketch"][0].bitwiseXOR(b["sketch"][0])))
+        return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & (differ <= most)
+
+    pairs = stored(table.join(hubs, "bucket").filter((F.col("set") != F.col("hub")) & near(F.col("about"), F.col("of"))).groupBy(F.col("set").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("votes")), "pairs")
 
     full: DataFrame | None = None
 
-    def confirmed(some: DataFrame, name: str) -> DataFrame:
-        """Those pairs whose whole sets are similar."""
+    def fetched(need: DataFrame, name: str) -> DataFrame:
+        """The whole sets of some classes, those so far included."""
         nonlocal full
-        ends = some.select(F.col("a").alias("set")).union(some.select(F.col("b").alias("set"))).distinct()
-        have = full.select("set") if full is not None else None
-        need = ends.join(have, "set", "left_anti") if have is not None else ends
+        need = need.join(full.select("set"), "set", "left_anti") if full is not None else need
         at = sets.join(need, "set").select("set", "place")
         new = stored(texts.join(at, "place").select("set", "text").mapInArrow(_full_sets(k), "set long, shingles array<long>"), f"full-{name}")
         full = new if full is None else full.unionByName(new)
-        both = some.join(full.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
-        inter = F.size(F.array_intersect("x", "y"))
-        return stored(both.filter(100 * inter >= percent * (F.size("x") + F.size("y") - inter)).select("a", "b"), f"links-{name}")
+        return full
+
+    def confirmed(some: DataFrame, name: str) -> DataFrame:
+        """Those pairs whose whole sets are similar."""
+        have = fetched(some.select(F.col("a").alias("set")).union(some.select(F.col("b").alias("set"))).distinct(), name)
+        both = some.join(have.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(have.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
+        both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
+        return stored(both.filter(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"), f"links-{name}")
 
     def labelled(df: DataFrame, col: str, roots: DataFrame, as_: str) -> DataFrame:
         return df.join(roots.select(F.col("node").alias(col), F.col("root").alias(as_)), col, "left").withColumn(as_, F.coalesce(as_, col))
 
-    # Best hub of each first; then all pairs that could still join two components; then the same for pairs without a hub.
+    # Best hub of each first, then all hubs in other components.
     best = stored(pairs.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b")), "best")
     links = confirmed(best, "best")
     roots = stored(components(links, "first"), "roots1")
@@ -143,26 +159,37 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     links = links.unionByName(confirmed(stored(rest, "rest"), "rest"))
     roots = stored(components(links, "second"), "roots2")
 
-    member = labelled(table.join(hubs.select("bucket", "hub"), "bucket"), "set", roots, "root")
+    # Buckets that still hold several components: every pair that could join two of them has an end outside the largest.
+    # Such classes meet the others by their rarest shingles: of two sets that share `least` shingles, each has one of the
+    # shared ones among its first size - least + 1, in any order that is the same for both (here by frequency).
+    member = labelled(table.join(hubs.select("bucket"), "bucket"), "set", roots, "root")
     tally = member.groupBy("bucket", "root").agg(F.count("*").alias("c"))
     mixed = tally.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("bucket", "main")
-    member = stored(member.join(mixed, "bucket"), "mixed")
-    few = member.filter("root <> main").select("bucket", F.col("set").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    open_ = stored(member.join(mixed, "bucket").groupBy("set").agg(F.first("root").alias("root"), F.first("about").alias("about"), F.max(F.col("root") != F.col("main")).alias("few")), "open")
+    whole = fetched(open_.select("set"), "open").join(open_.select("set"), "set").select("set", F.explode("shingles").alias("shingle"))
+    often = whole.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
+    ranked = whole.join(often, "shingle", "left").groupBy("set").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "shingle"))).alias("order"))
+    first = F.slice("order", 1, F.size("order") - F.ceil(F.size("order") * percent / 100).cast("int") + 1)
+    heads = ranked.join(open_, "set").select("set", "root", "about", "few", F.posexplode(first).alias("at", "x")).filter("x.often > 1").select("set", "root", "about", "few", "at", "x.shingle")
+    heads = stored(heads, "heads")
+    one = heads.filter("few").select("shingle", *[F.col(c).alias(f"{c}1") for c in ("set", "root", "about", "at")])
+    n1, n2 = F.col("about1.n"), F.col("about.n")
+    least = F.ceil((n1 + n2) * percent / (100 + percent))
     more = (
-        few.join(member.select("bucket", F.col("set").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), "hub"), "bucket")
-        .filter((F.col("ra") != F.col("rb")) & near(F.col("na"), F.col("nb")) & (F.col("hub") != F.col("a")) & (F.col("hub") != F.col("b")))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        one.join(heads, "shingle")
+        .filter((F.col("root1") != F.col("root")) & (F.col("at1") <= n1 - least) & (F.col("at") <= n2 - least) & near(F.col("about1"), F.col("about")))
+        .select(F.least("set", "set1").alias("a"), F.greatest("set", "set1").alias("b")).distinct()
     )
     links = links.unionByName(confirmed(stored(more, "more"), "more"))
 
     roots = components(links, "third")
     grouped = stored(labelled(sets.select("set", "doc_id"), "set", roots, "root"), "grouped")
     smallest = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    known = grouped.select("set", "root").join(smallest, "root").select("set", "component_id")
+    found = grouped.select("set", "root").join(smallest, "root").select("set", "component_id")
     # Empty sets have a key each of their own, so that they don't gather in one task.
     own = F.when(F.col("n_shingles") > 0, F.col("set")).otherwise(F.xxhash64("doc_id", "place"))
     filled = F.col("n_shingles") > 0
-    out = rows.withColumn("set", own).join(known, "set", "left").withColumn("component_id", F.when(filled, F.col("component_id")))
+    out = rows.withColumn("set", own).join(found, "set", "left").withColumn("component_id", F.when(filled, F.col("component_id")))
     component = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
