@@ -8,8 +8,9 @@ judged on the input. Only strings that can repeat reach a suffix array:
 2. Runs whose anchor gram occurs once are done. Equal runs (same text, same offsets) repeat as a whole.
 3. One run of each text is fetched and dealt out by anchor. A shard's runs are concatenated, and their suffix array
    (induced sorting) and permuted common prefixes tell which strings two different runs share.
-4. An anchor with more than HOT_RUNS different runs isn't sorted in one task: hashes of its strings are counted
-   by Spark, with partial sums in every task.
+4. An anchor with more than HOT_RUNS different runs isn't sorted in one task. Its runs are cut into cells of neighbouring
+   strings, which Spark counts by hash: equal cells repeat as a whole; cells whose common bytes no different cell has hold
+   nothing that repeats; others are cut into smaller cells, down to single strings (CELLS).
 
 Defined results: null text counts as empty; texts shorter than LENGTH lose nothing; repeated rows are copies of each
 other, so both lose what is long enough; an empty table gives an empty result; other columns are ignored by `removals`
@@ -31,6 +32,7 @@ from .suffixes import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 200
 HOT_RUNS = 256
+CELLS = (64, 16, 4, 1)
 SHARD_BYTES = 1 << 21
 
 _ROLL, _ROLL2 = Rolling(101), Rolling(202)
@@ -83,8 +85,29 @@ def _runs(length: int, gram: int, only_grams: bool):
 _RUN = "gram long, place long, first long, back int, more int, whole long"
 
 
-def _fetch(length: int):
-    """The text of cold runs, and the hashes of the strings of hot ones."""
+def cells_of(own: np.ndarray, back: int, length: int, gram: int, width: int) -> list[np.ndarray]:
+    """Cells of a run: number (counted from the anchor), first and last string, hash of the bytes all strings of the
+    number share, and hash of the cell as it is."""
+    n = len(own) - length + 1
+    shift = length - gram - back  # of the first string, on the grid that all runs of the anchor have in common
+    number = np.arange(shift // width, (shift + n - 1) // width + 1)
+    low, high = np.maximum(number * width - shift, 0), np.minimum((number + 1) * width - 1 - shift, n - 1)
+    p, q = _ROLL.prefix(own), _ROLL2.prefix(own)
+    both = lambda a, b: mix(_ROLL.ranges(p, a, b) * U64(3) + mix(_ROLL2.ranges(q, a, b)))
+    # In a cell that the run covers in part, the shared bytes are still inside each of its strings.
+    core = mix(both(np.maximum((number + 1) * width - 1 - shift, 0), np.minimum(number * width - shift + length, len(own))) + number.astype(U64))
+    inside = ((number + 1) * width - 1 - shift < len(own)) & (number * width - shift + length > 0)
+    whole = mix(both(low, high + length) + ((low + shift) * 1009 + high + shift).astype(U64))
+    return [number[inside], low[inside], high[inside], core[inside].view(np.int64), whole[inside].view(np.int64)]
+
+
+_CELL = "array<struct<cell:int,low:int,high:int,core:bigint,whole:bigint>>"
+_FETCHED = "gram long, place long, first long, text binary, " + ", ".join(f"cells{w} {_CELL}" for w in CELLS)
+
+
+def _fetch(length: int, gram: int):
+    """The text of cold runs, and the cells of hot ones."""
+    kind = pa.list_(pa.struct([("cell", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("core", pa.int64()), ("whole", pa.int64())]))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -92,22 +115,45 @@ def _fetch(length: int):
             wanted, places = batch.column("wanted"), batch.column("place").to_numpy()
             from_row = np.frombuffer(wanted.buffers()[1], np.int32)[wanted.offset : wanted.offset + len(wanted) + 1]
             items = wanted.flatten()
-            f = {n: items.field(n).to_numpy(zero_copy_only=False) for n in ("gram", "first", "more", "hot")}
+            f = {n: items.field(n).to_numpy(zero_copy_only=False) for n in ("gram", "first", "back", "more", "hot")}
             row = np.repeat(np.arange(len(places)), np.diff(from_row))
             begin = at[row] + f["first"]
             for lo in range(0, len(row), 2000):
                 part = slice(lo, lo + 2000)
                 hot = f["hot"][part]
                 text = [None if h else raw[b : b + m + length].tobytes() for h, b, m in zip(hot, begin[part], f["more"][part])]
-                hashes = [None] * len(hot)
-                for i in np.flatnonzero(hot):
-                    own = raw[begin[lo + i] : begin[lo + i] + f["more"][lo + i] + length]
-                    hashes[i] = mix(_ROLL.grams(_ROLL.prefix(own), length) * U64(3) + mix(_ROLL2.grams(_ROLL2.prefix(own), length))).view(np.int64)
-                yield pa.record_batch({"gram": pa.array(f["gram"][part]), "place": pa.array(places[row[part]]), "first": pa.array(f["first"][part]), "text": pa.array(text, pa.binary()), "hashes": pa.array(hashes, pa.list_(pa.int64()))})
+                cols = {"gram": pa.array(f["gram"][part]), "place": pa.array(places[row[part]]), "first": pa.array(f["first"][part]), "text": pa.array(text, pa.binary())}
+                for width in CELLS:
+                    found = [None] * len(hot)
+                    for i in np.flatnonzero(hot):
+                        own = raw[begin[lo + i] : begin[lo + i] + f["more"][lo + i] + length]
+                        found[i] = [dict(zip(("cell", "low", "high", "core", "whole"), map(int, x))) for x in zip(*cells_of(own, int(f["back"][lo + i]), length, gram, width))]
+                    cols[f"cells{width}"] = pa.array(found, kind)
+                yield pa.record_batch(cols)
 
     return run
 
 
+def _hot_spans(got: DataFrame, length: int) -> DataFrame:
+    """What repeats in the runs of hot anchors, from coarse cells to single strings."""
+    run, out, alive = ["gram", "place", "first"], None, None
+    for width, finer in zip(CELLS, [*CELLS[1:], 0]):
+        runs = got.select(*run, F.col(f"cells{width}").alias("cells"))
+        if alive is not None:
+            runs = runs.join(alive, run).withColumn("cells", F.filter("cells", lambda c: F.array_contains("parents", F.floor(c["cell"] / ratio).cast("int"))))
+        rows = runs.select(*run, F.explode("cells").alias("c")).select(*run, "c.*")
+        rows = stored(rows, f"cells{width}")
+        same = rows.groupBy("gram", "core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("place", "first", "cell")).alias("one"))
+        same = stored(same, f"same{width}")
+        twice = rows.join(same.filter("n > 1").select("gram", "core", "whole"), ["gram", "core", "whole"]).select("place", (F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high") + length).alias("end"))
+        out = twice if out is None else out.union(twice)
+        if finer:
+            mixed = same.groupBy("gram", "core").agg(F.count("*").alias("d")).filter("d > 1").select("gram", "core")
+            alive = same.join(mixed, ["gram", "core"]).groupBy("gram", "one.place", "one.first").agg(F.collect_set("one.cell").alias("parents"))
+            ratio = width // finer
+    return out
+
+
 def shared_strings(texts: list[bytes], length: int) -> list[np.ndarray]:
     """Starts, in each of some texts, of the length-byte strings that start more than once in all of them."""
     sizes = np.array([len(x) for x in texts])
@@ -169,15 +215,13 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     equal = rows.join(different.filter("n > 1").select(*key), key).select("place", F.col("first").alias("start"), (F.col("first") + F.col("more") + length).alias("end"))
     many = different.groupBy("gram").agg(F.count("*").alias("d")).filter("d > 1")
     wanted = (
-        different.join(many, "gram").select("one.place", F.struct("gram", "one.first", "more", (F.col("d") > HOT_RUNS).alias("hot")).alias("x"))
+        different.join(many, "gram").select("one.place", F.struct("gram", "one.first", "back", "more", (F.col("d") > HOT_RUNS).alias("hot")).alias("x"))
         .groupBy("place").agg(F.collect_list("x").alias("wanted"))  # no more than a text has runs
     )
-    got = stored(texts.join(wanted, "place").mapInArrow(_fetch(length), "gram long, place long, first long, text binary, hashes array<long>"), "fetched")
-    cold = got.filter("hashes is null").select("gram", "place", "first", "text")
+    got = stored(texts.join(wanted, "place").mapInArrow(_fetch(length, gram), _FETCHED), "fetched")
+    cold = got.filter("text is not null").select("gram", "place", "first", "text")
     cold = cold.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_shards(length, SHARD_BYTES), "place long, start long, end long")
-    hot = got.filter("hashes is not null").select("place", "first", F.posexplode("hashes").alias("i", "string"))
-    twice = hot.groupBy("string").agg(F.count("*").alias("c")).filter("c > 1").select("string")
-    hot = hot.join(twice, "string").select("place", (F.col("first") + F.col("i")).alias("start"), (F.col("first") + F.col("i") + length).alias("end"))
+    hot = _hot_spans(got.filter("text is null"), length)
     return equal.union(cold).union(hot)
 
 
