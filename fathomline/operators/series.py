@@ -117,7 +117,7 @@ def frequent(df: DataFrame, keys: list[str], least: int) -> DataFrame:
 def with_fallback(df: DataFrame, count: str, group: list[str], wanted: int = 2) -> DataFrame:
     """FLT-08: rows counted `wanted` times or more, or, in a group that has none, all."""
     top = F.max(count).over(Window.partitionBy(*group))
-    return df.filter(F.col(count) >= F.when(top >= wanted, wanted).otherwise(1))
+    return df.withColumn("_top", top).filter(F.col(count) >= F.when(F.col("_top") >= wanted, wanted).otherwise(1)).drop("_top")
 
 
 def value_audit(df: DataFrame) -> DataFrame:

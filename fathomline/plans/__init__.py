@@ -1 +1,37 @@
 """Registered queries, each with its oracle where SQL can express it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _load() -> None:
+    from . import q_detect, q_graph, q_relational, q_series, q_text  # noqa: F401
+
+
+def queries() -> dict:
+    from .registry import QUERIES
+
+    _load()
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    from .registry import ORACLES
+
+    _load()
+    return dict(ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str, eps: int = 21600) -> DataFrame:
+    """Events to anomalies, clusters in time, and ranked root causes of every cluster, in one plan."""
+    from pyspark.sql import functions as F
+
+    from ..operators import cluster, rca
+    from .registry import Tables
+
+    t = Tables(spark, sf_dir)
+    found = cluster.dbscan_1d(t.anomalies.withColumn("period", F.floor(F.col("ts") / 2592000)), eps, 3, ["period"])
+    incidents = found.filter("cluster_id >= 0").withColumn("cluster_id", F.col("period") * 100000 + F.col("cluster_id"))
+    ranked = rca.root_causes(incidents, t.topology, rca.RcaConfig(window_seconds=4 * eps))
+    return ranked.filter("rank = 1").select("cluster_id", "entity", "fault", "total", "earliest_ts", F.round("final_score", 6).alias("final_score"))

@@ -145,7 +145,7 @@ y AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN bucket_ts END IGNORE
 SELECT entity, feature, bucket_ts, round(coalesce(value, v0 + (v1 - v0) * (bucket_ts - t0) / nullif(t1 - t0, 0), v0, v1, 0.0), 6) AS filled FROM y""", "samples")
 def _(t):
     s = t.samples
-    grid = s.select("entity", "feature").distinct().select("entity", "feature", F.explode(F.sequence(F.lit(START), F.lit(START + 119 * SIZE), F.lit(SIZE))).cast("long").alias("bucket_ts"))
+    grid = s.select("entity", "feature").distinct().select("entity", "feature", F.explode(F.sequence(F.lit(START).cast("long"), F.lit(START + 119 * SIZE).cast("long"), F.lit(SIZE).cast("long"))).alias("bucket_ts"))
     return S.interpolated(grid.join(s.filter("value < 200"), ["entity", "feature", "bucket_ts"], "left")).select("entity", "feature", "bucket_ts", R("filled").alias("filled"))
 
 

@@ -17,7 +17,7 @@ def samples(t) -> DataFrame:
     """entity, feature, bucket_ts, value: mean of the events of a service and kind in six hours."""
     return (
         t.table("events").select(F.concat(F.lit("svc_"), F.col("user_id") % 12).alias("entity"), F.col("event_type").alias("feature"), (F.floor(epoch() / BUCKET) * BUCKET).alias("bucket_ts"), "value")
-        .groupBy("entity", "feature", "bucket_ts").agg(F.round(F.avg("value"), 6).alias("value"))
+        .groupBy("entity", "feature", "bucket_ts").agg(F.round(F.avg("value"), 3).alias("value"))
     )
 
 
@@ -66,6 +66,21 @@ def scores(t) -> DataFrame:
     return d.select(F.concat(F.lit("m_"), F.col("doc_id") % 5).alias("entity"), F.col("doc_id").alias("idx"), (F.col("n_chars") % 997).cast("double").alias("score"), F.when(F.floor(F.col("doc_id") / 20) % 3 == 0, 1).otherwise(0).alias("label"))
 
 
+EPS, MIN_SAMPLES, PERIOD = 7200, 3, 2592000
+
+
+def clustered(t) -> DataFrame:
+    """anomalies with their cluster in time, over periods of 30 days."""
+    from ..operators.cluster import dbscan_1d
+
+    return dbscan_1d(anomalies(t).withColumn("period", F.floor(F.col("ts") / PERIOD)), EPS, MIN_SAMPLES, ["period"]).withColumn("cluster_id", F.when(F.col("cluster_id") >= 0, F.col("period") * 100000 + F.col("cluster_id")).otherwise(-1))
+
+
+def incidents(t) -> DataFrame:
+    """clustered without noise."""
+    return clustered(t).filter("cluster_id >= 0")
+
+
 def vectors(t) -> DataFrame:
     """id, label, x: the first embeddings, as doubles rounded to 4 places."""
     return t.table("embeddings").filter("vec_id < 40").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda v: F.round(v.cast("double"), 4)).alias("x"))
@@ -74,12 +89,31 @@ def vectors(t) -> DataFrame:
 #: name: (adapters it needs, SQL)
 SQL = {
     "points": ("", "SELECT event_id, 'svc_' || (user_id % 12) AS entity, event_type AS feature, CAST(floor(epoch(ts)) AS BIGINT) AS ts, value FROM events"),
-    "samples": ("", f"SELECT 'svc_' || (user_id % 12) AS entity, event_type AS feature, CAST(floor(floor(epoch(ts)) / {BUCKET}) * {BUCKET} AS BIGINT) AS bucket_ts, round(avg(value), 6) AS value FROM events GROUP BY ALL"),
+    "samples": ("", f"SELECT 'svc_' || (user_id % 12) AS entity, event_type AS feature, CAST(floor(floor(epoch(ts)) / {BUCKET}) * {BUCKET} AS BIGINT) AS bucket_ts, round(avg(value), 3) AS value FROM events GROUP BY ALL"),
     "anomalies": ("points", "SELECT ts, CASE WHEN feature IN ('error', 'click') THEN 'metric' WHEN feature = 'view' THEN 'trace' ELSE 'log' END AS type, entity, feature AS attribute, CAST(event_id AS VARCHAR) AS raw FROM points JOIN (SELECT entity, feature, round(quantile_cont(value, 0.99), 6) AS high FROM points GROUP BY ALL) USING (entity, feature) WHERE value > high"),
     "faults": ("", "SELECT o_orderkey AS fault_id, o_orderpriority AS level, o_orderstatus AS reason, 'node_' || (o_custkey % 7) AS component, CAST(1704067200 + o_orderkey * 7919 % 2592000 AS BIGINT) AS ts FROM orders WHERE o_orderkey % 97 = 0"),
     "spans": ("", "SELECT trace_id, event_id AS span_id, lag(event_id) OVER (PARTITION BY trace_id ORDER BY s, event_id) AS parent_id, cmdb_id FROM (SELECT concat_ws(':', user_id, CAST(floor(s / 86400) AS BIGINT)) AS trace_id, * FROM (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, event_type || '_' || (event_id % 3) AS cmdb_id FROM events))"),
     "edges": ("spans", "SELECT DISTINCT p.cmdb_id AS src, c.cmdb_id AS dst FROM spans p JOIN spans c ON p.span_id = c.parent_id AND p.trace_id = c.trace_id WHERE p.cmdb_id <> c.cmdb_id AND p.cmdb_id < 'signup'"),
     "topology": ("", "SELECT DISTINCT * FROM (SELECT 'svc_' || (n_nationkey % 12) AS src, 'svc_' || ((n_nationkey * 5 + n_nationkey // 12 + 1) % 12) AS dst FROM nation) WHERE src <> dst"),
     "scores": ("", "SELECT 'm_' || (doc_id % 5) AS entity, doc_id AS idx, CAST(n_chars % 997 AS DOUBLE) AS score, CASE WHEN CAST(floor(doc_id / 20) AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS label FROM documents JOIN labels USING (doc_id)"),
-    "vectors": ("", "SELECT vec_id AS id, label, list_transform(embedding, v -> round(CAST(v AS DOUBLE), 4)) AS x FROM embeddings WHERE vec_id < 40"),
+    "clustered": ("anomalies", f"""SELECT ts, type, entity, attribute, raw, period, CASE WHEN coalesce(id, near) IS NULL THEN -1 ELSE CAST(period * 100000 + coalesce(id, near) AS BIGINT) END AS cluster_id FROM (SELECT *, min(id) OVER (PARTITION BY period ORDER BY ts RANGE BETWEEN {EPS} PRECEDING AND {EPS} FOLLOWING) AS near FROM (SELECT *, CASE WHEN core THEN sum(fresh) OVER (PARTITION BY period ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 END AS id FROM (
+        SELECT *, CASE WHEN core AND (prev IS NULL OR ts - prev > {EPS}) AND coalesce(lag(ts) OVER (PARTITION BY period ORDER BY ts) < ts, true) THEN 1 ELSE 0 END AS fresh FROM (SELECT *, max(CASE WHEN core THEN ts END) OVER (PARTITION BY period ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM (
+        SELECT *, count(*) OVER (PARTITION BY period ORDER BY ts RANGE BETWEEN {EPS} PRECEDING AND {EPS} FOLLOWING) >= {MIN_SAMPLES} AS core FROM (SELECT *, CAST(floor(ts / {PERIOD}) AS BIGINT) AS period FROM anomalies))))))"""),
+    "incidents": ("clustered", "SELECT * FROM clustered WHERE cluster_id >= 0"),
+    "reach": ("topology", "SELECT DISTINCT src, dst FROM (WITH RECURSIVE w(src, dst) AS (SELECT src, dst FROM topology UNION SELECT w.src, t.dst FROM w JOIN topology t ON w.dst = t.src) SELECT * FROM w) WHERE src <> dst"),
+    "degree": ("topology", "SELECT entity, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS entity, 0 AS i, 1 AS o FROM topology UNION ALL SELECT dst, 1, 0 FROM topology) GROUP BY 1"),
+    "found": ("incidents", """SELECT cluster_id, entity, total, earliest_ts, fault FROM (SELECT *, max(total) OVER (PARTITION BY cluster_id) AS top FROM (SELECT cluster_id, entity, CAST(sum(n) AS BIGINT) AS total, min(t) AS earliest_ts, arg_max(attribute, (n, -t, attribute)) AS fault FROM (
+        SELECT cluster_id, entity, attribute, count(*) AS n, min(ts) AS t FROM (SELECT i.*, s.t0 FROM incidents i JOIN (SELECT cluster_id, k[least(3, len(k))] AS t0 FROM (SELECT cluster_id, list_sort(list(DISTINCT ts)) AS k FROM incidents GROUP BY 1)) s USING (cluster_id)) WHERE ts <= t0 + 28800 GROUP BY ALL) GROUP BY ALL)) WHERE total >= CASE WHEN top >= 2 THEN 2 ELSE 1 END"""),
+    "enriched": ("found reach degree", "SELECT f.*, coalesce(d.in_degree, 0) AS in_degree, coalesce(d.out_degree, 0) AS out_degree, CASE WHEN d.in_degree IS NULL THEN 0 ELSE (SELECT count(*) FROM reach r JOIN found g ON g.cluster_id = f.cluster_id AND g.entity = r.dst WHERE r.src = f.entity) + 1 END AS reachable FROM found f LEFT JOIN degree d USING (entity)"),
+    "kg": ("incidents topology", """SELECT cluster_id, 'HAS_ANOMALY' AS type, 'entity:' || entity AS src, 'attribute:' || entity || '/' || attribute AS dst, ts FROM incidents
+        UNION ALL SELECT DISTINCT cluster_id, 'HAS_ATTRIBUTE', 'entity:' || entity, 'attribute:' || entity || '/' || attribute, CAST(NULL AS BIGINT) FROM incidents
+        UNION ALL SELECT DISTINCT cluster_id, 'MAPS_TO_FAULT', 'attribute:' || entity || '/' || attribute, 'fault:' || type, CAST(NULL AS BIGINT) FROM incidents
+        UNION ALL SELECT a.cluster_id, 'TOPOLOGY_DEPENDS_ON', 'entity:' || src, 'entity:' || dst, CAST(NULL AS BIGINT) FROM topology JOIN (SELECT DISTINCT cluster_id, entity FROM incidents) a ON a.entity = src JOIN (SELECT DISTINCT cluster_id, entity FROM incidents) b ON b.entity = dst AND b.cluster_id = a.cluster_id"""),
+    "near": ("kg", "SELECT DISTINCT cluster_id, a AS id, b AS other FROM (SELECT cluster_id, src AS a, dst AS b FROM kg WHERE type = 'TOPOLOGY_DEPENDS_ON' UNION ALL SELECT cluster_id, dst, src FROM kg WHERE type = 'TOPOLOGY_DEPENDS_ON')"),
+    "kgf": ("kg near", """SELECT b.*, coalesce(n.neighbours, 0) AS neighbours FROM (SELECT h.cluster_id, h.src AS id, count(*) AS anomalies, min(h.ts) AS first_ts, max(h.ts) AS last_ts, round(sum(CASE substr(m.dst, 7) WHEN 'metric' THEN 0.6::DOUBLE WHEN 'trace' THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END), 6) AS severity, list_sort(list(DISTINCT substr(m.dst, 7))) AS faults
+        FROM kg h JOIN kg m ON m.type = 'MAPS_TO_FAULT' AND m.cluster_id = h.cluster_id AND m.src = h.dst WHERE h.type = 'HAS_ANOMALY' GROUP BY ALL) b LEFT JOIN (SELECT cluster_id, id, count(*) AS neighbours FROM near GROUP BY ALL) n USING (cluster_id, id)"""),
+    "paths": ("kg near", """SELECT cluster_id, min(source) AS source, target, ts FROM (SELECT o.cluster_id, p.src AS source, o.src AS target, o.ts FROM (SELECT o.*, t.before FROM (SELECT DISTINCT cluster_id, src, ts FROM kg WHERE type = 'HAS_ANOMALY') o JOIN (SELECT cluster_id, ts, lag(ts) OVER (PARTITION BY cluster_id ORDER BY ts) AS before FROM (SELECT DISTINCT cluster_id, ts FROM kg WHERE type = 'HAS_ANOMALY')) t USING (cluster_id, ts)) o
+        JOIN near n ON n.cluster_id = o.cluster_id AND n.id = o.src JOIN (SELECT DISTINCT cluster_id, src, ts FROM kg WHERE type = 'HAS_ANOMALY') p ON p.cluster_id = o.cluster_id AND p.ts = o.before AND p.src = n.other
+        WHERE NOT EXISTS (SELECT 1 FROM kg q WHERE q.type = 'HAS_ANOMALY' AND q.cluster_id = o.cluster_id AND q.src = o.src AND q.ts = o.before)) GROUP BY cluster_id, target, ts"""),
+    "vectors": ("", "SELECT vec_id AS id, label, list_transform(embedding, lambda v: round(CAST(v AS DOUBLE), 4)) AS x FROM embeddings WHERE vec_id < 40"),
 }
