@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _load() -> None:
-    from . import q_detect, q_graph, q_relational, q_series, q_text  # noqa: F401
+    from . import q_detect, q_graph, q_io, q_models, q_relational, q_series, q_text  # noqa: F401
 
 
 def queries() -> dict:

@@ -400,7 +400,7 @@ def _(t):
     return n.groupBy("cluster_id").agg(F.max_by("entity", F.struct("n", (-F.col("t")).alias("t"), "entity")).alias("entity"), F.sum("n").alias("total"))
 
 
-@query("rca_20_layer_impact", "SELECT cluster_id, layer, n, round(n * CASE layer WHEN 'metric' THEN 0.9 WHEN 'trace' THEN 0.8 ELSE 0.5 END, 6) AS impact FROM (SELECT cluster_id, type AS layer, count(*) AS n FROM incidents GROUP BY ALL)", "incidents")
+@query("rca_20_layer_impact", "SELECT cluster_id, layer, n, round(n * CASE layer WHEN 'metric' THEN 0.9::DOUBLE WHEN 'trace' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END, 6) AS impact FROM (SELECT cluster_id, type AS layer, count(*) AS n FROM incidents GROUP BY ALL)", "incidents")
 def _(t):
     w = t.spark.createDataFrame([("metric", 0.9), ("trace", 0.8), ("log", 0.5)], "layer string, w double")
     return t.incidents.groupBy("cluster_id", F.col("type").alias("layer")).agg(F.count("*").alias("n")).join(F.broadcast(w), "layer").select("cluster_id", "layer", "n", R(F.col("n") * F.col("w")).alias("impact"))
@@ -411,9 +411,9 @@ def _(t):
     return A.condensed(t.incidents)
 
 
-@query("rca_22_normalised_scores", "SELECT entity, feature, bucket_ts, round(coalesce(greatest(value - 60, 0) / nullif(sum(greatest(value - 60, 0)) OVER (PARTITION BY entity, bucket_ts), 0), 1.0 / count(*) OVER (PARTITION BY entity, bucket_ts)), 5) AS score FROM samples", "samples")
+@query("rca_22_normalised_scores", "SELECT entity, feature, bucket_ts, round(coalesce(greatest(round(value - 60, 3), 0) / nullif(sum(greatest(round(value - 60, 3), 0)) OVER (PARTITION BY entity, bucket_ts), 0), 1.0 / count(*) OVER (PARTITION BY entity, bucket_ts)), 4) AS score FROM samples", "samples")
 def _(t):
-    return A.normalised(t.samples.withColumn("raw", F.col("value") - 60), ["entity", "bucket_ts"], "raw").select("entity", "feature", "bucket_ts", R("score", 5).alias("score"))
+    return A.normalised(t.samples.withColumn("raw", F.round(F.col("value") - 60, 3)), ["entity", "bucket_ts"], "raw").select("entity", "feature", "bucket_ts", R("score", 4).alias("score"))
 
 
 @query("rca_23_entity_beam")
