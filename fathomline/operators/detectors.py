@@ -40,12 +40,15 @@ class RollingMean:
 
 
 class RollingGaussian(RollingMean):
-    """Negative log likelihood under the mean and deviation of the rows before (stand-in for a likelihood score)."""
+    """Negative log likelihood under the mean and deviation of the rows before, if there are LEAST of them, else 0."""
+
+    LEAST = 4
 
     def score(self, series, model=None):
-        m, s = F.avg("value").over(_w(self.width)), F.greatest(F.stddev_pop("value").over(_w(self.width)), F.lit(1e-3))
+        w = _w(self.width)
+        m, s = F.avg("value").over(w), F.greatest(F.stddev_pop("value").over(w), F.lit(1e-3))
         z = (F.col("value") - m) / s
-        return series.withColumn("score", F.coalesce(0.5 * z * z + F.log(s) + 0.9189385332046727, F.lit(0.0)))
+        return series.withColumn("score", F.when(F.count("*").over(w) >= self.LEAST, 0.5 * z * z + F.log(s) + 0.9189385332046727).otherwise(0.0))
 
 
 class SeasonalNaive:

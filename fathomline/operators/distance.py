@@ -141,7 +141,8 @@ def inverse_weights(df: DataFrame, value: str = "c") -> DataFrame:
 
 
 def feature_correlations(df: DataFrame) -> DataFrame:
-    """CLU-19: correlation of each pair of features within an entity."""
+    """CLU-19: correlation of each pair of features within an entity; null with under three rows or a constant feature."""
     a = df.select("entity", F.col("feature").alias("fa"), "bucket_ts", F.col("value").alias("va"))
     b = df.select("entity", F.col("feature").alias("fb"), "bucket_ts", F.col("value").alias("vb"))
-    return a.join(b, ["entity", "bucket_ts"]).filter("fa < fb").groupBy("entity", "fa", "fb").agg(F.corr("va", "vb").alias("r"))
+    return a.join(b, ["entity", "bucket_ts"]).filter("fa < fb").groupBy("entity", "fa", "fb").agg(
+        F.when((F.count("*") >= 3) & (F.stddev_pop("va") > 1e-9) & (F.stddev_pop("vb") > 1e-9), F.corr("va", "vb")).alias("r"))

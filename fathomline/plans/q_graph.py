@@ -155,7 +155,7 @@ def _(t):
     return D.inverse_weights(t.samples.filter("value > 1"), "value").withColumn("w", R("w"))
 
 
-@query("clu_19_feature_correlations", "SELECT a.entity, a.feature AS fa, b.feature AS fb, round(corr(a.value, b.value), 6) AS r FROM samples a JOIN samples b ON a.entity = b.entity AND a.bucket_ts = b.bucket_ts AND a.feature < b.feature GROUP BY ALL", "samples")
+@query("clu_19_feature_correlations", "SELECT a.entity, a.feature AS fa, b.feature AS fb, CASE WHEN count(*) >= 3 AND stddev_pop(a.value) > 1e-9 AND stddev_pop(b.value) > 1e-9 THEN round(corr(a.value, b.value), 6) END AS r FROM samples a JOIN samples b ON a.entity = b.entity AND a.bucket_ts = b.bucket_ts AND a.feature < b.feature GROUP BY ALL", "samples")
 def _(t):
     return D.feature_correlations(t.samples).withColumn("r", R("r"))
 

@@ -128,11 +128,11 @@ def _(t):
     return g.select("cluster_id", F.regexp_count("value", F.lit('<node id="entity:')).cast("long").alias("entities"))
 
 
-@query("snk_08_csv_table", "SELECT entity, feature, round(avg(value), 5) AS mean FROM samples GROUP BY ALL", "samples")
+@query("snk_08_csv_table", "SELECT entity, feature, round(sum(value), 3) AS total FROM samples GROUP BY ALL", "samples")
 def _(t):
     p = _path(t, "table")
-    sinks.write_csv(t.samples.groupBy("entity", "feature").agg(F.round(F.avg("value"), 5).alias("mean")), p)
-    return readers.csv(t.spark, p, "entity string, feature string, mean double")
+    sinks.write_csv(t.samples.groupBy("entity", "feature").agg(F.round(F.sum("value"), 3).alias("total")), p)
+    return readers.csv(t.spark, p, "entity string, feature string, total double")
 
 
 @query("snk_09_cluster_json", "SELECT label AS cluster, count(*) AS members FROM vectors GROUP BY 1", "vectors")

@@ -65,12 +65,12 @@ def _(t):
     return d.score(t.samples).withColumn("score", R("score", 4))
 
 
-@query("det_14b_rolling_likelihood", f"SELECT entity, feature, bucket_ts, round(coalesce(0.5 * ((value - m) / s) ** 2 + ln(s) + 0.9189385332046727, 0), 4) AS score FROM (SELECT *, avg(value) OVER {_P} AS m, CASE WHEN count(*) OVER {_P} > 0 THEN greatest(stddev_pop(value) OVER {_P}, 0.001) END AS s FROM samples) WHERE s > 0.01 OR s IS NULL", "samples")
+@query("det_14b_rolling_likelihood", f"SELECT entity, feature, bucket_ts, round(coalesce(0.5 * ((value - m) / s) ** 2 + ln(s) + 0.9189385332046727, 0), 4) AS score FROM (SELECT *, avg(value) OVER {_P} AS m, CASE WHEN count(*) OVER {_P} >= 4 THEN greatest(stddev_pop(value) OVER {_P}, 0.001) END AS s FROM samples) WHERE s > 0.01 OR s IS NULL", "samples")
 def _(t):
     from pyspark.sql import Window
 
     w = Window.partitionBy("entity", "feature").orderBy("bucket_ts").rowsBetween(-12, -1)
-    out = M.detector("rolling_gaussian").score(t.samples).withColumn("s", F.stddev_pop("value").over(w))
+    out = M.detector("rolling_gaussian").score(t.samples).withColumn("s", F.when(F.count("*").over(w) >= 4, F.stddev_pop("value").over(w)))
     return out.filter("s > 0.01 or s is null").select("entity", "feature", "bucket_ts", R("score", 4).alias("score"))
 
 
