@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step holds; a longer single text is one step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
+#: Rows in an Arrow batch at most: whole texts pass to Python workers, so a batch should hold few.
+BATCH_ROWS = 2000
 
 U64 = np.uint64
 _MUL1, _MUL2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -34,6 +38,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps a session's Arrow batches to BATCH_ROWS, so that a worker's memory doesn't depend on how long texts are on average."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function of batches that gives memory back to the system as a task ends, since workers live on between tasks."""
+
+    @functools.wraps(run, assigned=("__doc__",), updated=())
+    def out(rows):
+        try:
+            yield from run(rows)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, mix, steps, texts_of, words_of
+from .common import LOWER, Rolling, mix, small_batches, steps, texts_of, trimmed, words_of
 
 GRAM, NEIGHBOUR, COVER = 3, 3, 0.75
 
@@ -114,8 +114,9 @@ def templates(spark) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and the verified spans."""
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    read = docs.select("doc_id", "text").mapInArrow(_scan, f"row long, doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base array<string>, grams array<long>")
+    read = docs.select("doc_id", "text").mapInArrow(trimmed(_scan), f"row long, doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base array<string>, grams array<long>")
     own = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base"]
     # The -1 stands for the document itself, so that its row lives on without votes.
     grams = read.select(*own, F.posexplode(F.concat(F.array(F.lit(0).cast("long")), F.col("grams"))).alias("p", "gram")).withColumn("p", F.col("p") - 1)

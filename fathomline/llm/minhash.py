@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Rolling, mix, seeds, steps, stored, texts_of, words_of
+from .common import LOWER, U64, Rolling, mix, seeds, small_batches, steps, stored, texts_of, trimmed, words_of
 from .graphs import components
 
 SHINGLE, SIDE, ROWS = 4, 20, 5
@@ -105,9 +105,10 @@ def _place():
 
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text", _place().alias("place"))
-    rows = stored(texts.mapInArrow(_signatures(k), f"doc_id {kind}, place long, set long, n_shingles long, groups array<long>, sketch array<long>"), "signatures")
+    rows = stored(texts.mapInArrow(trimmed(_signatures(k)), f"doc_id {kind}, place long, set long, n_shingles long, groups array<long>, sketch array<long>"), "signatures")
     sets = stored(
         rows.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("n_shingles", "place", "groups", "sketch")).alias("x"))
         .select("set", "doc_id", "x.*"), "sets")
@@ -137,7 +138,7 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
         nonlocal full
         need = need.join(full.select("set"), "set", "left_anti") if full is not None else need
         at = sets.join(need, "set").select("set", "place")
-        new = stored(texts.join(at, "place").select("set", "text").mapInArrow(_full_sets(k), "set long, shingles array<long>"), f"full-{name}")
+        new = stored(texts.join(at, "place").select("set", "text").mapInArrow(trimmed(_full_sets(k)), "set long, shingles array<long>"), f"full-{name}")
         full = new if full is None else full.unionByName(new)
         return full
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored, trimmed
 
 CAPACITY = 2048
 END_ID = 0
@@ -72,6 +72,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[int]:
 def pieces(docs: DataFrame, tokenizer: tuple[str, str] | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and a random but repeatable `deal`."""
     files = tokenizer or default_tokens()
+    small_batches(docs.sparkSession)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(*files)
@@ -86,7 +87,7 @@ def pieces(docs: DataFrame, tokenizer: tuple[str, str] | None = None, capacity:
             yield pa.record_batch({"doc_id": batch.column(0).take(pa.array(cols[:, 0])), **{c: pa.array(cols[:, i].astype(np.int32) if i == 1 else cols[:, i]) for i, c in ((1, "piece"), (2, "start"), (3, "length"), (4, "ids_crc32"))}})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, mix, steps, stored, texts_of
+from .common import U64, Rolling, mix, small_batches, steps, stored, texts_of, trimmed
 from .suffixes import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 200
 HOT_RUNS = 256
 CELLS = (64, 16, 4, 1)
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 3 << 19
 
 _ROLL, _ROLL2 = Rolling(101), Rolling(202)
 
@@ -207,9 +207,10 @@ def _place():
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """place, start, end of repeated strings; they may overlap."""
+    small_batches(docs.sparkSession)
     texts = docs.select(_place().alias("place"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= length)
-    common = texts.mapInArrow(_runs(length, gram, True), "gram long").groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
-    rows = stored(texts.mapInArrow(_runs(length, gram, False), _RUN).join(common, "gram"), "runs")
+    common = texts.mapInArrow(trimmed(_runs(length, gram, True)), "gram long").groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
+    rows = stored(texts.mapInArrow(trimmed(_runs(length, gram, False)), _RUN).join(common, "gram"), "runs")
     key = ["gram", "back", "more", "whole"]
     different = stored(rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("place", "first")).alias("one")), "different")
     equal = rows.join(different.filter("n > 1").select(*key), key).select("place", F.col("first").alias("start"), (F.col("first") + F.col("more") + length).alias("end"))
@@ -218,9 +219,9 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         different.join(many, "gram").select("one.place", F.struct("gram", "one.first", "back", "more", (F.col("d") > HOT_RUNS).alias("hot")).alias("x"))
         .groupBy("place").agg(F.collect_list("x").alias("wanted"))  # no more than a text has runs
     )
-    got = stored(texts.join(wanted, "place").mapInArrow(_fetch(length, gram), _FETCHED), "fetched")
+    got = stored(texts.join(wanted, "place").mapInArrow(trimmed(_fetch(length, gram)), _FETCHED), "fetched")
     cold = got.filter("text is not null").select("gram", "place", "first", "text")
-    cold = cold.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_shards(length, SHARD_BYTES), "place long, start long, end long")
+    cold = cold.repartition("gram").sortWithinPartitions("gram").mapInArrow(trimmed(_sorted_shards(length, SHARD_BYTES)), "place long, start long, end long")
     hot = _hot_spans(got.filter("text is null"), length)
     return equal.union(cold).union(hot)
 
@@ -253,7 +254,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     found = stored(spans(docs, length, gram), "spans").groupBy("place").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = docs.select("doc_id", "text", _place().alias("place")).join(found, "place", "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(lambda rows: _cut(rows, False), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.mapInArrow(trimmed(lambda rows: _cut(rows, False)), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -263,6 +264,6 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     found = stored(spans(docs, length, gram), "spans").groupBy("place").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     rest = [c for c in docs.columns if c != "text"]
     both = docs.select(F.struct(*rest).alias("given"), "text", _place().alias("place")).join(found, "place", "left").select("given", "text", "spans")
-    out = both.mapInArrow(lambda rows: _cut(rows, True), StructType([StructField("given", StructType([docs.schema[c] for c in rest])), StructField("text", StringType())]))
+    out = both.mapInArrow(trimmed(lambda rows: _cut(rows, True)), StructType([StructField("given", StructType([docs.schema[c] for c in rest])), StructField("text", StringType())]))
     cols = {c: F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("given")[c] for c in docs.columns}
     return out.select(*[x.alias(c) for c, x in cols.items()])

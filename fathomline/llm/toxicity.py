@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Rolling, mix, steps, texts_of, words_of
+from .common import LOWER, U64, Rolling, mix, small_batches, steps, texts_of, trimmed, words_of
 from .licenses import PARTS
 
 BUCKETS = 1 << 18
@@ -93,9 +93,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
     use = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic"), F.xxhash64("doc_id").alias("turn"))
     share = min(1.0, train_rows / max(1, use.count()))
     use = use.filter(F.pmod("turn", F.lit(1 << 30)) < int(share * (1 << 30)))
-    lists = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").select("text", "toxic", "turn").mapInArrow(_lists, "toxic int, turn long, features array<int>")
+    lists = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").select("text", "toxic", "turn").mapInArrow(trimmed(_lists), "toxic int, turn long, features array<int>")
     weights, bias = np.zeros(BUCKETS), 0.0
-    for r in lists.repartition(1).mapInArrow(_fit, "bucket int, weight double").collect():  # BUCKETS + 1 rows at most
+    for r in lists.repartition(1).mapInArrow(trimmed(_fit), "bucket int, weight double").collect():  # BUCKETS + 1 rows at most
         if r["bucket"] == BUCKETS:
             bias = r["weight"]
         else:
@@ -120,10 +120,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
+    small_batches(docs.sparkSession)
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
