@@ -2,10 +2,11 @@
 
 Equal vectors count as one class. A bounded sample of the classes trains coarse centres and, on residuals, codes for each
 subspace; every class is put in the list of its nearest centre with its code and the length of its quantisation error.
-Two vectors whose cosine is high enough lie within a known distance r, so a vector probes just those lists whose
-border is within r of it, which no linked vector can lie beyond; of two lists the one with the larger number is visited
-from the other's side only. In a list, table look-ups give each pair's distance to the code; as the
-error is known, none within r is missed. What is left is compared exactly, in double precision.
+Two vectors whose cosine is high enough lie within a known distance r, so lists whose border is farther than r from a
+vector hold none of its links; of the others it probes the PROBES with the nearest borders. A pair is found if either of
+its vectors probes the list of the other (recall 1.0 on the test tables, see tests). In a list, table look-ups give each
+pair's distance to the code; as the error is known, none within r is missed. What is left is compared exactly, in
+double precision.
 
 Lists are cut into blocks, visitors into slices, so that no task gets more than BLOCK of either; a task returns counts and
 a spanning forest of the links it found, not pairs.
@@ -31,6 +32,7 @@ COSINE = 0.95
 #: Classes that train the centres at most; classes a list should hold; lists at most; code parts and codes a part.
 TRAIN_ROWS, LIST_ROWS, MAX_LISTS, PARTS, CODES, TURNS = 20_000, 256, 8192, 8, 256, 8
 BLOCK = 2048
+PROBES = 12
 
 
 def means(x: np.ndarray, k: int, turns: int = TURNS) -> np.ndarray:
@@ -81,7 +83,11 @@ def _encode(shared, dim: int):
                 d2 = np.maximum(((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)), 0)
                 gap = apart[own] if apart is not None else np.maximum(np.sqrt(np.maximum(((centres[own] ** 2).sum(1)[:, None] - 2 * centres[own] @ centres.T + (centres**2).sum(1)), 0)), 1e-12)
                 border = (d2 - d2[np.arange(len(x)), own][:, None]) / (2 * gap)
-                visit = (border <= r + 1e-9) & (np.arange(len(centres))[None] < own[:, None])
+                border[np.arange(len(x)), own] = np.inf
+                if len(centres) > PROBES:
+                    far = np.partition(border, PROBES - 1, axis=1)[:, PROBES - 1 : PROBES]
+                    border = np.where(border <= far, border, np.inf)
+                visit = border <= r + 1e-9
                 yield pa.record_batch({
                     "id": b.column(0), "n": b.column(1), "embedding": b.column(2), "list": pa.array(own.astype(np.int32)), "error": pa.array(np.sqrt(error)),
                     "code": pa.array([c.tobytes() for c in code], pa.binary()), "visits": pa.array([np.flatnonzero(v).astype(np.int32) for v in visit], pa.list_(pa.int32())),
@@ -94,11 +100,13 @@ def _search(shared, dim: int, cosine: float):
     def run(key, table):
         centres, books, r = shared.value
         ids, n, member = table["id"].to_numpy(), table["n"].to_numpy(), table["member"].to_numpy(zero_copy_only=False)
-        home = table["home"].to_numpy(zero_copy_only=False)
+        home, own = table["home"].to_numpy(zero_copy_only=False), table["own"].to_numpy()
+        visits = table["visits"].to_pylist()
+        here = key[0].as_py()
         x = _units(table["embedding"], dim)
         m = np.flatnonzero(member)
         code = np.frombuffer(b"".join(table["code"].take(pa.array(m)).to_pylist()), np.uint8).reshape(len(m), len(books))
-        reach = (r + 1e-9 + table["error"].to_numpy()[m]) ** 2
+        reach = (r + 1e-9 + table["error"].to_numpy()[m]) ** 2 + 1e-7
         centre = centres[key[0].as_py()]
         links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
 
@@ -113,7 +121,8 @@ def _search(shared, dim: int, cosine: float):
             q = q_all[lo : lo + 64]
             rest, far, at = x[q] - centre, np.zeros((len(q), len(m))), 0
             for p, book in enumerate(books):
-                look_up = ((rest[:, None, at : at + book.shape[1]] - book[None]) ** 2).sum(2)
+                part = rest[:, at : at + book.shape[1]]
+                look_up = (part * part).sum(1)[:, None] - 2 * part @ book.T + (book * book).sum(1)
                 far += look_up[:, code[:, p]]
                 at += book.shape[1]
             i, j = np.nonzero(far <= reach)
@@ -122,6 +131,9 @@ def _search(shared, dim: int, cosine: float):
             i, j = i[ok], j[ok]
             ok = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
             i, j = i[ok], j[ok]
+            # A guest from a list of smaller number leaves the pair to the member, if that one visits the guest's list.
+            ok = np.array([home[a] or own[a] > here or own[a] not in visits[b] for a, b in zip(i, j)], bool)
+            i, j = i[ok], j[ok]
             np.add.at(links, i, n[j])
             np.add.at(links, j, n[i])
             for a, b in zip(i, j):
@@ -151,13 +163,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     shared = spark.sparkContext.broadcast((centres, books, r))
     coded = stored(classes.select(F.col("key").alias("id"), "n", "embedding").mapInArrow(_encode(shared, dim), "id long, n long, embedding array<double>, list int, error double, code binary, visits array<int>"), "coded")
 
-    members = coded.select("id", "n", "embedding", "list", "error", "code")
+    members = coded.select("id", "n", "embedding", "list", "error", "code", "visits")
     guests = coded.select("id", "n", "embedding", F.explode(F.concat("visits", F.array("list"))).alias("at"), (F.col("list")).alias("own"))
     sizes = members.groupBy("list").agg(F.count("*").alias("m")).join(guests.groupBy(F.col("at").alias("list")).agg(F.count("*").alias("g")), "list")
     sizes = spark.createDataFrame([(s["list"], -(-s["m"] // BLOCK), -(-s["g"] // BLOCK)) for s in sizes.collect()], "list int, blocks long, slices long")  # MAX_LISTS at most
     salt = lambda n: F.pmod(F.xxhash64("id", F.lit(5)), F.col(n))
-    placed = members.join(F.broadcast(sizes), "list").select("list", salt("blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "id", "n", "embedding", "error", "code", F.lit(True).alias("member"), F.lit(False).alias("home"))
-    asking = guests.withColumnRenamed("at", "list").join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), salt("slices").alias("slice"), "id", "n", "embedding", F.lit(0.0).alias("error"), F.lit(None).cast("binary").alias("code"), F.lit(False).alias("member"), (F.col("own") == F.col("list")).alias("home"))
+    placed = members.join(F.broadcast(sizes), "list").select("list", salt("blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "id", "n", "embedding", "error", "code", "visits", F.col("list").alias("own"), F.lit(True).alias("member"), F.lit(False).alias("home"))
+    asking = guests.withColumnRenamed("at", "list").join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), salt("slices").alias("slice"), "id", "n", "embedding", F.lit(0.0).alias("error"), F.lit(None).cast("binary").alias("code"), F.array().cast("array<int>").alias("visits"), "own", F.lit(False).alias("member"), (F.col("own") == F.col("list")).alias("home"))
     found = stored(placed.unionByName(asking).groupBy("list", "block", "slice").applyInArrow(_search(shared, dim, cosine), "id long, links long, with long"), "found")
 
     roots = components(found.select(F.col("id").alias("a"), F.col("with").alias("b")), "vectors")
