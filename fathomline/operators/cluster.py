@@ -141,3 +141,27 @@ def redundant_features(pairs: DataFrame, threshold: float) -> DataFrame:
         return pd.DataFrame({"feature": pd.Series(gone, dtype=str), "step": pd.Series(range(1, len(gone) + 1), dtype="int32")})
 
     return pairs.groupBy(F.lit(1).alias("g")).applyInPandas(run, "feature string, step int")
+
+
+def latent(df: DataFrame, k: int) -> DataFrame:
+    """CLU-22: id and the first k principal components of x (a stand-in for learned encoders, without parity)."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    v = df.select("id", array_to_vector("x").alias("v"))
+    return PCA(k=k, inputCol="v", outputCol="p").fit(v).transform(v).select("id", vector_to_array("p").alias("x"))
+
+
+#: EXT-03: ways of clustering a distance table (a, b, d in both directions) and its ids, by name.
+APPROACHES = {
+    "average_linkage": lambda pairs, ids, k=6, **_: average_linkage(pairs, k),
+    "dbscan": lambda pairs, ids, eps=1.0, min_samples=3, **_: dbscan_distances(pairs, ids, eps, min_samples),
+}
+
+
+def register_approach(name: str, fn) -> None:
+    APPROACHES[name] = fn
+
+
+def clusters_by(name: str, pairs: DataFrame, ids: DataFrame, **settings) -> DataFrame:
+    return APPROACHES[name](pairs, ids, **settings)

@@ -98,3 +98,12 @@ def apply_rules(edges: DataFrame, rules: DataFrame) -> DataFrame:
     out = edges.select("src", "dst").join(of("forbidden").select("src", "dst"), ["src", "dst"], "left_anti")
     out = out.join(of("root").select(F.col("src").alias("dst")), "dst", "left_anti").join(of("leaf").select("src"), "src", "left_anti")
     return out.select("src", "dst").union(of("required").select("src", "dst")).distinct()
+
+
+def chunks(answers: DataFrame, source: str) -> DataFrame:
+    """EXT-10: the JSON object in each answer as a retrieval chunk: cluster_id, original_source, component, symptoms."""
+    from ..functions.scalar import json_within
+
+    body = F.from_json(json_within(F.col("answer")), "component string, symptoms array<string>")
+    rows = answers.select("cluster_id", F.lit(source).alias("original_source"), body.alias("b"))
+    return rows.filter("b.component is not null").select("cluster_id", "original_source", "b.component", "b.symptoms")

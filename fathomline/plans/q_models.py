@@ -194,3 +194,65 @@ def _(t):
 @query("ext_09_domain_rules", "SELECT src, dst FROM topology WHERE NOT (src = 'svc_0' AND dst = 'svc_1') AND dst <> 'svc_2' AND src <> 'svc_3' UNION SELECT 'svc_9', 'svc_4'", "topology")
 def _(t):
     return N.apply_rules(t.topology, N.domain_rules(t.spark, [("svc_0", "svc_1")], [("svc_9", "svc_4")], ["svc_2"], ["svc_3"]))
+
+
+_SQ = "list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+@query("jn_10_all_pairs", "SELECT a.id AS a, b.id AS b FROM vectors a JOIN vectors b ON a.id < b.id", "vectors")
+def _(t):
+    return D.pairwise(t.vectors, "squared").select("a", "b")
+
+
+@query("clu_09_distance_matrix", f"SELECT a.id AS a, b.id AS b, round(sqrt({_SQ}), 6) AS d FROM vectors a JOIN vectors b ON a.id <> b.id", "vectors")
+def _(t):
+    return D.pairwise(t.vectors, "euclidean", both=True).withColumn("d", R("d"))
+
+
+@query("agg_15_weighted_indicators", "WITH b AS (SELECT cluster_id, attribute, count(*) AS n, CASE WHEN attribute = 'signup' THEN 0.5 ELSE 1.0 END AS w FROM incidents GROUP BY ALL) SELECT cluster_id, attribute, round(w * n / sum(n) OVER (PARTITION BY cluster_id), 6) AS weight FROM b", "incidents")
+def _(t):
+    from pyspark.sql import Window
+
+    b = t.incidents.groupBy("cluster_id", "attribute").agg(F.count("*").alias("n"))
+    w = F.when(F.col("attribute") == "signup", 0.5).otherwise(1.0)
+    return b.select("cluster_id", "attribute", R(w * F.col("n") / F.sum("n").over(Window.partitionBy("cluster_id"))).alias("weight"))
+
+
+@query("det_14c_wide_likelihood", "SELECT entity, feature, count(*) AS n FROM samples GROUP BY ALL", "samples")
+def _(t):
+    out = M.detector("rolling_gaussian", width=24).score(t.samples)
+    return out.filter("score is not null").groupBy("entity", "feature").agg(F.count("*").alias("n"))
+
+
+@query("clu_22_latent")
+def _(t):
+    from ..operators.cluster import latent
+
+    return latent(t.vectors, 3)
+
+
+@query("ext_03_approach_by_name")
+def _(t):
+    from ..operators.cluster import clusters_by
+
+    return clusters_by("dbscan", D.pairwise(t.vectors, "euclidean", both=True), t.vectors.select("id"), eps=10.5)
+
+
+@query("ext_05_causal_method", "SELECT src, dst FROM edges", "edges")
+def _(t):
+    N.register_method("calls_as_causes", lambda edges, start=None: edges)
+    return N.METHODS["calls_as_causes"](t.edges)
+
+
+@query("ext_07_answer_cache", "SELECT cluster_id, 'kept' AS answer FROM (SELECT DISTINCT cluster_id FROM kgf)", "kgf")
+def _(t):
+    p = K.prompt(A.kg_features(A.kg_edges(t.incidents, t.topology)))
+    cache = p.select(F.lit("offline").alias("model"), F.sha2("prompt", 256).alias("prompt_hash"), F.lit("kept").alias("answer")).distinct()
+    return N.answered(p, cache=cache).select("cluster_id", "answer")
+
+
+@query("ext_10_chunks", "SELECT fault_id AS cluster_id, 'report' AS original_source, component, [level, reason] AS symptoms FROM faults", "faults")
+def _(t):
+    body = F.to_json(F.struct("component", F.array("level", "reason").alias("symptoms")))
+    said = t.faults.select(F.col("fault_id").alias("cluster_id"), F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\n")).alias("answer"))
+    return N.chunks(said, "report")
