@@ -39,18 +39,26 @@ def best_f1_search(df: DataFrame, start: float, end: float, steps: int, keys: li
     """DET-02: the threshold of the best point-adjusted F1 among `steps` even ones; the last of equals wins.
 
     A run of true labels is wholly hit at a threshold if its highest score is above it, so adjusted counts follow from run
-    maxima: per threshold, sums over runs and over normal rows, without replaying the series.
+    maxima. Each maximum (or normal score) is filed under the number of thresholds below it, and running sums of these
+    counts serve all thresholds at once: one pass over the series, however many steps there are.
     """
     w = Window.partitionBy(*keys).orderBy("idx")
     rows = df.withColumn("_new", ((F.col("label") == 1) & (F.coalesce(F.lag("label").over(w), F.lit(0)) == 0)).cast("int"))
     rows = rows.withColumn("_run", F.when(F.col("label") == 1, F.sum("_new").over(w)))
-    pieces = rows.groupBy(*keys, "label", "_run", F.when(F.col("label") == 0, F.col("score")).alias("s0")).agg(F.max("score").alias("top"), F.count("*").alias("n"))
-    grid = df.sparkSession.range(1, steps + 1).select((F.lit(start) + F.col("id") * ((end - start) / steps)).alias("threshold"))
-    over = pieces.crossJoin(F.broadcast(grid)).groupBy(*keys, "threshold").agg(
-        F.sum(F.when((F.col("label") == 1) & (F.col("top") > F.col("threshold")), F.col("n")).otherwise(0)).alias("tp"),
-        F.sum(F.when((F.col("label") == 1) & (F.col("top") <= F.col("threshold")), F.col("n")).otherwise(0)).alias("fn"),
-        F.sum(F.when((F.col("label") == 0) & (F.col("top") > F.col("threshold")), F.col("n")).otherwise(0)).alias("fp"),
-        F.sum(F.when((F.col("label") == 0) & (F.col("top") <= F.col("threshold")), F.col("n")).otherwise(0)).alias("tn"))
+    runs = rows.filter("label = 1").groupBy(*keys, "_run").agg(F.max("score").alias("top"), F.count("*").alias("p")).select(*keys, "top", "p", F.lit(0).cast("long").alias("q"))
+    pieces = runs.unionByName(rows.filter("label = 0").select(*keys, F.col("score").alias("top"), F.lit(0).cast("long").alias("p"), F.lit(1).cast("long").alias("q")))
+    step = (end - start) / steps
+    at = lambda i: F.lit(start) + i * step
+    guess = F.floor((F.col("top") - start) / step)
+    under = F.when(at(guess + 1) < F.col("top"), guess + 1).when(at(guess) < F.col("top"), guess).otherwise(guess - 1)  # thresholds below the score
+    counts = pieces.groupBy(*keys, F.least(F.greatest(under, F.lit(0)), F.lit(steps)).cast("long").alias("i")).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    each = (counts.select(*keys).distinct() if keys else df.sparkSession.range(1).select()).crossJoin(F.broadcast(df.sparkSession.range(steps + 1).withColumnRenamed("id", "i")))
+    down = Window.partitionBy(*keys).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy(*keys)
+    full = each.join(counts, [*keys, "i"], "left").fillna(0, ["p", "q"])
+    over = full.select(
+        *keys, "i", at(F.col("i")).alias("threshold"), F.sum("p").over(down).alias("tp"), (F.sum("p").over(every) - F.sum("p").over(down)).alias("fn"),
+        F.sum("q").over(down).alias("fp"), (F.sum("q").over(every) - F.sum("q").over(down)).alias("tn")).filter("i > 0")
     order = F.struct(F.round("f1", 9).alias("a"), (F.col("threshold") if last_wins else -F.col("threshold")).alias("b"))
     best = f1(over).groupBy(*keys) if keys else f1(over).groupBy()
     return best.agg(F.max_by(F.struct("threshold", "f1", "precision", "recall", "tp", "fp", "fn", "tn"), order).alias("x")).select(*keys, "x.*")
