@@ -35,9 +35,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/fathomline/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STORED: list[str] = []
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes the tables that this process has stored so far, once the results that read them are written; how many."""
+    n = 0
+    while _STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keeps a session's Arrow batches to BATCH_ROWS, so that a worker's memory doesn't depend on how long texts are on average."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

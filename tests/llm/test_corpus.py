@@ -415,3 +415,11 @@ def test_components(spark):
             comp[a] = comp[b] = min(comp[a], comp[b])
     got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in comp.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
+def test_stored_tables_can_be_forgotten(spark):
+    from fathomline.llm import common
+
+    common.forget(spark)
+    df = common.stored(spark.range(5), "x")
+    assert df.count() == 5 and common.forget(spark) == 1 and common.forget(spark) == 0
