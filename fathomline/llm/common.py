@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that one vectorised step holds; a longer single text is one step of its own.
 STEP_BYTES = 1 << 19
 #: Rows in an Arrow batch at most: whole texts pass to Python workers, so a batch should hold few.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 U64 = np.uint64
 _MUL1, _MUL2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -58,19 +58,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
 def trimmed(run: Callable) -> Callable:
-    """A function of batches that gives memory back to the system as a task ends, since workers live on between tasks."""
+    """A function of batches that gives memory back to the system, since workers live on between tasks.
+
+    Arrays of a megabyte and over get pages of their own, which go back as they are freed; the rest goes as a task ends.
+    """
 
     @functools.wraps(run, assigned=("__doc__",), updated=())
     def out(rows):
+        libc = _libc()
+        if libc is not None:
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed: else it grows to 32 MB
         try:
             yield from run(rows)
         finally:
             pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            if libc is not None:
+                libc.malloc_trim(0)
 
     return out
 

@@ -115,12 +115,13 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
 
     about = F.struct(F.col("n_shingles").alias("n"), "sketch").alias("about")
     halves = sets.select("set", F.posexplode("groups").alias("i", "key"))
-    common = halves.groupBy("i", "key").agg(F.count("*").alias("c")).filter("c > 1").select("i", "key")
+    # Stored, here and below: a join can split a hot key of one side only if the other isn't an aggregate made on the way.
+    common = stored(halves.groupBy("i", "key").agg(F.count("*").alias("c")).filter("c > 1").select("i", "key"), "common")
     live = halves.join(common, ["i", "key"]).groupBy("set").agg(F.collect_list(F.struct("i", "key")).alias("live"))  # 2 * SIDE at most
     first, second = F.filter("live", lambda x: x.i < SIDE), F.filter("live", lambda x: x.i >= SIDE)
     keys = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x.i, x.key, y.i, y.key))))
     table = stored(live.select("set", F.explode(keys).alias("bucket")).join(sets.select("set", about), "set"), "tables")
-    hubs = table.groupBy("bucket").agg(F.min("set").alias("hub"), F.count("*").alias("c"), F.min_by("about", "set").alias("of")).filter("c > 1")
+    hubs = stored(table.groupBy("bucket").agg(F.min("set").alias("hub"), F.count("*").alias("c"), F.min_by("about", "set").alias("of")).filter("c > 1"), "hubs")
     bits, p = len(_HASHES), (1 - percent / 100) / 2
     most = int(bits * p + 4.5 * (bits * p * (1 - p)) ** 0.5)
 
@@ -166,9 +167,10 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     member = labelled(table.join(hubs.select("bucket"), "bucket"), "set", roots, "root")
     tally = member.groupBy("bucket", "root").agg(F.count("*").alias("c"))
     mixed = tally.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("bucket", "main")
+    mixed = stored(mixed, "mixed")
     open_ = stored(member.join(mixed, "bucket").groupBy("set").agg(F.first("root").alias("root"), F.first("about").alias("about"), F.max(F.col("root") != F.col("main")).alias("few")), "open")
     whole = fetched(open_.select("set"), "open").join(open_.select("set"), "set").select("set", F.explode("shingles").alias("shingle"))
-    often = whole.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
+    often = stored(whole.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1"), "often")
     ranked = whole.join(often, "shingle", "left").groupBy("set").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "shingle"))).alias("order"))
     first = F.slice("order", 1, F.size("order") - F.ceil(F.size("order") * percent / 100).cast("int") + 1)
     heads = ranked.join(open_, "set").select("set", "root", "about", "few", F.posexplode(first).alias("at", "x")).filter("x.often > 1").select("set", "root", "about", "few", "at", "x.shingle")
@@ -185,7 +187,7 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
 
     roots = components(links, "third")
     grouped = stored(labelled(sets.select("set", "doc_id"), "set", roots, "root"), "grouped")
-    smallest = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    smallest = stored(grouped.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
     found = grouped.select("set", "root").join(smallest, "root").select("set", "component_id")
     # Empty sets have a key each of their own, so that they don't gather in one task.
     own = F.when(F.col("n_shingles") > 0, F.col("set")).otherwise(F.xxhash64("doc_id", "place"))

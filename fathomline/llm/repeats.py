@@ -209,12 +209,13 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """place, start, end of repeated strings; they may overlap."""
     small_batches(docs.sparkSession)
     texts = docs.select(_place().alias("place"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= length)
-    common = texts.mapInArrow(trimmed(_runs(length, gram, True)), "gram long").groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
+    # Stored, here and below: a join can split a hot key of one side only if the other isn't an aggregate made on the way.
+    common = stored(texts.mapInArrow(trimmed(_runs(length, gram, True)), "gram long").groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"), "shared")
     rows = stored(texts.mapInArrow(trimmed(_runs(length, gram, False)), _RUN).join(common, "gram"), "runs")
     key = ["gram", "back", "more", "whole"]
     different = stored(rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("place", "first")).alias("one")), "different")
     equal = rows.join(different.filter("n > 1").select(*key), key).select("place", F.col("first").alias("start"), (F.col("first") + F.col("more") + length).alias("end"))
-    many = different.groupBy("gram").agg(F.count("*").alias("d")).filter("d > 1")
+    many = stored(different.groupBy("gram").agg(F.count("*").alias("d")).filter("d > 1"), "many")
     wanted = (
         different.join(many, "gram").select("one.place", F.struct("gram", "one.first", "back", "more", (F.col("d") > HOT_RUNS).alias("hot")).alias("x"))
         .groupBy("place").agg(F.collect_list("x").alias("wanted"))  # no more than a text has runs

@@ -176,7 +176,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = classes.select(F.col("key").alias("id"), "n", "vec_id").join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     joined = stored(joined, "joined")
-    smallest = joined.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    smallest = stored(joined.groupBy("root").agg(F.min("vec_id").alias("component_id")), "smallest")
     known = joined.join(smallest, "root").select(F.col("id").alias("key"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     out = rows.select("vec_id", F.coalesce("key", F.xxhash64("vec_id", F.lit(9))).alias("key"), F.col("embedding").isNotNull().alias("ok")).join(known, "key", "left")
     component = F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("vec_id"))
