@@ -66,20 +66,15 @@ def _libc():
 
 
 def trimmed(run: Callable) -> Callable:
-    """A function of batches that gives memory back to the system, since workers live on between tasks.
-
-    Arrays of a megabyte and over get pages of their own, which go back as they are freed; the rest goes as a task ends.
-    """
+    """A function of batches that gives memory back to the system as a task ends, since workers live on between tasks."""
 
     @functools.wraps(run, assigned=("__doc__",), updated=())
     def out(rows):
-        libc = _libc()
-        if libc is not None:
-            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed: else it grows to 32 MB
         try:
             yield from run(rows)
         finally:
             pa.default_memory_pool().release_unused()
+            libc = _libc()
             if libc is not None:
                 libc.malloc_trim(0)
 
