@@ -1,10 +1,7 @@
 """Quality rules: text statistics and a perplexity band per language (operator 9).
 
-The language model is a modified Kneser-Ney model of order 4 over 32 character classes, one per language.
-Spark counts the grams of all documents; a language has at most 2**20 different ones, so a model has a fixed
-largest size however large the corpus is, and may be sent to every task. It is kept as sorted arrays of packed
-grams (the packing is a collision-free hash) with log probabilities, back-off weights by sorted context, and the
-order below. Languages beyond the MAX_LANGUAGES with most text share one model, so nothing grows without bound.
+The language model is one of real characters, see `characters`; it grows with the corpus. Languages beyond the
+MAX_LANGUAGES with most text share one model and one band.
 
 Defined results: null text counts as empty (no words, so base_failed and not kept); a null lang is a language of
 its own; repeated rows are judged one by one, alike; an empty table gives an empty result; other columns of the
@@ -14,13 +11,13 @@ row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import characters
 from .common import SPACE, mix, small_batches, steps, stored, texts_of, trimmed
 
 MAX_LANGUAGES = 48
@@ -34,58 +31,12 @@ SPREAD, LEAST_BELOW, LEAST_ABOVE = 4.0, 0.12, 0.9
 SHORT = 1.5
 MIN_WORDS = 50
 
-#: Class of each byte: letters 1-26, space 27, digit 28, punctuation 29, other ASCII 30, above ASCII 31; 0 stands before a text.
-CLASS = np.full(256, 30, np.int32)
-CLASS[128:] = 31
-for _i in range(26):
-    CLASS[97 + _i] = CLASS[65 + _i] = 1 + _i
-CLASS[SPACE] = 27
-CLASS[48:58] = 28
-CLASS[[ord(c) for c in ".,;:!?'\"()-"]] = 29
-
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def grams(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The packed gram that ends at each byte; no gram crosses into another text."""
-    c = CLASS[raw]
-    place = np.arange(len(raw)) - np.repeat(at[:-1], np.diff(at))
-    out = c.copy()
-    for j in range(1, ORDER):
-        if len(c) > j:
-            out[j:] |= np.where(place[j:] >= j, c[:-j], 0) << (BITS * j)
-    return out
-
-
-def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[str, np.ndarray] = {}
-
-    def out() -> Iterator[pa.RecordBatch]:
-        for lang, n in sums.items():
-            code = np.flatnonzero(n)
-            for k in range(0, len(code), 50_000):
-                part = code[k : k + 50_000]
-                yield pa.record_batch({"model": pa.array([lang] * len(part)), "gram": pa.array(part.astype(np.int32)), "n": pa.array(n[part])})
-        sums.clear()
-
-    for batch in rows:
-        langs = np.array([x or "" for x in batch.column(1).to_pylist()], object)
-        raw, at = texts_of(batch.column(0))
-        for lo, hi in steps(at):
-            code = grams(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-            here = list(dict.fromkeys(langs[lo:hi]))
-            own = np.repeat(np.array([here.index(x) for x in langs[lo:hi]], np.int16), np.diff(at[lo : hi + 1])) if len(here) > 1 else None
-            for k, lang in enumerate(here):
-                keys, n = np.unique(code if own is None else code[own == k], return_counts=True)
-                sums.setdefault(lang, np.zeros(SIZE, np.int64))[keys] += n
-            if len(sums) > 8:
-                yield from out()
-    yield from out()
-
-
 def kneser_ney(n: np.ndarray) -> dict[str, np.ndarray]:
-    """The interpolated model of gram counts n, as sorted arrays."""
+    """The interpolated model of gram counts n, as sorted arrays: the small dense form, which only a test still uses."""
     width, size = 1 << BITS, len(n)
     levels = [n]
     for _ in range(ORDER - 1):  # how many different symbols stand before each shorter gram
@@ -116,20 +67,19 @@ def direct(model: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame) -> dict[str, dict[str, np.ndarray]]:
-    """Counts the grams of all documents by language and fits a model to each."""
+def held(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with their block and model, the same each time they are read."""
     small_batches(docs.sparkSession)
-    counted = docs.select("text", "lang").mapInArrow(trimmed(_count), "model string, gram int, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
-    table = counted.toArrow()  # at most 2**20 rows a language, and see MAX_LANGUAGES
-    langs, gram, n = np.array(table["model"].to_pylist(), object), table["gram"].to_numpy(), table["n"].to_numpy()
-    total = {x: int(n[langs == x].sum()) for x in set(langs)}
-    named = sorted(total, key=lambda x: (-total[x], x))[:MAX_LANGUAGES]
-    models = {}
-    for lang in [*named, OTHER]:
-        take = langs == lang if lang != OTHER else ~np.isin(langs, named)
-        if take.any():
-            models[lang] = kneser_ney(np.bincount(gram[take], weights=n[take], minlength=SIZE).astype(np.int64))
-    return models
+    lang = F.coalesce("lang", F.lit(""))
+    total = docs.groupBy(lang.alias("model")).agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.desc_nulls_last("n"), "model")
+    named = [r["model"] for r in total.limit(MAX_LANGUAGES).collect()]
+    given = F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]).alias("given")
+    rest = [F.when(lang.isin(named), lang).otherwise(OTHER).alias("model"), "text", given]
+    shift = characters.BLOCK.bit_length() - 1
+    try:  # rows of files are numbered already
+        return docs.select(F.xxhash64("_metadata.file_path", F.shiftright("_metadata.row_index", shift)).alias("_block"), *rest)
+    except AnalysisException:
+        return stored(docs.select(F.shiftright(F.monotonically_increasing_id(), shift).alias("_block"), *rest), "held")
 
 
 def _facts(text: bytes) -> tuple[int, int, int]:
@@ -154,39 +104,51 @@ def _facts(text: bytes) -> tuple[int, int, int]:
     return n, len(lines) - len(set(lines)), twice
 
 
-def _scorer(models):
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, np.ndarray] = {}
-        for batch in rows:
-            raw, at = texts_of(batch.column("text"))
-            langs = [x or "" for x in batch.column("lang").to_pylist()]
-            n = len(langs)
-            facts = np.zeros((n, 5), np.int64)
-            logp = np.zeros(n)
-            for lo, hi in steps(at):
-                part, own = raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-                if len(part):
-                    ends = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[own])
-                    facts[lo:hi, 1] = ends(~SPACE[part] & ((part & 0xC0) != 0x80))
-                    facts[lo:hi, 2] = ends(_SYMBOL[part])
-                    code = grams(part, own)
-                for k in range(lo, hi):
-                    a, b = own[k - lo], own[k - lo + 1]
-                    if a == b:
-                        continue
-                    facts[k, [0, 3, 4]] = _facts(part[a:b].tobytes())
-                    lang = langs[k] if langs[k] in models.value else OTHER
-                    if lang not in tables:
-                        if len(tables) >= 8:
-                            tables.clear()
-                        tables[lang] = direct(models.value[lang])
-                    logp[k] = -float(tables[lang][code[a:b]].mean(dtype=np.float64))
-            new = {name: pa.array(facts[:, i]) for i, name in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}
-            new["log_perplexity"] = pa.array(logp, mask=np.diff(at) == 0)
-            new["model"] = pa.array([x if x in models.value else OTHER for x in langs])
-            yield pa.record_batch({"given": batch.to_struct_array(), **new}) if batch.num_columns != 3 or batch.schema.names != ["doc_id", "text", "lang"] else pa.record_batch({"doc_id": batch.column("doc_id"), **new})
-
-    return run
+_NOTHING = pa.table({x: pa.array([], pa.string() if x in ("model", "gram") else pa.int64()) for x in ("model", "k", "gram", "c", "total", "t1", "t2", "t3")})
+
+
+def _score(docs: pa.Table, told: pa.Table) -> pa.Table:
+    """Statistics and log perplexity of a block's documents; told: the counts of its grams; both packed."""
+    docs = characters.unpack(docs["bytes"])
+    told = characters.unpack(told["bytes"]) if told.num_rows else _NOTHING
+    models = np.array(docs["model"].to_pylist(), object)
+    known = np.array(told["model"].to_pylist(), object)
+    gram = told["gram"].to_numpy()
+    raw, at = texts_of(docs["text"])
+    n = len(models)
+    facts = np.zeros((n, 5), np.int64)
+    logp = np.zeros(n)
+    for lo, hi in steps(at):
+        part, own = raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        if len(part):
+            ends = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[own])
+            facts[lo:hi, 1] = ends(~SPACE[part] & ((part & 0xC0) != 0x80))
+            facts[lo:hi, 2] = ends(_SYMBOL[part])
+        for k in range(lo, hi):
+            if own[k - lo] < own[k - lo + 1]:
+                facts[k, [0, 3, 4]] = _facts(part[own[k - lo] : own[k - lo + 1]].tobytes())
+    for model in dict.fromkeys(models):
+        take = models == model
+        if at[1:][take].sum() > at[:-1][take].sum():
+            of = known == model
+            here = {x: told[x].to_numpy()[of] for x in ("k", "c", "total", "t1", "t2", "t3")}
+            here["gram"] = gram[of]
+            here["k"] = np.where(here["gram"] == "", -here["k"], here["k"])
+            logp[take] = characters.log_perplexity(docs["text"].filter(pa.array(take)), here)
+    new = {name: pa.array(facts[:, i]) for i, name in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}
+    return pa.table({"given": docs["given"], "text": docs["text"], **new, "log_perplexity": pa.array(logp, mask=np.diff(at) == 0), "model": docs["model"]})
+
+
+def _scored(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """given (the other columns), text, statistics, log perplexity and model of each row."""
+    from pyspark.sql.types import StructField, StructType
+
+    rows = held(docs, columns)
+    stats = docs.sparkSession.createDataFrame([], _STATS).schema
+    schema = StructType([rows.schema["given"], StructField("text", rows.schema["text"].dataType), *stats.fields])
+    pack = lambda df, *how: df.mapInArrow(trimmed(characters.pack(*how)), "_block long, bytes binary").groupBy("_block")
+    told = pack(characters.answers(rows), characters.PACKED, [("_block", "ascending"), ("model", "ascending"), ("k", "ascending"), ("gram", "ascending")])
+    return pack(rows, 4 << 20, []).cogroup(told).applyInArrow(_score, schema)
 
 
 _STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, model string"
@@ -213,19 +175,11 @@ def _judged(scored: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame) -> DataFrame:
     """One row per document: statistics, log perplexity per character, the band of its language, base_failed, kept."""
-    run = _scorer(docs.sparkSession.sparkContext.broadcast(fit(docs)))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return _judged(stored(docs.select("doc_id", "text", "lang").mapInArrow(trimmed(run), f"doc_id {kind}, {_STATS}"), "quality"))
+    scored = _scored(docs, ["doc_id"])
+    return _judged(stored(scored.select(F.col("given.doc_id").alias("doc_id"), *scored.columns[2:]), "quality"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
-    from pyspark.sql.types import StructField, StructType
-
-    run = _scorer(docs.sparkSession.sparkContext.broadcast(fit(docs)))
-    stats = docs.sparkSession.createDataFrame([], _STATS).schema
-    schema = StructType([StructField("given", docs.schema), *stats.fields])
-    given = docs.withColumn("text", F.col("text")) if docs.columns != ["doc_id", "text", "lang"] else docs.withColumn("_", F.lit(None).cast("int"))
-    schema["given"].dataType = given.schema
-    judged = _judged(stored(given.mapInArrow(trimmed(run), schema), "quality"))
-    return judged.filter("kept").select(*[F.col("given")[c].alias(c) for c in docs.columns])
+    judged = _judged(stored(_scored(docs, docs.columns), "quality"))
+    return judged.filter("kept").select(*["text" if c == "text" else F.col("given")[c].alias(c) for c in docs.columns])
