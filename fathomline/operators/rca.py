@@ -251,8 +251,9 @@ def condensed(df: DataFrame, least: int = 2) -> DataFrame:
 
 
 def keywords(text: Column, words: list[str]) -> Column:
-    """RCA-18: the words of a list that a text has, as whole words."""
-    return F.filter(F.array(*[F.lit(x) for x in words]), lambda x: F.regexp_like(F.lower(text), F.concat(F.lit(r"\b"), F.lower(x), F.lit(r"\b"))))
+    """RCA-18: the words of a list that a text has, as whole words: no letter, mark, digit or _ of any script next to them."""
+    part = r"[\p{L}\p{M}\p{N}_]"
+    return F.filter(F.array(*[F.lit(x) for x in words]), lambda x: F.regexp_like(F.lower(text), F.concat(F.lit(f"(?<!{part})"), F.lower(x), F.lit(f"(?!{part})"))))
 
 
 def random_walk(edges: DataFrame, start: DataFrame, restart: float = 0.15, rounds: int = 20) -> DataFrame:

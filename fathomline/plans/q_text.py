@@ -156,6 +156,11 @@ def _(t):
     return t.documents.filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", A.keywords(F.col("text"), ["the", "idiot", "of", "token"]).alias("found"))
 
 
+@query("rca_18b_keywords_everywhere", r"SELECT doc_id, list_filter(['the', 'idiot', 'of', 'token'], lambda w: regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}_])' || w || '($|[^\p{L}\p{M}\p{N}_])')) AS found FROM documents")
+def _(t):
+    return t.documents.select("doc_id", A.keywords(F.col("text"), ["the", "idiot", "of", "token"]).alias("found"))
+
+
 # --- reports and exports -------------------------------------------------------------------------------------------
 
 @query("snk_02_grouped_report", "SELECT entity, attribute, string_agg(strftime(make_timestamp((ts + 28800) * 1000000), '%Y-%m-%d %H:%M:%S') || ' CST', '; ' ORDER BY ts) AS line FROM anomalies GROUP BY ALL", "anomalies")
