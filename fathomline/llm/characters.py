@@ -1,16 +1,23 @@
 """A character model per language that grows with the corpus (operator 9): modified Kneser-Ney of order ORDER over real characters.
 
-Characters are Unicode's, A-Z as a-z; U+0000 and U+0001 count as U+FFFD, and U+0001 stands before a text. Each block of BLOCK rows
-gives its different grams of each length with their counts; Spark sums them by hash partition and sends each block the counts
-of its own grams. The model is thus a table that grows with the corpus: neither a task nor the driver holds it. A gram comes
-once from a block, so a common gram is no hot key.
-
-A document is scored by the counts of all other rows (else what only it holds would be well known); discounts and the number
-of different characters are of the whole corpus.
+Characters are Unicode's, A-Z as a-z; U+0000 and U+0001 count as U+FFFD, and U+0001 stands before a text. Texts fall in
+two folds by their hash, equal texts in one; each fold is scored by the model of the other, else what only a document holds would
+be well known to its model. Of all texts, those count that `trusted` takes for prose: enough words, and few symbols.
+
+1. Each block of rows gives its different grams, and each task those of its blocks with their counts in either fold (0 for grams
+   of other texts), as sorted arrays, one for each part of the model (`asked`). The part of a gram is a hash of the two characters before its last: grams with one context, and grams
+   with one suffix of three characters or more, share a part, so each part counts alone down to its trigrams.
+2. Spark merges the counts of a part, WAYS arrays at a time, so that a common gram is no hot key; a part holds different grams only.
+3. Pairs and single characters are plain aggregates of the parts' trigrams; a language's pairs are one array.
+4. Every part becomes a sorted array of gram hashes with the log probabilities of either fold's model (`model`).
+5. Blocks get the probabilities of their own grams back, in the order of their arrays, and score their texts.
+
+Blocks, parts and the arrays in them grow in number with the corpus: neither a task nor the driver holds the model.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +25,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, steps, stored, texts_of, trimmed
+from .common import LOWER, SPACE, mix, steps, stored, texts_of, trimmed
 
 ORDER = 5
-BLOCK = 4096
+#: Bytes of text that a block should hold, and the rows it holds at most.
+BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 1 << 16
+#: Arrays of a part that one task merges.
+WAYS = 256
+#: Parts of a small model; different grams whose counts a task holds.
+PARTS, HELD = 16, 1 << 21
 BEFORE, UNSAID = 1, 0xFFFD
-#: Rows of answers that a task packs at a time.
-PACKED = 200_000
+#: Texts that count: of this many words, and this many words for each symbol.
+MIN_WORDS, TRUST = 50, 20
+SYMBOL = np.zeros(256, bool)
+SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def block_rows(docs: DataFrame) -> tuple[int, int]:
+    """Rows of a block (a power of two), and parts of the model, for texts of this number and length."""
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    rows = BLOCK_BYTES * max(1, n) // max(1, size)
+    rows = 1 << (max(1, min(BLOCK_ROWS, rows)).bit_length() - 1)
+    parts = PARTS << max(0, math.ceil(math.log2(max(1, n // rows) / 16) / 2))
+    return rows, min(parts, 1 << 20)
 
 
 def characters(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -81,135 +105,191 @@ def ending(code: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def counted(code: np.ndarray, at: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text (0 unless apart), gram and count of the different grams of length ORDER of the texts."""
+def counted(code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different grams of some texts; and, for each text and each of its grams, the text, the gram's number and its count."""
     letters, rank, bits = numbers(code)
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at)) if apart else np.zeros(len(code), np.int64)
-    if ORDER * bits + int(len(at)).bit_length() < 64:
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    width = ORDER * bits
+    if width + int(len(at)).bit_length() < 64:
         number = rank[code]
-        place = np.arange(len(code)) - np.repeat(at[:-1], np.diff(at))
-        key = doc << (ORDER * bits) | number
+        place = np.arange(len(code)) - at[:-1][text]
+        key = text << width | number
         for j in range(1, min(ORDER, len(code))):
-            key[j:] |= np.where(place[j:] >= j, number[:-j], 0) << (bits * j)
-        before = int(rank[BEFORE])
-        assert before == 0  # BEFORE is the least code point
-        one, n = np.unique(key, return_counts=True)
-        return one >> (ORDER * bits), unpacked(one, ORDER, bits, letters), n
+            key[j:] |= np.where(place[j:] >= j, number[:-j], 0) << (bits * j)  # BEFORE is the least code point
+        pair, n = np.unique(key, return_counts=True)
+        one, which = np.unique(pair & ((1 << width) - 1), return_inverse=True)
+        return unpacked(one, ORDER, bits, letters), pair >> width, which, n
     grams, back = distinct(ending(code, at))
-    one, n = np.unique(doc * max(1, len(grams)) + back, return_counts=True)
-    return one // max(1, len(grams)), grams[one % max(1, len(grams))], n
+    pair, n = np.unique(text * max(1, len(grams)) + back, return_counts=True)
+    return grams, pair // max(1, len(grams)), pair % max(1, len(grams)), n
 
 
-def summed(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Different grams of length ORDER of the texts in order, and their counts."""
-    grams, n = np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
-    held = []
+def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
+    pair = grams[:, -3].astype(np.uint64) << np.uint64(32) | grams[:, -2].astype(np.uint64)
+    return (mix(pair * _STEP) % np.uint64(parts)).astype(np.int64)
 
-    def add():
-        one, back = distinct(np.concatenate([grams, *(x for x, _ in held)]))
-        return one, np.bincount(back, np.concatenate([n, *(y for _, y in held)]), minlength=len(one)).astype(np.int64)
 
-    for code, at in characters(column):
-        held.append(counted(code, at, False)[1:])
-        if len(held) == 8:
-            grams, n = add()
-            held.clear()
-    return add()
+def hashed(grams: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(grams), np.uint64)
+    for j in range(grams.shape[1]):
+        h = mix(h * _STEP + grams[:, j].astype(np.uint64) + np.uint64(1))
+    return h
 
 
-def said(grams: np.ndarray) -> np.ndarray:
-    """Grams as strings of numpy; none ends in U+0000."""
-    n, k = grams.shape
-    return np.ascontiguousarray(grams).view(f"<U{k}").reshape(n)
-
-
-def _requests(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(held: list[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        models = np.array(table["model"].to_pylist(), object)
-        for model in dict.fromkeys(models):
-            grams, n = summed(table["text"].filter(pa.array(models == model)))
-            for k in range(ORDER, 0, -1):
-                for lo in range(0, len(grams), 50_000):
-                    part = said(grams[lo : lo + 50_000])
-                    m = len(part)
-                    yield pa.record_batch({"model": pa.array([model] * m), "gram": pa.array(part), "block": pa.array(np.full(m, block, np.int64)), "n": pa.array(n[lo : lo + m].astype(np.int64))})
-                if k > 1:
-                    grams, _ = distinct(grams[:, 1:])
-                    n = np.zeros(len(grams), np.int64)
-
-    held: list[pa.RecordBatch] = []
-    now = None
+def boxed(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes; their types and widths are for the reader to know."""
+    raw = b"".join(np.ascontiguousarray(a.T).tobytes() for a in arrays)
+    return len(arrays[0]).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unboxed(data: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
+    n, size = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
+    raw, out, at = pa.decompress(data[16:], size, "zstd", asbytes=True), [], 0
+    for kind, wide in kinds:
+        x = np.frombuffer(raw, kind, n * wide, at)
+        out.append(x.reshape(wide, n).T if wide > 1 else x)
+        at += x.nbytes
+    return out
+
+
+#: What counts and merged parts hold: grams, and their counts in fold 0 and 1.
+COUNTS = ((np.uint32, ORDER), (np.int64, 2))
+#: What a block asks: grams, and in which folds they are, as bits. What it gets: log probabilities, in steps of 1 / STEPS.
+ASKED, TOLD, STEPS = ((np.uint32, ORDER), (np.uint8, 1)), ((np.int16, 2),), 1024
+#: What a part of the model holds: sorted hashes, and log probabilities by the models of fold 0 and 1.
+HASHES = ((np.uint64, 1), (np.float32, 2))
+
+
+class Grams:
+    """Different grams with their numbers: counts to be summed, or bits to be joined."""
+
+    def __init__(self, wide: int, bits: bool = False):
+        self.bits = bits
+        self.grams, self.n = np.zeros((0, ORDER), np.uint32), np.zeros((0, wide), np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, grams: np.ndarray, n: np.ndarray) -> None:
+        self.held.append((grams, n[:, None] if n.ndim == 1 else n))
+        if sum(len(x) for x, _ in self.held) > max(100_000, len(self.grams)):
+            self.merge()
+
+    def merge(self) -> Grams:
+        if self.held:
+            self.grams, back = distinct(np.concatenate([self.grams, *(x for x, _ in self.held)]))
+            n = np.concatenate([self.n, *(x for _, x in self.held)])
+            m = len(self.grams)
+            if self.bits:
+                self.n = sum((np.bincount(back, n[:, 0] & bit, minlength=m) > 0) * bit for bit in (1, 2)).reshape(m, 1)
+            else:
+                self.n = np.stack([np.bincount(back, n[:, f], minlength=m) for f in range(n.shape[1])], 1).astype(np.int64)
+            self.held = []
+        return self
+
+
+def trusted(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each text counts for the model: MIN_WORDS words or more, and a symbol for TRUST of them at most."""
+    if not len(raw):
+        return np.zeros(len(at) - 1, bool)
+    space = np.concatenate([SPACE[raw], [True]])
+    last = ~space[:-1] & space[1:]
+    edge = at[1:][(at[1:] > at[:-1])] - 1
+    last[edge] = ~space[edge]
+    sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[at])
+    words = sums(last)
+    return (words >= MIN_WORDS) & (TRUST * sums(SYMBOL[raw]) <= words)
+
+
+def by_block(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches cut where their block changes; the blocks of a task come one after another."""
     for batch in rows:
         blocks = batch.column(0).to_numpy()
         edge = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1), len(blocks)]
         for lo, hi in zip(edge[:-1], edge[1:]):
-            if lo == hi:
-                continue
-            if held and blocks[lo] != now:
-                yield from out(held, now)
-                held = []
-            now = int(blocks[lo])
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield from out(held, now)
+            if lo < hi:
+                yield int(blocks[lo]), batch.slice(lo, hi - lo)
 
 
-def packed(table: pa.Table) -> bytes:
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
-        to.write_table(table.combine_chunks())
-    return out.getvalue().to_pybytes()
+def _requests(parts: int):
+    """The grams of each block, and the counts of the grams of a task's blocks (`counts`)."""
 
+    def boxes(what: dict[str, Grams], block: int, counts: bool) -> Iterator[pa.RecordBatch]:
+        for model, c in what.items():
+            c.merge()
+            part = part_of(c.grams, parts)
+            order = np.argsort(part, kind="stable")
+            edge = np.searchsorted(part[order], np.arange(parts + 1))
+            have = np.flatnonzero(np.diff(edge))
+            n = c.n if counts else c.n[:, 0].astype(np.uint8)
+            data = [boxed(c.grams[order[edge[p] : edge[p + 1]]], n[order[edge[p] : edge[p + 1]]]) for p in have]
+            yield pa.record_batch({"model": pa.array([model] * len(have), pa.string()), "part": pa.array(have), "block": pa.array(np.full(len(have), block)), "counts": pa.array(np.full(len(have), counts)), "data": pa.array(data, pa.binary())})
 
-def unpack(column: pa.ChunkedArray) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in column])
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: dict[str, Grams] = {}
+        counts: dict[str, Grams] = {}
+        now = None
+        for block, batch in by_block(rows):
+            if block != now and now is not None:
+                yield from boxes(here, now, False)
+                here = {}
+                if sum(len(c.merge().grams) for c in counts.values()) > HELD:
+                    yield from boxes(counts, now, True)
+                    counts = {}
+            now = block
+            for model, at in models_of(batch.column(1)):
+                asks, sums = here.setdefault(model, Grams(1, True)), counts.setdefault(model, Grams(2))
+                fold, texts = batch.column(2).take(at).to_numpy(), batch.column(3).take(at)
+                good = trusted(*texts_of(texts))
+                first = 0
+                for code, own in characters(texts):
+                    grams, text, which, n = counted(code, own)
+                    f = fold[first : first + len(own) - 1][text]
+                    n = n * good[first : first + len(own) - 1][text]
+                    sums.add(grams, np.stack([np.bincount(which[f == k], n[f == k], minlength=len(grams)) for k in (0, 1)], 1).astype(np.int64))
+                    asks.add(grams, sum((np.bincount(which[f == k], minlength=len(grams)) > 0) * (k + 1) for k in (0, 1)))
+                    first += len(own) - 1
+        if now is not None:
+            yield from boxes(here, now, False)
+            yield from boxes(counts, now, True)
 
+    return run
 
-def pack(limit: int, sort: list[tuple[str, str]]):
-    """Rows with a _block, as few rows of a block and its rows without it, as bytes."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held)
-            if sort:
-                table = table.sort_by(sort)
-            blocks = table["_block"].to_numpy()
-            table = table.drop_columns(["_block"])
-            edge = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
-            for lo, hi in zip(edge[:-1], edge[1:]):
-                yield pa.record_batch({"_block": pa.array([int(blocks[lo])]), "bytes": pa.array([packed(table.slice(lo, hi - lo))], pa.binary())})
-
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for batch in rows:
-            if batch.num_rows:
-                held.append(batch)
-                n += batch.num_rows if sort else batch.nbytes
-            if n >= limit:
-                yield from out(held)
-                held, n = [], 0
-        if held:
-            yield from out(held)
+ASKED_ROWS = "model string, part long, block long, counts boolean, data binary"
 
-    return run
+
+def models_of(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[str, pa.Array]]:
+    """Each model, and its rows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    coded = column.dictionary_encode()
+    number = coded.indices.to_numpy()
+    for k, model in enumerate(coded.dictionary.to_pylist()):
+        yield model, pa.array(np.flatnonzero(number == k))
+
+
+def _merge(key, table):
+    """The different grams of some arrays of a part, with their counts; how many have a count of 1, 2, 3 and 4 in either fold,
+    for grams of length ORDER down to 3; and the trigrams."""
+    c = Grams(2)
+    for data in table["data"]:
+        c.add(*unboxed(data.as_py(), *COUNTS))
+    c.merge()
+    grams, n, of = c.grams, c.n, []
+    for k in range(ORDER, 2, -1):
+        of += [int((n[:, f] == i).sum()) for f in (0, 1) for i in (1, 2, 3, 4)]
+        if k > 3:
+            grams, n = shorter(grams, n)[:2]
+    low = pa.StructArray.from_arrays([pa.array(grams[:, j].astype(np.int32)) for j in (1, 2)] + [pa.array((n[:, f] > 0).astype(np.int32)) for f in (0, 1)], ["b", "c", "in0", "in1"])
+    return pa.table({"model": [key[0].as_py()], "part": [key[1].as_py()], "data": pa.array([boxed(c.grams, c.n)], pa.binary()), "of": pa.array([of], pa.list_(pa.int64())), "low": pa.ListArray.from_arrays(pa.array([0, len(low)], pa.int32()), low)})
+
+
+_MERGED = f"model string, part long, data binary, of array<long>, low array<struct<b:int,c:int,in0:int,in1:int>>"
 
 
-def answers(held: DataFrame) -> DataFrame:
-    """For each block and each of its grams: its count c (below ORDER: how many characters stand before it), the sum of its context's counts and
-    how many of them are 1, 2 and more. With an empty gram: of each length k of a model, how many counts are 1, 2, 3 and 4, and all."""
-    told = held.select("_block", "model", "text").mapInArrow(trimmed(_requests), "model string, gram string, block long, n long")
-    grams = stored(told.groupBy("model", "gram").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")), "grams")
-    k = F.char_length("gram")
-    longer = stored(grams.filter(k > 1).groupBy("model", F.expr("substr(gram, 2)").alias("gram")).agg(F.count("*").alias("m")), "longer")
-    counted = stored(grams.join(longer, ["model", "gram"], "left").select("model", "gram", k.alias("k"), F.when(k == ORDER, F.col("n")).otherwise(F.col("m")).alias("c"), "blocks"), "counted")
-    context = F.expr("left(gram, k - 1)").alias("context")
-    many = [F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.count_if(F.col("c") > 2)]
-    sums = stored(counted.groupBy("model", "k", context).agg(F.sum("c").alias("total"), *[x.alias(f"t{i}") for i, x in enumerate(many, 1)]), "contexts")
-    each = counted.select("*", context).join(sums, ["model", "k", "context"]).select(F.explode("blocks").alias("_block"), "model", "k", "gram", "c", "total", "t1", "t2", "t3")
-    whole = counted.groupBy("model", "k").agg(*[F.count_if(F.col("c") == i).alias(x) for i, x in ((1, "c"), (2, "total"), (3, "t1"), (4, "t2"))], F.count("*").alias("t3"))
-    here = held.select("_block", "model").distinct().join(whole, "model").select("_block", "model", "k", F.lit("").alias("gram"), "c", "total", "t1", "t2", "t3")
-    return each.unionByName(here)
+def shorter(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of grams, how many different characters stand before each in either fold, and the number of each gram's suffix."""
+    below, up = distinct(grams[:, 1:])
+    return below, np.stack([np.bincount(up, n[:, f] > 0, minlength=len(below)) for f in (0, 1)], 1).astype(np.int64), up
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -219,59 +299,132 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.array([0.0] + [min(k, max(0.1, k - (k + 1) * y * have[k] / have[k - 1])) if have[k - 1] else 0.5 * k for k in (1, 2, 3)])
 
 
-def log_perplexity(column: pa.ChunkedArray, told: dict[str, np.ndarray]) -> np.ndarray:
-    """Per character of each text of one model; told: what answers() gives of the model's grams in this block."""
-    known = {}
-    for k in range(1, ORDER + 1):
-        mine = np.flatnonzero(told["k"] == k)
-        names = told["gram"][mine].astype(f"<U{k}")
-        order = np.argsort(names)
-        known[k] = names[order], np.stack([told[x][mine[order]] for x in ("c", "total", "t1", "t2", "t3")], 1)
-    parts = [_log_perplexity(code, at, told, known) for code, at in characters(column)]
-    return np.concatenate(parts) if parts else np.zeros(0)
-
-
-def _log_perplexity(code: np.ndarray, at: np.ndarray, told: dict[str, np.ndarray], known: dict) -> np.ndarray:
-    if not len(code):
-        return np.zeros(len(at) - 1)
-    levels = []  # from ORDER down: grams of documents (one row a document and gram), with their documents' own counts
-    whose, grams, own = counted(code, at, True)
-    doc, times = whose, own
-    grams, which = distinct(grams)
-    for k in range(ORDER, 0, -1):
-        names, stats = known[k]
-        find = np.searchsorted(names, said(grams))
-        assert (names[find] == said(grams)).all()
-        meta = told["k"] == -k
-        d = discounts(*(int(told[x][meta][0]) for x in ("c", "total", "t1", "t2")))
-        size = int(told["t3"][meta][0])
-        stats = stats[find]
-        c, total, freed = stats[:, 0], stats[:, 1], stats[:, 2:] @ d[1:]
-        c = c[which]
-        left = c - own
-        now = d[np.minimum(left, 3)]
-        # rows are in order of texts and grams, so those of one text and context stand together
-        prefix = np.zeros(len(grams), np.int64)
-        np.cumsum((grams[1:, :-1] != grams[:-1, :-1]).any(1), out=prefix[1:])
-        prefix = prefix[which]
-        new = np.ones(len(which), bool)
-        new[1:] = (prefix[1:] != prefix[:-1]) | (whose[1:] != whose[:-1])
-        spot, at_new = np.cumsum(new) - 1, np.flatnonzero(new)
-        total = (total[which[at_new]] - np.add.reduceat(own, at_new))[spot]
-        freed = (freed[which[at_new]] + np.add.reduceat(now - d[np.minimum(c, 3)], at_new))[spot]
-        weight = np.where(total > 0, freed / np.maximum(total, 1), 1.0)
-        direct = np.where(total > 0, np.maximum(left - now, 0) / np.maximum(total, 1), 0.0)
-        if k == 1:
-            levels.append((direct, weight, np.full(len(which), 1.0 / size)))
-            break
-        lower, suffix = distinct(grams[:, 1:])
-        key, up = np.unique(whose * len(lower) + suffix[which], return_inverse=True)
-        levels.append((direct, weight, up))
-        own = np.bincount(up, left == 0, minlength=len(key)).astype(np.int64)
-        whose, which = np.divmod(key, len(lower))
-        grams = lower
-    direct, weight, base = levels[-1]
-    p = direct + weight * base
-    for direct, weight, up in reversed(levels[:-1]):
-        p = direct + weight * p[up]
-    return -np.bincount(doc, times * np.log(p), minlength=len(at) - 1) / np.maximum(np.diff(at), 1)
+def level(context: np.ndarray, n: np.ndarray, of: list[int], below: np.ndarray) -> np.ndarray:
+    """Probabilities of grams from their contexts' numbers, counts, counts of counts, and their suffixes' probabilities."""
+    d = discounts(*of)
+    cut = d[np.minimum(n, 3)]
+    total, freed = np.bincount(context, n)[context], np.bincount(context, cut)[context]
+    return np.where(total > 0, (n - cut + freed * below) / np.maximum(total, 1), below)
+
+
+def _pairs(key, table):
+    """The probabilities of a language's pairs of characters by the models of fold 0 and 1."""
+    b, c = table["b"].to_numpy(), table["c"].to_numpy()
+    n = np.stack([table["n0"].to_numpy(), table["n1"].to_numpy()], 1)
+    one, up = np.unique(c, return_inverse=True)
+    context = np.unique(b, return_inverse=True)[1]
+    p = np.empty((len(b), 2))
+    for f in (0, 1):
+        single = np.bincount(up, n[:, f] > 0, minlength=len(one)).astype(np.int64)
+        alone = level(np.zeros(len(one), np.int64), single, [int((single == i).sum()) for i in (1, 2, 3, 4)], np.full(len(one), 1.0 / max(1, len(one))))
+        p[:, f] = level(context, n[:, f], [int((n[:, f] == i).sum()) for i in (1, 2, 3, 4)], alone[up])
+    return pa.table({"model": pa.array([key[0].as_py()] * len(b), pa.string()), "b": table["b"], "c": table["c"], "p0": pa.array(p[:, 0]), "p1": pa.array(p[:, 1])})
+
+
+def _hash_arrays(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A part of the model from its grams, its language's counts of counts, and the pairs' probabilities."""
+    for batch in rows:
+        out = []
+        for data, of, low in zip(batch.column("data"), batch.column("of"), batch.column("pairs")):
+            grams, n = unboxed(data.as_py(), *COUNTS)
+            of = np.array(of.as_py()).reshape(ORDER - 2, 2, 4)
+            levels, g, m = [], grams, n
+            for k in range(ORDER, 2, -1):
+                below, fewer, up = shorter(g, m)
+                context = distinct(g[:, :-1])[1]
+                levels.append((context, m, of[ORDER - k], up))
+                g, m = below, fewer
+            low = low.values  # of pairs that end a trigram of this part: in order, as g is
+            pair = np.stack([low.field("b").to_numpy(), low.field("c").to_numpy()], 1).astype(np.uint32)
+            order = np.lexsort((pair[:, 1], pair[:, 0]))
+            assert (pair[order] == g).all()
+            both = np.empty((len(grams), 2), np.float32)
+            for f in (0, 1):
+                p = low.field(f"p{f}").to_numpy()[order]
+                for context, m, have, up in reversed(levels):
+                    p = level(context, m[:, f], have[f].tolist(), p[up])
+                both[:, f] = np.log(p)
+            h = hashed(grams)
+            order = np.argsort(h)
+            out.append(boxed(h[order], both[order]))
+        yield pa.record_batch({"model": batch.column("model"), "part": batch.column("part"), "data": pa.array(out, pa.binary())})
+
+
+def _answer(key, asked, model):
+    """For the grams of each block, the log probability by the other fold's model; a block whose rows two tasks read asked twice."""
+    h, logp = unboxed(model["data"][0].as_py(), *HASHES)
+    blocks: dict[int, list[bytes]] = {}
+    for block, data in zip(asked["block"].to_pylist(), asked["data"].to_pylist()):
+        blocks.setdefault(block, []).append(data)
+    out = []
+    for some in blocks.values():
+        c = Grams(1, True)
+        for data in some:
+            c.add(*unboxed(data, *ASKED))
+        found = logp[np.searchsorted(h, hashed(c.merge().grams))]
+        found = np.stack([np.where(c.n[:, 0] & (f + 1), found[:, 1 - f], 0) for f in (0, 1)], 1)
+        out.append(boxed(np.round(np.maximum(found * STEPS, -32768)).astype(np.int16)))
+    n = len(out)
+    return pa.table({"_block": pa.array(list(blocks), pa.int64()), "model": pa.array([key[0].as_py()] * n, pa.string()), "part": pa.array([key[1].as_py()] * n, pa.int64()), "data": pa.array(out, pa.binary())})
+
+
+def model_of(asked: DataFrame) -> DataFrame:
+    """model, part and data: the sorted hash arrays of all languages."""
+    merged = asked.filter("counts").select("model", "part", "data", F.xxhash64("block").alias("way"))
+    arrays = merged.groupBy("model", "part").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    while arrays > WAYS:  # each turn leaves a WAYS-th of the arrays
+        arrays = -(-arrays // WAYS)
+        some = merged.withColumn("way", F.pmod(F.xxhash64("way", F.lit(arrays)), F.lit(arrays)))
+        merged = stored(some.groupBy("model", "part", "way").applyInArrow(lambda key, t: _merge(key, t).select(["model", "part", "data"]).append_column("way", pa.array([key[2].as_py()])), "model string, part long, data binary, way long"), "merging")
+    merged = stored(merged.select("model", "part", "data").groupBy("model", "part").applyInArrow(_merge, _MERGED), "merged")
+    tri = merged.select("model", "part", F.explode("low").alias("x")).select("model", "part", "x.*")
+    pairs = tri.groupBy("model", "b", "c").agg(F.sum("in0").alias("n0"), F.sum("in1").alias("n1"))
+    pairs = stored(pairs.groupBy("model").applyInArrow(_pairs, "model string, b int, c int, p0 double, p1 double"), "pairs")
+    own = tri.select("model", "part", "b", "c").distinct().join(pairs, ["model", "b", "c"])
+    own = stored(own.groupBy("model", "part").agg(F.collect_list(F.struct("b", "c", "p0", "p1")).alias("pairs")), "ends")
+    cells = 8 * (ORDER - 2)
+    of = merged.groupBy("model").agg(F.array(*[F.sum(F.col("of")[i]) for i in range(cells)]).alias("of"))
+    whole = merged.select("model", "part", "data").join(own, ["model", "part"]).join(of, "model")
+    return stored(whole.mapInArrow(trimmed(_hash_arrays), "model string, part long, data binary"), "model")
+
+
+def answers(held: DataFrame, parts: int) -> DataFrame:
+    """_block, model, part and data: the log probabilities of the block's grams, in order."""
+    asked = stored(held.select("_block", "model", "fold", "text").mapInArrow(trimmed(_requests(parts)), ASKED_ROWS), "asked")
+    model = model_of(asked)
+    asked = asked.filter("not counts").select("model", "part", "block", "data")
+    blocks = asked.agg(F.count_distinct("block")).first()[0]
+    ways = max(1, blocks // WAYS)
+    salted = asked.withColumn("salt", F.pmod(F.xxhash64("block", F.lit(7)), F.lit(ways)))
+    salts = model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long")))) if ways > 1 else model.withColumn("salt", F.lit(0).cast("long"))
+    key = ["model", "part", "salt"]
+    return salted.groupBy(*key).cogroup(salts.groupBy(*key)).applyInArrow(lambda k, a, m: _answer(k, a, m) if a.num_rows else _NONE, "_block long, model string, part long, data binary")
+
+
+_NONE = pa.table({"_block": pa.array([], pa.int64()), "model": pa.array([], pa.string()), "part": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
+
+
+def log_perplexity(column: pa.ChunkedArray, fold: np.ndarray, told: dict[int, bytes], parts: int) -> np.ndarray:
+    """Per character of each text of one model in one block; told: what answers() gives, by part."""
+    held, first = [], 0
+    for code, at in characters(column):
+        grams, text, which, n = counted(code, at)
+        held.append((grams, (text + first).astype(np.int32), which.astype(np.int32), n.astype(np.int32)))
+        first += len(at) - 1
+    size = np.zeros(first)
+    total = np.zeros(first)
+    if not held:
+        return total
+    one, back = distinct(np.concatenate([x[0] for x in held]))
+    part = part_of(one, parts)
+    order = np.argsort(part, kind="stable")
+    logp = np.empty((len(one), 2), np.float32)
+    if len(one):
+        logp[order] = np.concatenate([unboxed(told[int(p)], *TOLD)[0] for p in np.unique(part)]) / np.float32(STEPS)
+    at = 0
+    for grams, text, which, n in held:
+        here = logp[back[at : at + len(grams)]]
+        at += len(grams)
+        total += np.bincount(text, n * here[which, fold[text]].astype(np.float64), minlength=first)
+        size += np.bincount(text, n, minlength=first)
+    return -total / np.maximum(size, 1)

@@ -1,16 +1,18 @@
 """Quality rules: text statistics and a perplexity band per language (operator 9).
 
-The language model is one of real characters, see `characters`; it grows with the corpus. Languages beyond the
-MAX_LANGUAGES with most text share one model and one band.
+The language model is one of real characters, see `characters`; it grows with the corpus. Each value of lang has its own model
+and band.
 
 Defined results: null text counts as empty (no words, so base_failed and not kept); a null lang is a language of
-its own; repeated rows are judged one by one, alike; an empty table gives an empty result; other columns of the
+its own; where no text of a language counts for its model, it has no band and the base rules alone decide; repeated rows are judged one by one, alike; an empty table gives an empty result; other columns of the
 input are ignored by `score` and kept by `keep`, where the judgement carries clashing names no further than its own
 row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -18,64 +20,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import characters
+from .characters import MIN_WORDS, SYMBOL, TRUST
 from .common import SPACE, mix, small_batches, steps, stored, texts_of, trimmed
 
-MAX_LANGUAGES = 48
-OTHER = "\x00other"
-BITS, ORDER = 5, 4
-SIZE = 1 << (BITS * ORDER)
 #: Bands: the median log perplexity per character of the texts of a language, less and more this many interquartile
 #: ranges, and the least widths on either side: texts that mix languages lie well above the median, though they are sound.
 SPREAD, LEAST_BELOW, LEAST_ABOVE = 4.0, 0.12, 0.9
 #: The mean over a short text varies more: the bands of a text are wider by this over the root of its characters.
 SHORT = 1.5
-MIN_WORDS = 50
-
-_SYMBOL = np.zeros(256, bool)
-_SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-
-
-def kneser_ney(n: np.ndarray) -> dict[str, np.ndarray]:
-    """The interpolated model of gram counts n, as sorted arrays: the small dense form, which only a test still uses."""
-    width, size = 1 << BITS, len(n)
-    levels = [n]
-    for _ in range(ORDER - 1):  # how many different symbols stand before each shorter gram
-        levels.append((levels[-1] > 0).reshape(width, -1).sum(axis=0))
-    below = np.full(width, 1.0 / width)
-    for c in reversed(levels):
-        have = [float((c == k).sum()) for k in (1, 2, 3, 4)]
-        y = have[0] / (have[0] + 2 * have[1]) if have[0] and have[1] else 0.5
-        d = [0.0] + [min(k, max(0.1, k - (k + 1) * y * have[k] / have[k - 1])) if have[k - 1] else 0.5 * k for k in (1, 2, 3)]
-        cut = np.array(d)[np.minimum(c, 3)]
-        by = c.reshape(-1, width)
-        total = by.sum(axis=1).astype(float)
-        weight = np.where(total > 0, cut.reshape(-1, width).sum(axis=1) / np.maximum(total, 1), 1.0)
-        under = np.tile(below, max(1, len(c) // len(below)))[: len(c)]
-        below, lower = np.where(c > 0, (c - cut) / np.maximum(np.repeat(total, width), 1), 0) + np.repeat(weight, width) * under, below
-    key = np.flatnonzero(n)
-    context = np.flatnonzero(total > 0)
-    assert size == len(below)
-    return {"key": key.astype(np.uint32), "logp": np.log(below[key]).astype(np.float32), "context": context.astype(np.uint32), "backoff": np.log(np.maximum(weight[context], 1e-12)).astype(np.float32), "lower": np.log(np.maximum(lower, 1e-12)).astype(np.float32)}
-
-
-def direct(model: dict[str, np.ndarray]) -> np.ndarray:
-    """The sorted arrays laid out for look-up by gram."""
-    weight = np.zeros(SIZE >> BITS, np.float32)
-    weight[model["context"]] = model["backoff"]
-    out = np.repeat(weight, 1 << BITS) + np.tile(model["lower"], 1 << BITS)
-    out[model["key"]] = model["logp"]
-    return out
-
-
-def held(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows with their block and model, the same each time they are read."""
-    small_batches(docs.sparkSession)
-    lang = F.coalesce("lang", F.lit(""))
-    total = docs.groupBy(lang.alias("model")).agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.desc_nulls_last("n"), "model")
-    named = [r["model"] for r in total.limit(MAX_LANGUAGES).collect()]
+#: Bytes of texts that one row of a block holds on its way to the scoring task.
+PACKED_BYTES = 4 << 20
+
+
+def held(docs: DataFrame, columns: list[str], rows: int) -> DataFrame:
+    """The rows with their block, model and fold, the same each time they are read."""
     given = F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]).alias("given")
-    rest = [F.when(lang.isin(named), lang).otherwise(OTHER).alias("model"), "text", given]
-    shift = characters.BLOCK.bit_length() - 1
+    fold = F.coalesce(F.xxhash64("text", F.lit(9)).bitwiseAND(1), F.lit(0)).cast("int").alias("fold")
+    rest = [F.coalesce("lang", F.lit("")).alias("model"), fold, "text", given]
+    shift = rows.bit_length() - 1
     try:  # rows of files are numbered already
         return docs.select(F.xxhash64("_metadata.file_path", F.shiftright("_metadata.row_index", shift)).alias("_block"), *rest)
     except AnalysisException:
@@ -104,72 +66,95 @@ def _facts(text: bytes) -> tuple[int, int, int]:
     return n, len(lines) - len(set(lines)), twice
 
 
-_NOTHING = pa.table({x: pa.array([], pa.string() if x in ("model", "gram") else pa.int64()) for x in ("model", "k", "gram", "c", "total", "t1", "t2", "t3")})
-
-
-def _score(docs: pa.Table, told: pa.Table) -> pa.Table:
-    """Statistics and log perplexity of a block's documents; told: the counts of its grams; both packed."""
-    docs = characters.unpack(docs["bytes"])
-    told = characters.unpack(told["bytes"]) if told.num_rows else _NOTHING
-    models = np.array(docs["model"].to_pylist(), object)
-    known = np.array(told["model"].to_pylist(), object)
-    gram = told["gram"].to_numpy()
-    raw, at = texts_of(docs["text"])
-    n = len(models)
-    facts = np.zeros((n, 5), np.int64)
-    logp = np.zeros(n)
-    for lo, hi in steps(at):
-        part, own = raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-        if len(part):
-            ends = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[own])
-            facts[lo:hi, 1] = ends(~SPACE[part] & ((part & 0xC0) != 0x80))
-            facts[lo:hi, 2] = ends(_SYMBOL[part])
-        for k in range(lo, hi):
-            if own[k - lo] < own[k - lo + 1]:
-                facts[k, [0, 3, 4]] = _facts(part[own[k - lo] : own[k - lo + 1]].tobytes())
-    for model in dict.fromkeys(models):
-        take = models == model
-        if at[1:][take].sum() > at[:-1][take].sum():
-            of = known == model
-            here = {x: told[x].to_numpy()[of] for x in ("k", "c", "total", "t1", "t2", "t3")}
-            here["gram"] = gram[of]
-            here["k"] = np.where(here["gram"] == "", -here["k"], here["k"])
-            logp[take] = characters.log_perplexity(docs["text"].filter(pa.array(take)), here)
-    new = {name: pa.array(facts[:, i]) for i, name in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}
-    return pa.table({"given": docs["given"], "text": docs["text"], **new, "log_perplexity": pa.array(logp, mask=np.diff(at) == 0), "model": docs["model"]})
+def packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_table(table.combine_chunks())
+    return out.getvalue().to_pybytes()
+
+
+def unpack(column: pa.ChunkedArray) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in column])
+
+
+def _pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a _block, as few rows of the block and its rows without it, as bytes."""
+    out = lambda block, some: pa.record_batch({"_block": pa.array([block]), "bytes": pa.array([packed(pa.Table.from_batches(some).drop_columns(["_block"]))], pa.binary())})
+    some: list[pa.RecordBatch] = []
+    now, size = None, 0
+    for block, batch in characters.by_block(rows):
+        if some and (block != now or size > PACKED_BYTES):
+            yield out(now, some)
+            some, size = [], 0
+        some.append(batch)
+        now, size = block, size + batch.nbytes
+    if some:
+        yield out(now, some)
+
+
+def _score(parts: int):
+    def run(key, docs, told):
+        """Statistics and log perplexity of a block's documents; told: the probabilities of its grams."""
+        docs = unpack(docs["bytes"])
+        answers: dict[str, dict[int, bytes]] = {}
+        for model, part, data in zip(*(told[c].to_pylist() for c in ("model", "part", "data"))):
+            answers.setdefault(model, {})[part] = data
+        raw, at = texts_of(docs["text"])
+        n = docs.num_rows
+        facts = np.zeros((n, 5), np.int64)
+        logp = np.zeros(n)
+        for lo, hi in steps(at):
+            part, own = raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+            if len(part):
+                ends = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[own])
+                facts[lo:hi, 1] = ends(~SPACE[part] & ((part & 0xC0) != 0x80))
+                facts[lo:hi, 2] = ends(SYMBOL[part])
+            for k in range(lo, hi):
+                if own[k - lo] < own[k - lo + 1]:
+                    facts[k, [0, 3, 4]] = _facts(part[own[k - lo] : own[k - lo + 1]].tobytes())
+        fold = docs["fold"].to_numpy()
+        for model, rows in characters.models_of(docs["model"]):
+            take = rows.to_numpy()
+            logp[take] = characters.log_perplexity(docs["text"].take(rows), fold[take], answers.get(model, {}), parts)
+        new = {name: pa.array(facts[:, i]) for i, name in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}
+        return pa.table({"given": docs["given"], "text": docs["text"], **new, "log_perplexity": pa.array(logp, mask=np.diff(at) == 0), "model": docs["model"]})
+
+    return run
 
 
 def _scored(docs: DataFrame, columns: list[str]) -> DataFrame:
     """given (the other columns), text, statistics, log perplexity and model of each row."""
     from pyspark.sql.types import StructField, StructType
 
-    rows = held(docs, columns)
+    small_batches(docs.sparkSession)
+    size, parts = characters.block_rows(docs)
+    rows = held(docs, columns, size)
     stats = docs.sparkSession.createDataFrame([], _STATS).schema
     schema = StructType([rows.schema["given"], StructField("text", rows.schema["text"].dataType), *stats.fields])
-    pack = lambda df, *how: df.mapInArrow(trimmed(characters.pack(*how)), "_block long, bytes binary").groupBy("_block")
-    told = pack(characters.answers(rows), characters.PACKED, [("_block", "ascending"), ("model", "ascending"), ("k", "ascending"), ("gram", "ascending")])
-    return pack(rows, 4 << 20, []).cogroup(told).applyInArrow(_score, schema)
+    told = characters.answers(rows, parts)
+    whole = rows.mapInArrow(trimmed(_pack), "_block long, bytes binary")
+    return whole.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(_score(parts), schema)
 
 
 _STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, model string"
 
 
+def bands(scored: DataFrame) -> DataFrame:
+    """The lower and upper border of each language, from the texts that count for its model; a language without such texts has none."""
+    q = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000)
+    fit = scored.filter((F.col("n_words") >= MIN_WORDS) & (TRUST * F.col("n_symbols") <= F.col("n_words")) & F.col("log_perplexity").isNotNull()).groupBy("model").agg(q.alias("q"))
+    wide = SPREAD * (F.col("q")[2] - F.col("q")[0])
+    low, high = F.col("q")[1] - F.greatest(F.lit(LEAST_BELOW), wide), F.col("q")[1] + F.greatest(F.lit(LEAST_ABOVE), wide)
+    return stored(fit.select("model", low.alias("low"), high.alias("high")), "bands")
+
+
 def _judged(scored: DataFrame) -> DataFrame:
     """Adds base_failed, the band of the language and kept."""
-    spark = scored.sparkSession
-    rows = (
-        scored.filter((F.col("n_words") >= MIN_WORDS) & F.col("log_perplexity").isNotNull())
-        .groupBy("model").agg(F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias("q")).collect()
-    )
-    bands = spark.createDataFrame(
-        [(r["model"], r["q"][1] - max(LEAST_BELOW, SPREAD * (r["q"][2] - r["q"][0])), r["q"][1] + max(LEAST_ABOVE, SPREAD * (r["q"][2] - r["q"][0]))) for r in rows],
-        "model string, low double, high double",
-    )  # a row a language, MAX_LANGUAGES + 1 at most
     slack = SHORT / F.sqrt(F.greatest(F.col("word_chars"), F.lit(1)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        scored.join(F.broadcast(bands), "model", "left").withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & F.coalesce(F.col("log_perplexity").between(F.col("low") - slack, F.col("high") + slack), F.lit(False)))
+        scored.join(bands(scored), "model", "left").withColumn("base_failed", failed)
+        .withColumn("kept", ~failed & F.coalesce(F.col("log_perplexity").between(F.col("low") - slack, F.col("high") + slack), F.lit(True)))
     )
 
 
