@@ -71,4 +71,14 @@ def oracle_sql() -> dict[str, str]:
     SELECT page_id, host, path, rule, coalesce(said, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
     FROM (SELECT *, EXISTS (SELECT 1 FROM listed WHERE host = listed.h OR ends_with(host, '.' || listed.h)) AS listed FROM fits)
     """
-    return {"op2_url_filter": op2}
+    op3 = f"""
+    WITH RECURSIVE v AS (
+        SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE len(embedding) > 0 AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, x -> NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+    ), links AS MATERIALIZED (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {vectors.COSINE}
+    ), reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    lowest AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN lowest ON vec_id = lowest.a LEFT JOIN counted ON vec_id = counted.a
+    """
+    return {"op2_url_filter": op2, "op3_embedding_duplicates": op3}
