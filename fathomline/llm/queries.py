@@ -74,7 +74,7 @@ def oracle_sql() -> dict[str, str]:
     op3 = f"""
     WITH RECURSIVE v AS (
         SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-        WHERE len(embedding) > 0 AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, x -> NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+        WHERE len(embedding) > 0 AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
     ), links AS MATERIALIZED (
         SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {vectors.COSINE}
     ), reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
