@@ -74,8 +74,8 @@ def medoids(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return far.groupBy("cluster", "center").agg(F.array_sort(F.collect_list(F.struct(F.round("d", 6).alias("distance"), "id"))).alias("x")).select("cluster", "center", F.col("x.id").alias("members"), F.col("x.distance").alias("distances"))
 
 
-def average_linkage(pairs: DataFrame, k: int) -> DataFrame:
-    """CLU-10: id, label of average-linkage clusters of a small set of entities (a few hundred), in one task.
+def average_linkage(pairs: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+    """CLU-10: by, id, label of average-linkage clusters of small sets of entities (a few hundred), each in one task.
 
     Entities per matrix are bounded by the caller, as the distance matrix itself is quadratic.
     """
@@ -100,10 +100,11 @@ def average_linkage(pairs: DataFrame, k: int) -> DataFrame:
             d[j], d[:, j] = np.inf, np.inf
             size[i] += size[j]
             group[group == j] = i
-        return pd.DataFrame({"id": ids, "label": pd.Series(pd.factorize(group)[0] + 1, dtype="int32")})
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * n for c in by or ()}, "id": ids, "label": pd.Series(pd.factorize(group)[0] + 1, dtype="int32")})
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.groupBy(F.lit(1).alias("g")).applyInPandas(run, f"id {kind}, label int")
+    kind = lambda c: pairs.schema[c].dataType.simpleString()
+    groups = pairs.groupBy(*by) if by else pairs.groupBy(F.lit(1).alias("g"))
+    return groups.applyInPandas(run, ", ".join([*(f"{c} {kind(c)}" for c in by or ()), f"id {kind('a')}", "label int"]))
 
 
 def dbscan_distances(pairs: DataFrame, ids: DataFrame, eps: float, min_samples: int, rounds: int = 50) -> DataFrame:

@@ -98,6 +98,24 @@ def pairwise(df: DataFrame, name: str, both: bool = False) -> DataFrame:
     return out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")) if both else out
 
 
+def paired(queries: DataFrame, df: DataFrame, slices: int = 64) -> DataFrame:
+    """JN-10: a, xa, b, xb: each of a stated set of queries with every other row, in blocks: a slice of the rows with all queries."""
+    a = queries.select(F.col("id").alias("a"), F.col("x").alias("xa"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"))
+    b = df.select(F.col("id").alias("b"), F.col("x").alias("xb"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("_slice")).repartition(slices, "_slice")
+    return a.join(b, "_slice").filter("a <> b").drop("_slice")
+
+
+def against(queries: DataFrame, df: DataFrame, name: str) -> DataFrame:
+    """CLU-01 to 08: a, b, d of a stated set of queries against all rows."""
+    return paired(queries, df).select("a", "b", DISTANCES[name](F.col("xa"), F.col("xb")).alias("d"))
+
+
+def within(df: DataFrame, name: str, key: str) -> DataFrame:
+    """JN-10, CLU-09: key, a, b, d of all pairs (both directions) of rows with one key, as the entities of one domain are."""
+    a, b = df.select(key, F.col("id").alias("a"), F.col("x").alias("xa")), df.select(key, F.col("id").alias("b"), F.col("x").alias("xb"))
+    return a.join(b, key).filter("a <> b").select(key, "a", "b", DISTANCES[name](F.col("xa"), F.col("xb")).alias("d"))
+
+
 def max_column_sum(df: DataFrame) -> DataFrame:
     """CLU-03: the matrix 1-norm of the difference of two multivariate series: the largest sum over features at one time."""
     rows = df.select("entity", "feature", "bucket_ts", "value")

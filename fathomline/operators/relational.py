@@ -33,11 +33,35 @@ def range_join(left: DataFrame, right: DataFrame, before: int, after: int, lts:
     return a.join(b, "_cell").filter(F.col(rts).between(F.col(lts) - before, F.col(lts) + after)).drop("_cell")
 
 
-def nearest_clean_slot(faults: DataFrame, clean: DataFrame, key: str = "fault_id") -> DataFrame:
-    """JN-06: for each fault the clean slot of the day (here: of the time of day) nearest to its own, the earlier of equals."""
-    pairs = faults.join(F.broadcast(clean), F.lit(True))  # clean: the 48 slots of a day at most
-    w = Window.partitionBy(key).orderBy(F.abs(F.col("slot") - F.col("clean_slot")), "clean_slot")
-    return pairs.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+def nearest_clean_slot(faults: DataFrame, clean: DataFrame, by: list[str]) -> DataFrame:
+    """JN-06: for each fault the clean slot of its component that is nearest to its own, the earlier of equals; faults without one are left out.
+
+    clean: by, slot; the slots of a component are a day's at most, so they are one array.
+    """
+    free = clean.groupBy(*by).agg(F.collect_set("slot").alias("free"))
+    far = F.transform("free", lambda s: F.struct(F.abs(F.col("slot") - s).alias("far"), s.alias("clean_slot")))
+    return faults.join(free, by).withColumn("clean_slot", F.array_min(far)["clean_slot"]).drop("free")
+
+
+def free_slots(taken: DataFrame, by: list[str], slots: int) -> DataFrame:
+    """JN-07: by, slot: the slots 0 to slots - 1 that hold none of the rows of a component."""
+    used = taken.groupBy(*by).agg(F.collect_set(F.col("slot").cast("long")).alias("used"))  # `slots` at most
+    return used.select(*by, F.explode(F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")), "used")).alias("slot"))
+
+
+def numbered(df: DataFrame, by: str, name: str, then: list | None = None, ranges: int = 200) -> DataFrame:
+    """JN-14, RNK-02: the place of each row in the order by a number, and then by other columns; from 1.
+
+    Rows are dealt into ranges between quantiles of the number, numbered in each, and moved by the rows of the ranges before.
+    Rows with one number share a range.
+    """
+    edges = sorted(set(df.agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []))
+    at = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(by))) if edges else F.lit(0)
+    rows = df.withColumn("_range", F.when(F.col(by).isNull(), F.lit(len(edges) + 1)).otherwise(at))
+    size = rows.groupBy("_range").agg(F.count("*").alias("n"))  # a row for each range
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(F.asc_nulls_last(by), *(then or [])))
+    return rows.join(F.broadcast(size.select("_range", before.alias("_before"))), "_range").withColumn(name, own + F.col("_before")).drop("_range", "_before")
 
 
 def aligned(a: DataFrame, b: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

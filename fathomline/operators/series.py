@@ -63,11 +63,17 @@ def padded_templates(known: DataFrame, n: int) -> DataFrame:
     return ids.join(known, "template_id", "left").select("template_id", F.coalesce("text", F.format_string("<UNKNOWN_PATTERN_%d>", "template_id")).alias("text"))
 
 
-def padded_entities(df: DataFrame, n: int) -> DataFrame:
-    """PRJ-10: entities 0 to n-1 for each time; missing ones are 0."""
-    ids = df.sparkSession.range(n).select(F.col("id").cast("int").alias("entity_no"))
-    grid = df.select("bucket_ts").distinct().crossJoin(F.broadcast(ids))
-    return grid.join(df, ["entity_no", "bucket_ts"], "left").select("entity_no", "bucket_ts", F.coalesce("value", F.lit(0.0)).alias("value"))
+def padded_entities(df: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """PRJ-10: entities 0 to n-1 for each time (and feature); missing ones are 0."""
+    grid = df.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("entity_no"))
+    return grid.join(df, ["entity_no", *by], "left").select(*by, "entity_no", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def dense(df: DataFrame, fill: float = 0.0) -> DataFrame:
+    """Every series has a row at every bucket that any has; missing values are `fill`."""
+    buckets = df.agg(F.array_sort(F.collect_set("bucket_ts")).alias("all"))  # one row: the buckets of the time covered
+    grid = df.select("entity", "feature").distinct().crossJoin(buckets).select("entity", "feature", F.explode("all").alias("bucket_ts"))
+    return grid.join(df, ["entity", "feature", "bucket_ts"], "left").withColumn("value", F.coalesce("value", F.lit(fill)))
 
 
 def repeated_entities(df: DataFrame, n: int) -> DataFrame:

@@ -99,7 +99,7 @@ def _(t):
     return D.anomaly_listing(D.percentile_flags(t.samples, 0.95))
 
 
-@query("det_14g_robust_mean_score", "WITH q AS (SELECT entity, feature, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM samples GROUP BY ALL) SELECT entity, bucket_ts, round(avg((value - b) / (1 + c - a)), 6) AS score FROM samples JOIN q USING (entity, feature) GROUP BY ALL", "samples")
+@query("det_14_robust_mean_score", "WITH q AS (SELECT entity, feature, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM samples GROUP BY ALL) SELECT entity, bucket_ts, round(avg((value - b) / (1 + c - a)), 6) AS score FROM samples JOIN q USING (entity, feature) GROUP BY ALL", "samples")
 def _(t):
     return D.mean_over_features(D.robust_scaled(t.samples)).withColumn("score", R("score"))
 

@@ -42,32 +42,41 @@ def _(t):
     return C.small_to_outliers(t.vectors.select("id", "label"), 5).select("id", "cluster")
 
 
-_PAIR = "SELECT a.id AS a, b.id AS b, round({}, 6) AS d FROM vectors a JOIN vectors b ON a.id < b.id"
+#: Vectors whose id is divisible by 100 are the query set that pairs are formed with, against all vectors.
+_PAIR = "SELECT a.id AS a, b.id AS b, round({}, 6) AS d FROM vectors a JOIN vectors b ON a.id % 100 = 0 AND a.id <> b.id"
 _SQ = "list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 _DOT = "list_inner_product({}, {})"
 
 
+def _against(t, name, places=6):
+    return D.against(t.vectors.filter("id % 100 = 0"), t.vectors, name).withColumn("d", R("d", places))
+
+
+def _within(t):
+    """Distances between the vectors of each label."""
+    return D.within(t.vectors.withColumnRenamed("label", "cluster"), "euclidean", "cluster")
+
+
 def _norm(x):
     return f"sqrt(list_inner_product({x}, {x}))"
 
 
 @query("clu_01_euclidean", _PAIR.format(f"sqrt({_SQ})"), "vectors")
 def _(t):
-    return D.pairwise(t.vectors, "euclidean").withColumn("d", R("d"))
+    return _against(t, "euclidean")
 
 
-@query("clu_01b_weighted_euclidean", "WITH v AS (SELECT entity, feature, list(value ORDER BY bucket_ts)[1:20] AS x FROM samples GROUP BY ALL), f AS (SELECT * FROM v WHERE len(x) = 20), w(feature, w) AS (VALUES ('view', 0.5::DOUBLE), ('click', 0.3::DOUBLE), ('error', 0.2::DOUBLE)) SELECT a.entity AS a, b.entity AS b, round(sum(w * sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))), 6) AS d FROM f a JOIN f b ON a.feature = b.feature AND a.entity < b.entity JOIN w ON w.feature = a.feature GROUP BY ALL", "samples")
+@query("clu_01b_weighted_euclidean", "WITH w(feature, w) AS (VALUES ('view', 0.5::DOUBLE), ('click', 0.3::DOUBLE), ('error', 0.2::DOUBLE)), g AS (SELECT entity, feature, bucket_ts, coalesce(value, 0.0) AS value FROM (SELECT DISTINCT entity, feature FROM samples) CROSS JOIN (SELECT DISTINCT bucket_ts FROM samples) LEFT JOIN samples USING (entity, feature, bucket_ts)), d AS (SELECT a.entity AS a, b.entity AS b, feature, sqrt(sum((a.value - b.value) ** 2)) AS d FROM g a JOIN g b USING (feature, bucket_ts) WHERE a.entity < b.entity GROUP BY ALL) SELECT a, b, round(sum(w * d), 6) AS d FROM d JOIN w USING (feature) GROUP BY ALL", "samples")
 def _(t):
-    from ..operators.series import pack
+    from ..operators.series import dense, pack
 
-    v = pack(t.samples).select("entity", "feature", F.slice("values", 1, 20).alias("values")).filter(F.size("values") == 20)
     w = t.spark.createDataFrame([("view", 0.5), ("click", 0.3), ("error", 0.2)], "feature string, w double")
-    return D.weighted_euclidean(v, w).withColumn("d", R("d"))
+    return D.weighted_euclidean(pack(dense(t.samples)).select("entity", "feature", "values"), w).withColumn("d", R("d"))
 
 
 @query("clu_02_normalised_euclidean", _PAIR.format(f"sqrt(greatest(0.0, 2 - 2 * list_inner_product(a.x, b.x) / ({_norm('a.x')} * {_norm('b.x')})))"), "vectors")
 def _(t):
-    return D.pairwise(t.vectors, "normalised_euclidean").withColumn("d", R("d"))
+    return _against(t, "normalised_euclidean")
 
 
 @query("clu_03_max_column_sum", "SELECT a, b, round(max(s), 6) AS d FROM (SELECT l.entity AS a, r.entity AS b, l.bucket_ts, sum(abs(l.value - r.value)) AS s FROM samples l JOIN samples r ON l.feature = r.feature AND l.bucket_ts = r.bucket_ts AND l.entity < r.entity GROUP BY ALL) GROUP BY ALL", "samples")
@@ -77,39 +86,37 @@ def _(t):
 
 @query("clu_03b_manhattan", _PAIR.format("list_sum(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2])))"), "vectors")
 def _(t):
-    return D.pairwise(t.vectors, "manhattan").withColumn("d", R("d"))
+    return _against(t, "manhattan")
 
 
-@query("clu_04_squared", _PAIR.format(_SQ), "vectors")
+@query("clu_04_squared", _PAIR.format(_SQ).replace(", 6)", ", 8)"), "vectors")
 def _(t):
-    return D.pairwise(t.vectors, "squared").withColumn("d", R("d"))
+    return _against(t, "squared", 8)
 
 
-@query("clu_05_pearson", "WITH c AS (SELECT id, list_transform(x, lambda v: v - list_avg(x)) AS x FROM vectors) SELECT a.id AS a, b.id AS b, round(1 - list_inner_product(a.x, b.x) / sqrt(list_inner_product(a.x, a.x) * list_inner_product(b.x, b.x)), 6) AS d FROM c a JOIN c b ON a.id < b.id", "vectors")
+@query("clu_05_pearson", "WITH c AS (SELECT id, list_transform(x, lambda v: v - list_avg(x)) AS x FROM vectors) SELECT a.id AS a, b.id AS b, round(1 - list_inner_product(a.x, b.x) / sqrt(list_inner_product(a.x, a.x) * list_inner_product(b.x, b.x)), 6) AS d FROM c a JOIN c b ON a.id % 100 = 0 AND a.id <> b.id", "vectors")
 def _(t):
-    return D.pairwise(t.vectors, "pearson").withColumn("d", R("d"))
+    return _against(t, "pearson")
 
 
-_SHIFTS = """WITH v AS (SELECT id, x[1:16] AS x FROM vectors WHERE id < 12), u AS (SELECT id, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM v), n AS (SELECT id, sqrt(sum(v * v)) AS n FROM u GROUP BY 1), c AS (SELECT p.id AS a, q.id AS b, p.i - q.i AS s, sum(p.v * q.v) AS c FROM u p JOIN u q ON p.id < q.id GROUP BY ALL), k AS (SELECT c.a, c.b, s, c / (x.n * y.n) AS c FROM c JOIN n x ON x.id = c.a JOIN n y ON y.id = c.b) """
+_SHIFTS = """WITH u AS (SELECT id, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM vectors), n AS (SELECT id, sqrt(sum(v * v)) AS n FROM u GROUP BY 1), c AS (SELECT p.id AS a, q.id AS b, p.i - q.i AS s, sum(p.v * q.v) AS c FROM u p JOIN u q ON p.id % 100 = 0 AND p.id <> q.id GROUP BY ALL), k AS (SELECT c.a, c.b, s, c / (x.n * y.n) AS c FROM c JOIN n x ON x.id = c.a JOIN n y ON y.id = c.b) """
 
 
 @query("clu_06_shape_based", _SHIFTS + "SELECT a, b, round(1 - max(c), 6) AS d FROM k GROUP BY ALL", "vectors")
 def _(t):
-    return D.pairwise(t.vectors.filter("id < 12").select("id", F.slice("x", 1, 16).alias("x")), "shape_based").withColumn("d", R("d"))
+    return _against(t, "shape_based")
 
 
 @query("win_16_best_shift", _SHIFTS + "SELECT a, b, CAST(arg_min(s, (-round(c, 9), s)) AS INTEGER) AS shift FROM k GROUP BY ALL", "vectors")
 def _(t):
-    v = t.vectors.filter("id < 12").select("id", F.slice("x", 1, 16).alias("x"))
-    a, b = v.select(F.col("id").alias("a"), F.col("x").alias("xa")), v.select(F.col("id").alias("b"), F.col("x").alias("xb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", D.best_shift(F.col("xa"), F.col("xb")).alias("shift"))
+    return D.paired(t.vectors.filter("id % 100 = 0"), t.vectors).select("a", "b", D.best_shift(F.col("xa"), F.col("xb")).alias("shift"))
 
 
-_UNIT = "u AS (SELECT id, list_transform(x, lambda v: (v - list_min(x)) / (list_max(x) - list_min(x))) AS x FROM vectors WHERE id < 15)"
+_UNIT = "u AS (SELECT id, list_transform(x, lambda v: (v - list_min(x)) / (list_max(x) - list_min(x))) AS x FROM vectors)"
 
 
 def _unit(t):
-    return t.vectors.filter("id < 15").select("id", F.transform("x", lambda v: (v - F.array_min("x")) / (F.array_max("x") - F.array_min("x"))).alias("x"))
+    return t.vectors.select("id", F.transform("x", lambda v: (v - F.array_min("x")) / (F.array_max("x") - F.array_min("x"))).alias("x"))
 
 
 @query("agg_19_histogram", f"WITH {_UNIT}, b AS (SELECT id, CAST(least(9, floor(v * 10)) AS INTEGER) AS bin FROM (SELECT id, unnest(x) AS v FROM u)) SELECT id, bin, round(count(*) / 64, 6) AS share FROM b GROUP BY ALL", "vectors")
@@ -117,16 +124,15 @@ def _(t):
     return _unit(t).select("id", F.posexplode(D.histogram(F.col("x"), 10)).alias("bin", "share")).filter("share > 0").withColumn("share", R("share"))
 
 
-@query("clu_07_symmetric_divergence", f"WITH {_UNIT}, b AS (SELECT id, least(9, floor(v * 10)) AS bin, count(*) / 64 AS p FROM (SELECT id, unnest(x) AS v FROM u) GROUP BY ALL), f AS (SELECT i.id, r.k, (coalesce(b.p, 0) + 1e-8) / (1 + 10 * 1e-8) AS p FROM (SELECT id FROM u) i CROSS JOIN range(10) r(k) LEFT JOIN b ON b.id = i.id AND b.bin = r.k) SELECT a.id AS a, c.id AS b, round(sum((a.p - c.p) * ln(a.p / c.p)), 6) AS d FROM f a JOIN f c ON a.k = c.k AND a.id < c.id GROUP BY ALL", "vectors")
+@query("clu_07_symmetric_divergence", f"WITH {_UNIT}, b AS (SELECT id, least(9, floor(v * 10)) AS bin, count(*) / 64 AS p FROM (SELECT id, unnest(x) AS v FROM u) GROUP BY ALL), f AS (SELECT i.id, r.k, (coalesce(b.p, 0) + 1e-8) / (1 + 10 * 1e-8) AS p FROM (SELECT id FROM u) i CROSS JOIN range(10) r(k) LEFT JOIN b ON b.id = i.id AND b.bin = r.k) SELECT a.id AS a, c.id AS b, round(sum((a.p - c.p) * ln(a.p / c.p)), 6) AS d FROM f a JOIN f c ON a.k = c.k AND a.id % 100 = 0 AND a.id <> c.id GROUP BY ALL", "vectors")
 def _(t):
     u = _unit(t)
-    a, b = u.select(F.col("id").alias("a"), F.col("x").alias("xa")), u.select(F.col("id").alias("b"), F.col("x").alias("xb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", R(D.symmetric_divergence(F.col("xa"), F.col("xb"), 10)).alias("d"))
+    return D.paired(u.filter("id % 100 = 0"), u).select("a", "b", R(D.symmetric_divergence(F.col("xa"), F.col("xb"), 10)).alias("d"))
 
 
-@query("clu_08_wasserstein", "WITH s AS (SELECT id, list_sort(x) AS x FROM vectors) SELECT a.id AS a, b.id AS b, round(list_sum(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2]))) / 64, 6) AS d FROM s a JOIN s b ON a.id < b.id", "vectors")
+@query("clu_08_wasserstein", "WITH s AS (SELECT id, list_sort(x) AS x FROM vectors) SELECT a.id AS a, b.id AS b, round(list_sum(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2]))) / 64, 10) AS d FROM s a JOIN s b ON a.id % 100 = 0 AND a.id <> b.id", "vectors")
 def _(t):
-    return D.pairwise(t.vectors, "wasserstein").withColumn("d", R("d"))
+    return _against(t, "wasserstein", 10)
 
 
 @query("jn_11_nearest_centre", f"WITH p AS (SELECT a.id AS id, b.id AS center, round(sqrt({_SQ}), 9) AS d FROM vectors a CROSS JOIN (SELECT * FROM vectors WHERE id IN (0, 1, 2)) b) SELECT id, center, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, center) AS r FROM p) WHERE r = 1", "vectors")
@@ -136,13 +142,13 @@ def _(t):
 
 @query("clu_14_medoids", f"WITH p AS (SELECT a.label AS cluster, a.id AS a, b.id AS b, sqrt({_SQ}) AS d FROM vectors a JOIN vectors b ON a.label = b.label), s AS (SELECT cluster, a, round(sum(d), 6) AS s FROM p GROUP BY ALL), c AS (SELECT cluster, a AS center FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY s, a) AS r FROM s) WHERE r = 1) SELECT p.cluster, center, list(b ORDER BY round(d, 6), b) AS members FROM p JOIN c ON c.cluster = p.cluster AND c.center = p.a GROUP BY ALL", "vectors")
 def _(t):
-    return C.medoids(D.pairwise(t.vectors, "euclidean", both=True), t.vectors.select("id", F.col("label").alias("cluster"))).select("cluster", "center", "members")
+    return C.medoids(_within(t).drop("cluster"), t.vectors.select("id", F.col("label").alias("cluster"))).select("cluster", "center", "members")
 
 
-@query("agg_22_sse", f"WITH p AS (SELECT a.label AS cluster, a.id AS a, b.id AS b, sqrt({_SQ}) AS d FROM vectors a JOIN vectors b ON a.label = b.label), s AS (SELECT cluster, a, round(sum(d), 6) AS s, sum(d * d) AS q FROM p GROUP BY ALL) SELECT cluster, round(arg_min(q, (s, a)), 4) AS sse FROM s GROUP BY 1", "vectors")
+@query("agg_22_sse", f"WITH p AS (SELECT a.label AS cluster, a.id AS a, b.id AS b, sqrt({_SQ}) AS d FROM vectors a JOIN vectors b ON a.label = b.label), s AS (SELECT cluster, a, round(sum(d), 6) AS s, sum(d * d) AS q FROM p GROUP BY ALL) SELECT cluster, round(arg_min(q, (s, a)), 3) AS sse FROM s GROUP BY 1", "vectors")
 def _(t):
-    m = C.medoids(D.pairwise(t.vectors, "euclidean", both=True), t.vectors.select("id", F.col("label").alias("cluster")))
-    return m.select("cluster", R(F.aggregate("distances", F.lit(0.0), lambda a, d: a + d * d), 4).alias("sse"))
+    m = C.medoids(_within(t).drop("cluster"), t.vectors.select("id", F.col("label").alias("cluster")))
+    return m.select("cluster", R(F.aggregate("distances", F.lit(0.0), lambda a, d: a + d * d), 3).alias("sse"))
 
 
 @query("win_17_yin", "WITH v AS (SELECT id, x FROM vectors), d AS (SELECT id, l AS lag, list_sum(list_transform(range(0, 44), lambda i: (x[i + 1] - x[i + 1 + l]) ** 2)) AS d FROM v CROSS JOIN range(20) r(l)) SELECT id, CAST(lag AS INTEGER) AS lag, round(CASE WHEN lag = 0 THEN 1.0 ELSE d * lag / (sum(CASE WHEN lag > 0 THEN d END) OVER (PARTITION BY id ORDER BY lag) + 1e-8) END, 6) AS c FROM d", "vectors")
@@ -170,12 +176,12 @@ def _(t):
 
 @query("clu_10_average_linkage")
 def _(t):
-    return C.average_linkage(D.pairwise(t.vectors, "euclidean"), 6)
+    return C.average_linkage(_within(t), 6, ["cluster"])
 
 
-@query("clu_12_dbscan_distances")
+@query("clu_12_dbscan_distances", f"WITH RECURSIVE p AS (SELECT a.label AS cluster, a.id AS a, b.id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.id <> b.id AND sqrt({_SQ}) <= 10.5), core AS (SELECT a AS id FROM p GROUP BY a HAVING count(*) >= 2), l AS (SELECT a, b FROM p WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)), r(a, b) AS (SELECT id, id FROM core UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), g AS (SELECT a AS id, min(b) AS label FROM r GROUP BY a), e AS (SELECT p.a AS id, min(g.label) AS label FROM p JOIN g ON p.b = g.id GROUP BY p.a) SELECT v.id, coalesce(g.label, e.label) AS label FROM vectors v LEFT JOIN g ON v.id = g.id LEFT JOIN e ON v.id = e.id", "vectors")
 def _(t):
-    return C.dbscan_distances(D.pairwise(t.vectors, "euclidean", both=True), t.vectors.select("id"), 10.5, 3)
+    return C.dbscan_distances(_within(t), t.vectors.select("id"), 10.5, 3)
 
 
 @query("clu_13_kmeans")

@@ -42,19 +42,16 @@ def _(t):
     return readers.csv(t.spark, p, "fault_id long, level string, reason string, component string, ts long")
 
 
-@query("src_04_matrix_text", "SELECT 'machine-1-' || m AS machine, CAST(i AS INTEGER) AS idx, CAST(m * 100 + i AS DOUBLE) AS a, CAST(i / 2.0 AS DOUBLE) AS b FROM range(1, 12) r(m) CROSS JOIN range(5) s(i)")
+@query("src_04_matrix_text", "WITH l AS (SELECT 'machine-' || (l_suppkey % 3) || '-' || l_suppkey AS machine, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i, l_quantity, l_extendedprice FROM lineitem) SELECT machine, CAST(i AS INTEGER) AS idx, l_quantity AS a, l_extendedprice AS b FROM l WHERE i < (SELECT min(n) FROM (SELECT count(*) AS n FROM l GROUP BY machine))")
 def _(t):
     p = _path(t, "matrix")
-    m = t.spark.range(1, 12).select("id", F.explode(F.sequence(F.lit(0), (F.col("id") % 4 + 4).cast("int"))).alias("i"))
-    body = m.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda i: F.concat_ws(",", F.col("id") * 100 + i, i / 2)), "\n").alias("value"))
-    parts = [body.filter(F.col("id") == k).select("value").coalesce(1) for k in range(1, 12)]
-    for k, part in enumerate(parts, 1):
-        part.write.text(f"{p}/machine-1-{k}")
-    files = t.spark.read.text(f"{p}/*", wholetext=True).withColumn("machine", F.regexp_extract(F.input_file_name(), r"(machine-\d+-\d+)", 1))
-    rows = files.select("machine", F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.length(x) > 0)).alias("idx", "line"))
-    least = rows.groupBy("machine").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
-    x = F.split("line", ",")
-    return rows.crossJoin(F.broadcast(least)).filter("idx < least").select("machine", "idx", x[0].cast("double").alias("a"), x[1].cast("double").alias("b"))
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    rows = t.lineitem.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(order)).alias("x"))  # a supplier's lines, as one file is a machine's
+    machine = F.concat(F.lit("machine-"), F.col("l_suppkey") % 3, F.lit("-"), "l_suppkey").alias("machine")
+    body = rows.select(machine, F.array_join(F.transform("x", lambda r: F.concat_ws(",", r["l_quantity"], r["l_extendedprice"])), "\n").alias("value"))
+    sinks.write_text(body, p, by=["machine"])
+    back = readers.matrix_text(t.spark, p)
+    return back.select("machine", "idx", F.col("values")[0].alias("a"), F.col("values")[1].alias("b"))
 
 
 @query("src_05_log_templates", "SELECT CAST(row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS INTEGER) AS template_id, CAST(n_regionkey AS VARCHAR) AS lang, n_name AS text FROM nation")
@@ -149,15 +146,12 @@ def _(t):
     return t.spark.read.schema("fault_id long, component string, symptoms array<string>").json(p)
 
 
-@query("win_21_valid_windows", "WITH taken AS (SELECT DISTINCT CAST(floor((ts - 1704067200) / 1800) AS BIGINT) AS s FROM faults), g AS (SELECT i AS slot, CASE WHEN i IN (SELECT s FROM taken) THEN 0 ELSE 1 END AS clean FROM range(1440) r(i)) SELECT slot FROM (SELECT *, lag(clean) OVER (PARTITION BY slot // 48 ORDER BY slot) AS before FROM g) WHERE clean = 1 AND before = 1", "faults")
+@query("win_21_valid_windows", "WITH taken AS (SELECT DISTINCT component, CAST(floor(ts / 1800) AS BIGINT) % 48 AS s FROM faults), g AS (SELECT c.component, i AS slot, t.s IS NULL AS clean FROM (SELECT DISTINCT component FROM faults) c CROSS JOIN range(48) r(i) LEFT JOIN taken t ON t.component = c.component AND t.s = i) SELECT component, slot FROM (SELECT *, lag(clean) OVER (PARTITION BY component ORDER BY slot) AS before FROM g) WHERE clean AND before", "faults")
 def _(t):
-    from pyspark.sql import Window
+    from ..operators.relational import free_slots
 
-    taken = t.faults.select(F.floor((F.col("ts") - START) / 1800).alias("slot")).distinct().withColumn("hit", F.lit(1))
-    g = t.spark.range(1440).select(F.col("id").alias("slot")).join(taken, "slot", "left")
-    w = Window.partitionBy(F.floor(F.col("slot") / 48)).orderBy("slot")
-    rows = g.withColumn("clean", F.col("hit").isNull()).withColumn("before", F.lag("clean").over(w))
-    return rows.filter("clean and before").select("slot")
+    clean = free_slots(t.faults.select("component", (F.floor(F.col("ts") / 1800) % 48).alias("slot")), ["component"], 48)
+    return clean.join(clean.select("component", (F.col("slot") + 1).alias("slot")), ["component", "slot"])
 
 
 @query("flt_04_around_fault_window", "SELECT fault_id, raw FROM faults f JOIN anomalies a ON a.ts BETWEEN f.ts - 60 AND f.ts + 300", "faults anomalies")

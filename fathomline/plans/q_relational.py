@@ -42,18 +42,17 @@ def _(t):
     return X.range_join(t.faults.select("fault_id", "ts"), p, 600, 3000, "ts", "at").select("fault_id", "event_id")
 
 
-@query("jn_06_nearest_clean_slot", """WITH f AS (SELECT fault_id, CAST(floor(ts / 1800) AS BIGINT) % 48 AS slot FROM faults WHERE component IN ('node_1', 'node_2')), taken AS (SELECT DISTINCT slot FROM f), clean AS (SELECT s AS clean_slot FROM range(48) r(s) WHERE s NOT IN (SELECT slot FROM taken))
-SELECT fault_id, slot, clean_slot FROM (SELECT *, row_number() OVER (PARTITION BY fault_id ORDER BY abs(slot - clean_slot), clean_slot) AS r FROM f CROSS JOIN clean) WHERE r = 1""", "faults")
+@query("jn_06_nearest_clean_slot", """WITH f AS (SELECT fault_id, component, CAST(floor(ts / 1800) AS BIGINT) % 48 AS slot FROM faults), taken AS (SELECT DISTINCT component, slot FROM f), clean AS (SELECT component, s AS clean_slot FROM (SELECT DISTINCT component FROM f) CROSS JOIN range(48) r(s) WHERE (component, s) NOT IN (SELECT (component, slot) FROM taken))
+SELECT fault_id, slot, clean_slot FROM (SELECT f.*, clean_slot, row_number() OVER (PARTITION BY fault_id ORDER BY abs(slot - clean_slot), clean_slot) AS r FROM f JOIN clean USING (component)) WHERE r = 1""", "faults")
 def _(t):
-    f = t.faults.filter("component in ('node_1', 'node_2')").select("fault_id", (F.floor(F.col("ts") / 1800) % 48).alias("slot"))
-    clean = t.spark.range(48).select(F.col("id").alias("clean_slot")).join(f.select(F.col("slot").alias("clean_slot")).distinct(), "clean_slot", "left_anti")
-    return X.nearest_clean_slot(f, clean)
+    f = t.faults.select("fault_id", "component", (F.floor(F.col("ts") / 1800) % 48).alias("slot"))
+    return X.nearest_clean_slot(f, X.free_slots(f, ["component"], 48), ["component"]).select("fault_id", "slot", "clean_slot")
 
 
-@query("jn_07_slots_without_faults", "SELECT s AS slot FROM range(1440) r(s) WHERE s NOT IN (SELECT CAST(floor((ts - 1704067200) / 1800) AS BIGINT) FROM faults)", "faults")
+@query("jn_07_slots_without_faults", "WITH f AS (SELECT DISTINCT component, CAST(floor(ts / 1800) AS BIGINT) % 48 AS slot FROM faults) SELECT g.component, g.slot FROM (SELECT component, s AS slot FROM (SELECT DISTINCT component FROM f) CROSS JOIN range(48) r(s)) g ANTI JOIN f ON f.component = g.component AND f.slot = g.slot", "faults")
 def _(t):
-    taken = t.faults.select(F.floor((F.col("ts") - 1704067200) / 1800).alias("slot")).distinct()
-    return t.spark.range(1440).select(F.col("id").alias("slot")).join(taken, "slot", "left_anti")
+    f = t.faults.select("component", (F.floor(F.col("ts") / 1800) % 48).alias("slot"))
+    return X.free_slots(f, ["component"], 48)
 
 
 @query("jn_08_aligned_entities", "SELECT entity, count(*) AS n FROM samples WHERE feature = 'view' AND entity IN (SELECT entity FROM samples WHERE feature = 'click' AND value > 180) GROUP BY 1", "samples")
@@ -67,11 +66,11 @@ def _(t):
     return X.calls(t.spans)
 
 
-@query("jn_12_merged_scores", "WITH a AS (SELECT entity, CAST(count(*) AS DOUBLE) AS score FROM anomalies WHERE attribute IN ('view', 'click') GROUP BY 1), b AS (SELECT entity, CAST(count(*) AS DOUBLE) AS score FROM anomalies WHERE attribute = 'error' AND ts % 2 = 0 GROUP BY 1) SELECT entity, round(0.6 * coalesce(a.score, 0) + 0.4 * coalesce(b.score, 0), 6) AS score FROM a FULL JOIN b USING (entity)", "anomalies")
+@query("jn_12_merged_scores", "WITH a AS (SELECT entity, CAST(count(*) AS DOUBLE) AS score FROM anomalies WHERE attribute IN ('view', 'click') GROUP BY 1), b AS (SELECT entity, CAST(count(*) AS DOUBLE) AS score FROM anomalies WHERE attribute = 'error' GROUP BY 1) SELECT entity, round(0.6 * coalesce(a.score, 0) + 0.4 * coalesce(b.score, 0), 6) AS score FROM a FULL JOIN b USING (entity)", "anomalies")
 def _(t):
     n = lambda d: d.groupBy("entity").agg(F.count("*").cast("double").alias("score"))
     a = t.anomalies
-    return X.merged_scores(n(a.filter("attribute in ('view', 'click')")), n(a.filter("attribute = 'error' and ts % 2 = 0")), 0.6, 0.4, ["entity"]).withColumn("score", R("score"))
+    return X.merged_scores(n(a.filter("attribute in ('view', 'click')")), n(a.filter("attribute = 'error'")), 0.6, 0.4, ["entity"]).withColumn("score", R("score"))
 
 
 _RANKED = "ranked AS (SELECT attribute AS cluster_id, entity, row_number() OVER (PARTITION BY attribute ORDER BY n DESC, entity) AS rank FROM (SELECT attribute, entity, count(*) AS n FROM anomalies GROUP BY ALL)), truth AS (SELECT attribute AS cluster_id, min(entity) AS root_cause_entity FROM anomalies GROUP BY 1)"
@@ -93,12 +92,10 @@ def _(t):
     return X.accuracy(X.top_hits(*_ranked(t))).select("n", R("top1").alias("top1"), R("top3").alias("top3"))
 
 
-@query("jn_14_row_numbers", "SELECT f.fault_id, r.row_no FROM faults f JOIN (SELECT *, CAST(row_number() OVER (ORDER BY o_orderkey) AS INTEGER) AS row_no FROM orders WHERE o_orderkey % 97 = 0) r ON r.o_orderpriority = f.level AND r.o_orderstatus = f.reason AND r.o_orderkey = f.fault_id", "faults")
+@query("jn_14_row_numbers", "SELECT f.fault_id, r.row_no FROM faults f JOIN (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS row_no FROM orders) r ON r.o_orderpriority = f.level AND r.o_orderstatus = f.reason AND r.o_orderkey = f.fault_id", "faults")
 def _(t):
-    rows = t.orders.filter("o_orderkey % 97 = 0").select(F.col("o_orderpriority").alias("level"), F.col("o_orderstatus").alias("reason"), F.col("o_orderkey").alias("fault_id"))
-    # numbered by sorted ranges and their counts would scale; the few fault records here are numbered in one window
-    rows = rows.withColumn("row_no", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("fault_id")))
-    return t.faults.join(rows, ["level", "reason", "fault_id"]).select("fault_id", "row_no")
+    rows = t.orders.select(F.col("o_orderpriority").alias("level"), F.col("o_orderstatus").alias("reason"), F.col("o_orderkey").alias("fault_id"))
+    return t.faults.join(X.numbered(rows, "fault_id", "row_no"), ["level", "reason", "fault_id"]).select("fault_id", "row_no")
 
 
 @query("jn_15_graph_incidence", "SELECT e.src, e.dst, s.n AS src_calls, d.n AS dst_calls FROM edges e JOIN (SELECT cmdb_id, count(*) AS n FROM spans GROUP BY 1) s ON s.cmdb_id = e.src JOIN (SELECT cmdb_id, count(*) AS n FROM spans GROUP BY 1) d ON d.cmdb_id = e.dst", "edges")
@@ -220,10 +217,10 @@ def _(t):
     return t.anomalies.groupBy("entity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity").limit(5)
 
 
-@query("rnk_02_multi_key_order", "SELECT entity, CAST(row_number() OVER (ORDER BY n DESC, kinds DESC, first_ts, entity) AS INTEGER) AS place FROM (SELECT entity, count(*) AS n, count(DISTINCT attribute) AS kinds, min(ts) AS first_ts FROM anomalies GROUP BY 1)", "anomalies")
+@query("rnk_02_multi_key_order", "SELECT entity, row_number() OVER (ORDER BY n DESC, kinds DESC, first_ts, entity) AS place FROM (SELECT entity, count(*) AS n, count(DISTINCT attribute) AS kinds, min(ts) AS first_ts FROM anomalies GROUP BY 1)", "anomalies")
 def _(t):
     e = t.anomalies.groupBy("entity").agg(F.count("*").alias("n"), F.countDistinct("attribute").alias("kinds"), F.min("ts").alias("first_ts"))
-    return e.select("entity", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), F.desc("kinds"), F.asc_nulls_last("first_ts"), "entity")).alias("place"))
+    return X.numbered(e.withColumn("first", -F.col("n")), "first", "place", [F.desc("kinds"), F.asc_nulls_last("first_ts"), "entity"]).select("entity", "place")
 
 
 @query("rnk_03_largest", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -258,9 +255,10 @@ def _(t):
     return t.edges.intersect(t.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-@query("set_03_except", "SELECT src, dst FROM edges EXCEPT SELECT dst, src FROM edges", "edges")
+@query("set_03_except", "WITH f AS (SELECT DISTINCT component, CAST(floor(ts / 86400) AS BIGINT) AS day FROM faults) SELECT component, day FROM f EXCEPT SELECT component, day + 1 FROM f", "faults")
 def _(t):
-    return t.edges.subtract(t.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    f = t.faults.select("component", F.floor(F.col("ts") / 86400).alias("day")).distinct()
+    return f.subtract(f.select("component", (F.col("day") + 1).alias("day")))
 
 
 @query("set_04_array_union", "SELECT entity, list_sort(list(DISTINCT attribute)) AS kinds FROM anomalies GROUP BY 1", "anomalies")

@@ -49,14 +49,14 @@ def _(t):
     return S.padded_templates(t.nation.select(F.col("n_nationkey").alias("template_id"), F.col("n_name").alias("text")), 40)
 
 
-@query("prj_10_padded_entities", "SELECT CAST(e AS INTEGER) AS entity_no, bucket_ts, coalesce(value, 0.0) AS value FROM (SELECT DISTINCT bucket_ts FROM samples WHERE feature = 'view') CROSS JOIN range(15) r(e) LEFT JOIN (SELECT CAST(substr(entity, 5) AS INTEGER) AS e, bucket_ts, value FROM samples WHERE feature = 'view') USING (e, bucket_ts)", "samples")
+@query("prj_10_padded_entities", "SELECT feature, CAST(e AS INTEGER) AS entity_no, bucket_ts, coalesce(value, 0.0) AS value FROM (SELECT DISTINCT feature, bucket_ts FROM samples) CROSS JOIN range(15) r(e) LEFT JOIN (SELECT feature, CAST(substr(entity, 5) AS INTEGER) AS e, bucket_ts, value FROM samples) USING (feature, e, bucket_ts)", "samples")
 def _(t):
-    return S.padded_entities(t.samples.filter("feature = 'view'").select(F.substring("entity", 5, 3).cast("int").alias("entity_no"), "bucket_ts", "value"), 15)
+    return S.padded_entities(t.samples.select("feature", F.substring("entity", 5, 3).cast("int").alias("entity_no"), "bucket_ts", "value"), 15, ["feature", "bucket_ts"])
 
 
-@query("prj_10b_repeated_entity", "SELECT CAST(e AS INTEGER) AS entity_no, bucket_ts, value FROM range(4) r(e) CROSS JOIN (SELECT bucket_ts, value FROM samples WHERE feature = 'view' AND entity = 'svc_3')", "samples")
+@query("prj_10b_repeated_entity", "SELECT CAST(e AS INTEGER) AS entity_no, feature, bucket_ts, value FROM range(4) r(e) CROSS JOIN (SELECT feature, bucket_ts, value FROM samples WHERE entity = 'svc_3')", "samples")
 def _(t):
-    return S.repeated_entities(t.samples.filter("feature = 'view' and entity = 'svc_3'").select("bucket_ts", "value"), 4)
+    return S.repeated_entities(t.samples.filter("entity = 'svc_3'").select("feature", "bucket_ts", "value"), 4)
 
 
 @query("prj_11_common_tail", "WITH a AS (SELECT * FROM samples WHERE feature = 'view'), b AS (SELECT * FROM samples WHERE feature = 'click') SELECT entity, feature, bucket_ts, value FROM (SELECT a.*, row_number() OVER (PARTITION BY entity ORDER BY bucket_ts DESC) AS r, count(*) OVER (PARTITION BY entity) AS na FROM a) JOIN (SELECT entity, count(*) AS nb FROM b GROUP BY 1) USING (entity) WHERE r <= least(na, nb)", "samples")
@@ -111,9 +111,9 @@ def _(t):
     return S.frequent(t.anomalies, ["entity", "attribute"], 2).select("ts", "entity", "attribute", "n")
 
 
-@query("flt_08_threshold_with_fallback", "WITH c AS (SELECT entity, attribute, count(*) AS cnt FROM anomalies WHERE ts % 5 = 0 GROUP BY ALL), m AS (SELECT *, max(cnt) OVER (PARTITION BY entity) AS top FROM c) SELECT entity, attribute, cnt FROM m WHERE cnt >= CASE WHEN top >= 2 THEN 2 ELSE 1 END", "anomalies")
+@query("flt_08_threshold_with_fallback", "WITH c AS (SELECT entity, attribute, count(*) AS cnt FROM anomalies GROUP BY ALL), m AS (SELECT *, max(cnt) OVER (PARTITION BY entity) AS top FROM c) SELECT entity, attribute, cnt FROM m WHERE cnt >= CASE WHEN top >= 2 THEN 2 ELSE 1 END", "anomalies")
 def _(t):
-    c = t.anomalies.filter("ts % 5 = 0").groupBy("entity", "attribute").agg(F.count("*").alias("cnt"))
+    c = t.anomalies.groupBy("entity", "attribute").agg(F.count("*").alias("cnt"))
     return S.with_fallback(c, "cnt", ["entity"])
 
 

@@ -37,12 +37,12 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def matrix_text(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-04: machine-g-i.txt files of comma-parted numbers as machine, idx, values, all cut to the shortest.
+    """SRC-04: files (or folders of one file) named machine-g-i, of comma-parted numbers, as machine, idx, values, all cut to the shortest.
 
     Rows are numbered by their place in the file. Machines sort by their numbers.
     """
     lines = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    name = F.regexp_extract("file", r"([^/]+)\.txt$", 1)
+    name = F.regexp_extract("file", r".*(machine-\d+-\d+)", 1)
     rows = lines.select(name.alias("machine"), F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.length(F.trim(x)) > 0)).alias("idx", "line"))
     n = rows.groupBy("machine").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
     out = rows.crossJoin(F.broadcast(n)).filter("idx < least")  # one row

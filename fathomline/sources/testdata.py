@@ -35,8 +35,10 @@ def anomalies(t) -> DataFrame:
 
 
 def faults(t) -> DataFrame:
-    """fault_id, level, reason, component, ts: orders of high priority seen as faults."""
-    return t.table("orders").filter("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("fault_id"), F.col("o_orderpriority").alias("level"), F.col("o_orderstatus").alias("reason"), F.concat(F.lit("node_"), F.col("o_custkey") % 7).alias("component"), (F.lit(1704067200) + F.col("o_orderkey") * 7919 % 2592000).cast("long").alias("ts"))
+    """fault_id, level, reason, component, ts: orders seen as faults, each customer as a component."""
+    ts = (F.lit(1704067200) + F.col("o_orderkey") * 7919 % 2592000).cast("long").alias("ts")
+    return t.table("orders").select(
+        F.col("o_orderkey").alias("fault_id"), F.col("o_orderpriority").alias("level"), F.col("o_orderstatus").alias("reason"), F.concat(F.lit("node_"), "o_custkey").alias("component"), ts)
 
 
 def spans(t) -> DataFrame:
@@ -51,7 +53,7 @@ def spans(t) -> DataFrame:
 def edges(t) -> DataFrame:
     """src, dst: distinct calls between components."""
     s = spans(t)
-    return s.alias("p").join(s.alias("c"), (F.col("p.span_id") == F.col("c.parent_id")) & (F.col("p.trace_id") == F.col("c.trace_id"))).select(F.col("p.cmdb_id").alias("src"), F.col("c.cmdb_id").alias("dst")).filter("src <> dst and src < 'signup'").distinct()
+    return s.alias("p").join(s.alias("c"), (F.col("p.span_id") == F.col("c.parent_id")) & (F.col("p.trace_id") == F.col("c.trace_id"))).select(F.col("p.cmdb_id").alias("src"), F.col("c.cmdb_id").alias("dst")).filter("src <> dst").distinct()
 
 
 def topology(t) -> DataFrame:
@@ -82,8 +84,8 @@ def incidents(t) -> DataFrame:
 
 
 def vectors(t) -> DataFrame:
-    """id, label, x: the first embeddings, as doubles rounded to 4 places."""
-    return t.table("embeddings").filter("vec_id < 40").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda v: F.round(v.cast("double"), 4)).alias("x"))
+    """id, label, x: the embeddings, as doubles rounded to 4 places."""
+    return t.table("embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda v: F.round(v.cast("double"), 4)).alias("x"))
 
 
 #: name: (adapters it needs, SQL)
@@ -91,9 +93,9 @@ SQL = {
     "points": ("", "SELECT event_id, 'svc_' || (user_id % 12) AS entity, event_type AS feature, CAST(floor(epoch(ts)) AS BIGINT) AS ts, value FROM events"),
     "samples": ("", f"SELECT 'svc_' || (user_id % 12) AS entity, event_type AS feature, CAST(floor(floor(epoch(ts)) / {BUCKET}) * {BUCKET} AS BIGINT) AS bucket_ts, round(avg(value), 3) AS value FROM events GROUP BY ALL"),
     "anomalies": ("points", "SELECT ts, CASE WHEN feature IN ('error', 'click') THEN 'metric' WHEN feature = 'view' THEN 'trace' ELSE 'log' END AS type, entity, feature AS attribute, CAST(event_id AS VARCHAR) AS raw FROM points JOIN (SELECT entity, feature, round(quantile_cont(value, 0.99), 6) AS high FROM points GROUP BY ALL) USING (entity, feature) WHERE value > high"),
-    "faults": ("", "SELECT o_orderkey AS fault_id, o_orderpriority AS level, o_orderstatus AS reason, 'node_' || (o_custkey % 7) AS component, CAST(1704067200 + o_orderkey * 7919 % 2592000 AS BIGINT) AS ts FROM orders WHERE o_orderkey % 97 = 0"),
+    "faults": ("", "SELECT o_orderkey AS fault_id, o_orderpriority AS level, o_orderstatus AS reason, 'node_' || o_custkey AS component, CAST(1704067200 + o_orderkey * 7919 % 2592000 AS BIGINT) AS ts FROM orders"),
     "spans": ("", "SELECT trace_id, event_id AS span_id, lag(event_id) OVER (PARTITION BY trace_id ORDER BY s, event_id) AS parent_id, cmdb_id FROM (SELECT concat_ws(':', user_id, CAST(floor(s / 86400) AS BIGINT)) AS trace_id, * FROM (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, event_type || '_' || (event_id % 3) AS cmdb_id FROM events))"),
-    "edges": ("spans", "SELECT DISTINCT p.cmdb_id AS src, c.cmdb_id AS dst FROM spans p JOIN spans c ON p.span_id = c.parent_id AND p.trace_id = c.trace_id WHERE p.cmdb_id <> c.cmdb_id AND p.cmdb_id < 'signup'"),
+    "edges": ("spans", "SELECT DISTINCT p.cmdb_id AS src, c.cmdb_id AS dst FROM spans p JOIN spans c ON p.span_id = c.parent_id AND p.trace_id = c.trace_id WHERE p.cmdb_id <> c.cmdb_id"),
     "topology": ("", "SELECT DISTINCT * FROM (SELECT 'svc_' || (n_nationkey % 12) AS src, 'svc_' || ((n_nationkey * 5 + n_nationkey // 12 + 1) % 12) AS dst FROM nation) WHERE src <> dst"),
     "scores": ("", "SELECT 'm_' || (doc_id % 5) AS entity, doc_id AS idx, CAST(n_chars % 997 AS DOUBLE) AS score, CASE WHEN CAST(floor(doc_id / 20) AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS label FROM documents JOIN labels USING (doc_id)"),
     "clustered": ("anomalies", f"""SELECT ts, type, entity, attribute, raw, period, CASE WHEN coalesce(id, near) IS NULL THEN -1 ELSE CAST(period * 100000 + coalesce(id, near) AS BIGINT) END AS cluster_id FROM (SELECT *, min(id) OVER (PARTITION BY period ORDER BY ts RANGE BETWEEN {EPS} PRECEDING AND {EPS} FOLLOWING) AS near FROM (SELECT *, CASE WHEN core THEN sum(fresh) OVER (PARTITION BY period ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 END AS id FROM (
@@ -115,5 +117,5 @@ SQL = {
     "paths": ("kg near", """SELECT cluster_id, min(source) AS source, target, ts FROM (SELECT o.cluster_id, p.src AS source, o.src AS target, o.ts FROM (SELECT o.*, t.before FROM (SELECT DISTINCT cluster_id, src, ts FROM kg WHERE type = 'HAS_ANOMALY') o JOIN (SELECT cluster_id, ts, lag(ts) OVER (PARTITION BY cluster_id ORDER BY ts) AS before FROM (SELECT DISTINCT cluster_id, ts FROM kg WHERE type = 'HAS_ANOMALY')) t USING (cluster_id, ts)) o
         JOIN near n ON n.cluster_id = o.cluster_id AND n.id = o.src JOIN (SELECT DISTINCT cluster_id, src, ts FROM kg WHERE type = 'HAS_ANOMALY') p ON p.cluster_id = o.cluster_id AND p.ts = o.before AND p.src = n.other
         WHERE NOT EXISTS (SELECT 1 FROM kg q WHERE q.type = 'HAS_ANOMALY' AND q.cluster_id = o.cluster_id AND q.src = o.src AND q.ts = o.before)) GROUP BY cluster_id, target, ts"""),
-    "vectors": ("", "SELECT vec_id AS id, label, list_transform(embedding, lambda v: round(CAST(v AS DOUBLE), 4)) AS x FROM embeddings WHERE vec_id < 40"),
+    "vectors": ("", "SELECT vec_id AS id, label, list_transform(embedding, lambda v: round(CAST(v AS DOUBLE), 4)) AS x FROM embeddings"),
 }
