@@ -301,13 +301,87 @@ def test_license_scan(docs, nothing):
 
 
 def test_license_with_a_word_put_in(spark):
-    t = licenses.TEMPLATES["gpl-3"][1].split()
+    t = licenses.parsed(licenses.TEMPLATES["gpl-3"][1])[0].split()
     broken = " ".join([*t[:12], "really", *t[12:]])
     half = " ".join(t[: len(t) // 2])
     out = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame([(1, broken), (2, half)], "doc_id long, text string")).collect()}
     assert out == {1: "gpl-3", 2: ""}
 
 
+NOTICES = {
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa",
+    "this work is licensed under a creative commons attribution noncommercial sharealike 3 0 unported license": "cc-by-nc-sa",
+    "this work is licensed under the gnu general public license version 2": "gpl-2",
+    "this work is licensed under the gnu general public license version 3": "gpl-3",
+    "this work is licensed under the gnu general public license version 4": "",
+    "this work is licensed under the gnu lesser general public license version 3": "lgpl-3",
+    "it is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl-3",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions": "mit",
+    "licensed under the apache license version 2 0": "apache-2",
+    "licensed under the gnu license version 2": "",
+    "licensed under cc by sa 4.0": "cc-by-sa",
+    "licensed under cc by 4.0": "cc-by",
+    "licensed under cc by 5.0": "",
+    "we have not licensed under any of the terms of the license version 2 of the apache": "",
+}
+
+
+def brute_labels(text: str) -> set[str]:
+    """By the definition, with lists: segments of diagonals, merged, verified, and the best of those that overlap."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    spans, number, g = [], 0, licenses.GRAM
+    for label, all_ in licenses.TEMPLATES.items():
+        for t in all_:
+            plain, core = licenses.parsed(t)
+            own = plain.split()
+            grams = [tuple(own[i : i + g]) for i in range(len(own) - g + 1)]
+            once = {x: i for i, x in enumerate(grams) if grams.count(x) == 1}
+            core = {i for i in core if grams[i] in once}
+            lines = defaultdict(list)
+            for p in range(len(words) - g + 1):
+                if tuple(words[p : p + g]) in once:
+                    lines[p - once[tuple(words[p : p + g])]].append(p)
+            segments = []
+            for d, ps in lines.items():
+                cut = [0, *(i for i in range(1, len(ps)) if ps[i] - ps[i - 1] > licenses.GAP), len(ps)]
+                segments += [(ps[a], ps[b - 1], d, ps[a:b]) for a, b in zip(cut, cut[1:]) if b - a > 1 or len(own) <= g + 1]
+            groups: list[list] = []
+            for x in sorted(segments):
+                y = groups[-1][-1] if groups else None
+                if y and x[0] - y[1] <= licenses.GAP + g and abs(x[2] - y[2]) <= licenses.NEIGHBOUR and x[0] - x[2] > y[0] - y[2]:
+                    groups[-1].append(x)
+                else:
+                    groups.append([x])
+            for group in groups:
+                at = {p - d for _, _, d, ps in group for p in ps}
+                lo, hi, n = min(x[0] for x in group), max(x[1] for x in group) + g, len({a + j for a in at for j in range(g)})
+                if n >= licenses.COVER * len(own) and hi - lo - n <= len(own) * (1 - licenses.COVER) and core <= at:
+                    spans.append((n, n / len(own), -number, label, lo, hi))
+            number += 1
+    return {x[3] for x in spans if not any(y[4] < x[5] and x[4] < y[5] and y[:3] > x[:3] for y in spans)}
+
+
+def test_license_labels_are_brute_force(spark, docs):
+    r = random.Random(12)
+    stray = "under the terms of the license you may not use this copy of the software version 2 0 of the license is hereby".split()
+    texts = list(NOTICES)
+    texts += [" ".join(r.choices(stray, k=300)) + " " + t + " " + " ".join(r.choices(stray, k=300)) for t in NOTICES]
+    for t in [licenses.parsed(x)[0] for all_ in licenses.TEMPLATES.values() for x in all_]:
+        w = t.split()
+        texts += [t, " ".join(w[: len(w) * 2 // 3]), " ".join(x for x in w if r.random() > 0.1), " ".join(y for x in w for y in ([x, "word"] if r.random() < 0.1 else [x]))]
+    texts += [" ".join(r.sample(texts, 6)) for _ in range(40)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {x["doc_id"]: x for x in licenses.scan(df).collect()}
+    for i, t in enumerate(texts):
+        want = brute_labels(t or "") | (set(out[i]["base_labels"].split(",")) - {""})
+        assert out[i]["labels"] == ",".join(sorted(want)), t
+    assert [out[i]["labels"] for i in range(len(NOTICES))] == list(NOTICES.values())
+    assert all(set(NOTICES[t].split(",")) - {""} <= set(out[len(NOTICES) + i]["labels"].split(",")) for i, t in enumerate(NOTICES))
+
+
 # --- 7 -------------------------------------------------------------------------------------------------------------
 
 def test_sharding(spark, docs, nothing):
