@@ -400,27 +400,76 @@ def test_sharding(spark, docs, nothing):
 
 # --- 8 -------------------------------------------------------------------------------------------------------------
 
-def test_raking_meets_every_marginal():
+def raked(cells: dict, goals: list[dict]) -> dict:
+    """Factors by the definition, one cell after another."""
+    total = sum(cells.values())
+    w = {k: m / total for k, m in cells.items() if m > 0}
+    for _ in range(200):
+        for d, goal in enumerate(goals):
+            have: dict = defaultdict(float)
+            for k, x in w.items():
+                have[k[d]] += x
+            w = {k: x * goal[k[d]] / have[k[d]] for k, x in w.items()}
+    return {k: w[k] * total / m if m > 0 else 0.0 for k, m in cells.items()}
+
+
+def test_raking_is_brute_force_and_meets_every_marginal():
     r = random.Random(1)
-    cells = {(s, k, t): float(r.randint(1, 900)) for s in "abc" for k in "xy" for t in "pqr" if r.random() < 0.9}
-    targets = mixing.default_targets(cells)
-    f = mixing.rake(cells, targets)
+    cells = {(s, k, t): float(r.randint(0, 900)) for s in "abc" for k in "xy" for t in "pqr" if r.random() < 0.9}
+    goals = mixing.marginals(cells, {"source": {"a": 0.5, "gone": 0.2}, "lang": {"x": 0.3, "y": 0.7}})
+    assert goals[0]["a"] == pytest.approx(0.5) and "gone" not in goals[0] and goals[1] == {"x": pytest.approx(0.3), "y": pytest.approx(0.7)}
+    f, want = mixing.rake(cells, goals), raked(cells, goals)
+    assert all(f[k] == pytest.approx(want[k], abs=1e-4) for k in cells)
     total = sum(cells.values())
-    for d, goal in enumerate(targets):
+    for d, goal in enumerate(goals):
         have = defaultdict(float)
         for k, m in cells.items():
             have[k[d]] += f[k] * m / total
         assert all(abs(have[v] - g) < 1e-4 for v, g in goal.items())
 
 
-@pytest.mark.parametrize("cells", [0, 1_000_000])
-def test_mixing(docs, nothing, cells, monkeypatch):
-    monkeypatch.setattr(mixing, "ROUNDS", 4)
-    out = mixing.weigh(docs, cells).collect()
-    assert len(out) == len(ROWS) and all(r["tokens"] == len((t or "").split()) for r, t in ((r, {x[0]: x[1] for x in ROWS}[r["doc_id"]]) for r in out if r["doc_id"] is not None))
-    assert max(r["chance"] for r in out) == pytest.approx(1.0) and all(0 <= r["chance"] <= 1 for r in out)
-    kept = mixing.sample(docs)
-    assert kept.columns == docs.columns and mixing.weigh(nothing).count() == 0
+@pytest.mark.parametrize("targets", [None, {"lang": {"en": 0.5, "fr": 0.4}, "source": {"a": 0.6}}])
+def test_mixing(docs, nothing, targets):
+    """Chances are those of raked cells, on the driver and as DataFrames; the draw is as large as they say."""
+    out = mixing.weigh(docs, targets).collect()
+    assert Counter((r["doc_id"], r["source"], r["lang"], r["tokens"]) for r in out) == Counter((i, s or "", x or "", len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, x, s, *_ in ROWS)
+    cells: dict = defaultdict(float)
+    for r in out:
+        cells[r["source"], r["lang"], r["topic"]] += r["tokens"]
+    want = raked(cells, mixing.marginals(cells, targets))
+    top = max(want[k] for k in cells if cells[k] >= mixing.LEAST_CELL * sum(cells.values()))
+    for r in out:
+        assert r["chance"] == pytest.approx(min(1.0, want[r["source"], r["lang"], r["topic"]] / top), abs=1e-3)
+    frames = {(r["source"], r["lang"], r["topic"]): r["chance"] for r in mixing.weigh(docs, targets, 0).collect()}
+    assert all(r["chance"] == pytest.approx(frames[r["source"], r["lang"], r["topic"]], abs=1e-6) for r in out)
+    kept = mixing.sample(docs, targets)
+    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in out if r["drawn"])
+    assert mixing.weigh(nothing, targets).count() == 0 and mixing.sample(nothing).count() == 0
+
+
+def test_mixing_draws_by_chance_and_reports(spark):
+    """A tiny cell of a source and a language of its own doesn't thin out the others."""
+    r = random.Random(5)
+    words = [["the", "river", "stone", "walks"], ["one", "house", "green", "sings"]]
+    rows = [(i, " ".join(r.choices(r.choice(words), k=50)), x, "big" if i % 3 else "small") for i in range(4000) for x in ["en" if i % 4 else "fr"]]
+    rows += [(9000, "river stone", "zz", "lone"), (None, None, None, None), (9001, "", "en", "big")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"lang": {"en": 0.5}}
+    out = mixing.weigh(df, targets).cache()
+    share = {(x["dimension"], x["value"]): x for x in mixing.reached(out, targets).collect()}
+    assert share["lang", "en"]["target"] == pytest.approx(0.5) and share["lang", "en"]["expected"] == pytest.approx(0.5, abs=0.01)
+    assert share["lang", "en"]["drawn"] == pytest.approx(0.5, abs=0.04)
+    french = [x["drawn"] for x in out.collect() if x["lang"] == "fr"]
+    assert np.mean(french) > 0.6 and [x["drawn"] for x in out.collect() if x["doc_id"] == 9000] == [True]
+
+
+def test_topics_part_the_corpus(spark):
+    r = random.Random(6)
+    sets = [[f"{c}{k}" for k in range(30)] for c in "abcd"]
+    df = spark.createDataFrame([(i, " ".join(r.choices(sets[i % 4], k=60)), "en", "s") for i in range(400)], "doc_id long, text string, lang string, source string")
+    topic = {x["doc_id"]: x["topic"] for x in mixing.weigh(df).collect()}
+    for t in set(topic.values()):
+        assert len({i % 4 for i in topic if topic[i] == t}) == 1
 
 
 # --- 9 -------------------------------------------------------------------------------------------------------------
