@@ -10,7 +10,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds; a longer single text is one step of its own.
 STEP_BYTES = 1 << 19
@@ -85,6 +87,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def placed(docs: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of the rows, and __place: which row of which file each is, so that equal rows can be told apart.
+
+    Rows that aren't read from Parquet files are stored and numbered.
+    """
+    kept = [F.col(f"`{c}`") for c in columns]
+    try:
+        return docs.select(*kept, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("__place"))
+    except AnalysisException:
+        number = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))
+        return stored(docs.select(*kept, number.alias("__place")), "placed")
+
+
+PLACE = "struct<file:bigint,row:bigint>"
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> U64(30))

@@ -13,8 +13,9 @@ classes outside a bucket's largest component meet the others by their rarest shi
 give components.
 
 Defined results: a null or empty text, or one without words, has an empty set and its own component; doc_id null
-is a component of its own; repeated rows share their id and so their fate; other columns are ignored by `classes`, and kept
-by `keep`; an empty table gives an empty result.
+is a component of its own; in `classes` repeated rows share their id and so their fate, and a doc_id with two texts has a row
+for each; `keep` decides by row: of each group one row stays, that of the smallest doc_id (null last), and all rows without
+words; other columns are ignored by `classes`, and kept by `keep`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Rolling, mix, seeds, small_batches, steps, stored, texts_of, trimmed, words_of
+from .common import LOWER, PLACE, U64, Rolling, mix, placed, seeds, small_batches, steps, stored, texts_of, trimmed, words_of
 from .graphs import components
 
 SHINGLE, SIDE, ROWS = 4, 20, 5
@@ -70,15 +71,16 @@ def _signatures(k: int):
                 begin = np.concatenate([[0], np.cumsum(count[have])])[:-1]
                 groups = np.zeros((hi - lo, 2 * SIDE), U64)
                 bits = np.zeros((hi - lo, SKETCH), U64)
-                key = np.zeros(hi - lo, U64)
+                key = np.zeros((hi - lo, 2), U64)
                 if len(have):
-                    key[have] = mix(np.add.reduceat(mix(sets ^ U64(0x5851F42D4C957F2D)), begin) + count[have].astype(U64))
+                    for j, salt in enumerate((U64(0x5851F42D4C957F2D), U64(0x2545F4914F6CDD1D))):
+                        key[have, j] = mix(np.add.reduceat(mix(sets ^ salt), begin) + count[have].astype(U64))
                     for j, h in enumerate(_HASHES):
                         low = mix(np.minimum.reduceat(sets * h, begin))  # the sets are mixed already
                         groups[have, j // ROWS] = groups[have, j // ROWS] * _STEP + low
                         bits[have, j // 64] |= (low & U64(1)) << U64(j % 64)
                 yield pa.record_batch({
-                    "doc_id": batch.column(0).slice(lo, hi - lo), "place": batch.column(2).slice(lo, hi - lo), "set": pa.array(key.view(np.int64)), "n_shingles": pa.array(count),
+                    "doc_id": batch.column(0).slice(lo, hi - lo), "place": batch.column(2).slice(lo, hi - lo), "k1": pa.array(key[:, 0].view(np.int64)), "k2": pa.array(key[:, 1].view(np.int64)), "n_shingles": pa.array(count),
                     "groups": pa.FixedSizeListArray.from_arrays(pa.array(mix(groups).view(np.int64).ravel()), 2 * SIDE).cast(pa.list_(pa.int64())),
                     "sketch": pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).ravel()), SKETCH).cast(pa.list_(pa.int64())),
                 })
@@ -98,20 +100,26 @@ def _full_sets(k: int):
     return run
 
 
-def _place():
-    """Tells rows apart by content, so that a class finds a text of its own again."""
-    return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
-
-
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
-    small_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text", _place().alias("place"))
-    rows = stored(texts.mapInArrow(trimmed(_signatures(k)), f"doc_id {kind}, place long, set long, n_shingles long, groups array<long>, sketch array<long>"), "signatures")
-    sets = stored(
-        rows.filter("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("n_shingles", "place", "groups", "sketch")).alias("x"))
-        .select("set", "doc_id", "x.*"), "sets")
+    texts = placed(docs, "doc_id", "text")
+    rows, found = _grouped(texts.withColumnRenamed("__place", "place"), k, percent)
+    smallest = stored(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
+    known = found.join(smallest, "root").select("k1", "k2", "component_id")
+    # Rows without words have no key, and go apart: they would all meet in one task.
+    with_ = rows.filter("n_shingles > 0").join(known, ["k1", "k2"])
+    out = with_.select("doc_id", "n_shingles", "component_id").unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _grouped(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, place, k1, k2, n_shingles), and the classes of equal sets (k1, k2, doc_id, root). texts: doc_id, text, place."""
+    small_batches(texts.sparkSession)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    rows = stored(texts.mapInArrow(trimmed(_signatures(k)), f"doc_id {kind}, place {PLACE}, k1 long, k2 long, n_shingles long, groups array<long>, sketch array<long>"), "signatures")
+    same = rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("place", "n_shingles", "groups", "sketch")).alias("x"))
+    sets = stored(same.select(F.monotonically_increasing_id().alias("set"), "k1", "k2", "doc_id", "x.*"), "sets")
 
     about = F.struct(F.col("n_shingles").alias("n"), "sketch").alias("about")
     halves = sets.select("set", F.posexplode("groups").alias("i", "key"))
@@ -120,8 +128,8 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     live = halves.join(common, ["i", "key"]).groupBy("set").agg(F.collect_list(F.struct("i", "key")).alias("live"))  # 2 * SIDE at most
     first, second = F.filter("live", lambda x: x.i < SIDE), F.filter("live", lambda x: x.i >= SIDE)
     keys = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x.i, x.key, y.i, y.key))))
-    table = stored(live.select("set", F.explode(keys).alias("bucket")).join(sets.select("set", about), "set"), "tables")
-    hubs = stored(table.groupBy("bucket").agg(F.min("set").alias("hub"), F.count("*").alias("c"), F.min_by("about", "set").alias("of")).filter("c > 1"), "hubs")
+    table = stored(live.select("set", F.explode(keys).alias("bucket")), "tables")
+    hubs = stored(table.groupBy("bucket").agg(F.min("set").alias("hub"), F.count("*").alias("c")).filter("c > 1").select("bucket", "hub"), "hubs")
     bits, p = len(_HASHES), (1 - percent / 100) / 2
     most = int(bits * p + 4.5 * (bits * p * (1 - p)) ** 0.5)
 
@@ -130,7 +138,9 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
         differ = sum((F.bit_count(a["sketch"][i].bitwiseXOR(b["sketch"][i])) for i in range(1, SKETCH)), F.bit_count(a["sketch"][0].bitwiseXOR(b["sketch"][0])))
         return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & (differ <= most)
 
-    pairs = stored(table.join(hubs, "bucket").filter((F.col("set") != F.col("hub")) & near(F.col("about"), F.col("of"))).groupBy(F.col("set").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("votes")), "pairs")
+    voted = stored(table.join(hubs, "bucket").filter("set <> hub").groupBy(F.col("set").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("votes")), "voted")
+    of = lambda c, as_: sets.select(F.col("set").alias(c), about.alias(as_))
+    pairs = stored(voted.join(of("a", "x"), "a").join(of("b", "y"), "b").filter(near(F.col("x"), F.col("y"))).select("a", "b", "votes"), "pairs")
 
     full: DataFrame | None = None
 
@@ -168,7 +178,7 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     tally = member.groupBy("bucket", "root").agg(F.count("*").alias("c"))
     mixed = tally.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("bucket", "main")
     mixed = stored(mixed, "mixed")
-    open_ = stored(member.join(mixed, "bucket").groupBy("set").agg(F.first("root").alias("root"), F.first("about").alias("about"), F.max(F.col("root") != F.col("main")).alias("few")), "open")
+    open_ = stored(member.join(mixed, "bucket").groupBy("set").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("few")).join(sets.select("set", about), "set"), "open")
     whole = fetched(open_.select("set"), "open").join(open_.select("set"), "set").select("set", F.explode("shingles").alias("shingle"))
     often = stored(whole.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1"), "often")
     ranked = whole.join(often, "shingle", "left").groupBy("set").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "shingle"))).alias("order"))
@@ -186,18 +196,14 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     links = links.unionByName(confirmed(stored(more, "more"), "more"))
 
     roots = components(links, "third")
-    grouped = stored(labelled(sets.select("set", "doc_id"), "set", roots, "root"), "grouped")
-    smallest = stored(grouped.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
-    found = grouped.select("set", "root").join(smallest, "root").select("set", "component_id")
-    # Empty sets have a key each of their own, so that they don't gather in one task.
-    own = F.when(F.col("n_shingles") > 0, F.col("set")).otherwise(F.xxhash64("doc_id", "place"))
-    filled = F.col("n_shingles") > 0
-    out = rows.withColumn("set", own).join(found, "set", "left").withColumn("component_id", F.when(filled, F.col("component_id")))
-    component = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return rows.select("doc_id", "place", "k1", "k2", "n_shingles"), stored(labelled(sets.select("set", "k1", "k2", "doc_id"), "set", roots, "root"), "grouped")
 
 
 def keep(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
-    """One document of each group of near-duplicates, with all its columns."""
-    gone = classes(docs, k, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates, with all its columns."""
+    own = placed(docs, *docs.columns)
+    rows, found = _grouped(own.select("doc_id", "text", F.col("__place").alias("place")), k, percent)
+    rows = rows.filter("n_shingles > 0").join(found.select("k1", "k2", "root"), ["k1", "k2"]).select("root", "place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place").alias("rank"))
+    first = stored(rows.groupBy("root").agg(F.min("rank").alias("first")), "first")
+    gone = rows.join(first, "root").filter(F.col("place") != F.col("first.place")).select(F.col("place").alias("__place"))
+    return own.join(stored(gone, "gone"), "__place", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
