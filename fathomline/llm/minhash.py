@@ -190,7 +190,7 @@ def _grouped(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     least = F.ceil((n1 + n2) * percent / (100 + percent))
     more = (
         one.join(heads, "shingle")
-        .filter((F.col("root1") != F.col("root")) & (F.col("at1") <= n1 - least) & (F.col("at") <= n2 - least) & near(F.col("about1"), F.col("about")))
+        .filter((F.col("root1") != F.col("root")) & (F.col("at1") <= n1 - least) & (F.col("at") <= n2 - least) & (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)))
         .select(F.least("set", "set1").alias("a"), F.greatest("set", "set1").alias("b")).distinct()
     )
     links = links.unionByName(confirmed(stored(more, "more"), "more"))
