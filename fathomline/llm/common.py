@@ -36,12 +36,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as a table in the shared folder and returns it reread."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/fathomline/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    settle(spark)
+    df.write.options(**(_LOCAL if path.startswith(("file:", "/")) else {})).option("compression", "zstd").parquet(path)
     _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _STORED: list[str] = []
+#: Where the shared folder is a mounted one, Hadoop starts processes for each file and its checksum, to set their permissions.
+_LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Small shuffles end in few tasks, and so in few files; large ones are dealt as the session says.
+_FEW = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m"}
+
+
+def settle(spark: SparkSession) -> None:
+    """Sets what a session left unset."""
+    if spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst") == "true":
+        for key, value in _FEW.items():
+            spark.conf.set(key, value)
 
 
 def forget(spark: SparkSession) -> int:
