@@ -97,9 +97,11 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     n = np.bincount(lengths, minlength=capacity + 1)
     size = np.arange(capacity + 1)
     best = math.ceil((n * size).sum() / capacity)
-    for cut_at in np.unique(lengths[lengths <= capacity // 2])[:400]:  # large sizes count full, sizes under the cut nothing
-        large, middle = n[capacity - cut_at + 1 :].sum(), (n * size)[cut_at : capacity - cut_at + 1].sum()
-        best = max(best, int(large) + math.ceil(middle / capacity))
+    cut_at = np.flatnonzero(n[: capacity // 2 + 1])  # for each cut, sizes over capacity - cut count full, sizes under the cut nothing
+    upto, bytes_ = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * size)])
+    if len(cut_at):
+        large, middle = upto[-1] - upto[capacity - cut_at + 1], bytes_[capacity - cut_at + 1] - bytes_[cut_at]
+        best = max(best, int((large - -middle // capacity).max()))
     for k in range(1, 13):  # x -> x where (k+1)x is whole bins, else floor((k+1)x)/k
         part = (k + 1) * size
         value = np.where(part % capacity == 0, size * k, part // capacity * capacity)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, mix, small_batches, steps, stored, texts_of, trimmed
+from .common import PLACE, U64, Rolling, mix, placed, small_batches, steps, stored, texts_of, trimmed
 from .suffixes import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 200
@@ -36,6 +36,7 @@ CELLS = (64, 16, 4, 1)
 SHARD_BYTES = 3 << 19
 
 _ROLL, _ROLL2 = Rolling(101), Rolling(202)
+_PLACE = pa.struct([("file", pa.int64()), ("row", pa.int64())])
 
 
 def runs_of(raw: np.ndarray, at: np.ndarray, length: int, gram: int):
@@ -70,19 +71,18 @@ def _runs(length: int, gram: int, only_grams: bool):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             raw, at = texts_of(batch.column(1))
-            places = batch.column(0).to_numpy()
             for lo, hi in steps(at):
                 own = at[lo : hi + 1] - at[lo]
                 text, first, last, anchor, grams, whole = runs_of(raw[at[lo] : at[hi]], own, length, gram)
                 cols = {"gram": pa.array(grams.view(np.int64))}
                 if not only_grams:
-                    cols |= {"place": pa.array(places[lo:hi][text]), "first": pa.array(first - own[text]), "back": pa.array((anchor - first).astype(np.int32)), "more": pa.array((last - first).astype(np.int32)), "whole": pa.array(whole.view(np.int64))}
+                    cols |= {"place": batch.column(0).take(pa.array(lo + text)), "first": pa.array(first - own[text]), "back": pa.array((anchor - first).astype(np.int32)), "more": pa.array((last - first).astype(np.int32)), "whole": pa.array(whole.view(np.int64))}
                 yield pa.record_batch(cols)
 
     return run
 
 
-_RUN = "gram long, place long, first long, back int, more int, whole long"
+_RUN = f"gram long, place {PLACE}, first long, back int, more int, whole long"
 
 
 def cells_of(own: np.ndarray, back: int, length: int, gram: int, width: int) -> list[np.ndarray]:
@@ -102,7 +102,7 @@ def cells_of(own: np.ndarray, back: int, length: int, gram: int, width: int) ->
 
 
 _CELL = "array<struct<cell:int,low:int,high:int,core:bigint,whole:bigint>>"
-_FETCHED = "gram long, place long, first long, text binary, " + ", ".join(f"cells{w} {_CELL}" for w in CELLS)
+_FETCHED = f"gram long, place {PLACE}, first long, text binary, " + ", ".join(f"cells{w} {_CELL}" for w in CELLS)
 
 
 def _fetch(length: int, gram: int):
@@ -112,7 +112,7 @@ def _fetch(length: int, gram: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             raw, at = texts_of(batch.column("text"))
-            wanted, places = batch.column("wanted"), batch.column("place").to_numpy()
+            wanted, places = batch.column("wanted"), batch.column("place")
             from_row = np.frombuffer(wanted.buffers()[1], np.int32)[wanted.offset : wanted.offset + len(wanted) + 1]
             items = wanted.flatten()
             f = {n: items.field(n).to_numpy(zero_copy_only=False) for n in ("gram", "first", "back", "more", "hot")}
@@ -122,7 +122,7 @@ def _fetch(length: int, gram: int):
                 part = slice(lo, lo + 2000)
                 hot = f["hot"][part]
                 text = [None if h else raw[b : b + m + length].tobytes() for h, b, m in zip(hot, begin[part], f["more"][part])]
-                cols = {"gram": pa.array(f["gram"][part]), "place": pa.array(places[row[part]]), "first": pa.array(f["first"][part]), "text": pa.array(text, pa.binary())}
+                cols = {"gram": pa.array(f["gram"][part]), "place": places.take(pa.array(row[part])), "first": pa.array(f["first"][part]), "text": pa.array(text, pa.binary())}
                 for width in CELLS:
                     found = [None] * len(hot)
                     for i in np.flatnonzero(hot):
@@ -186,7 +186,7 @@ def _sorted_shards(length: int, limit: int):
                     new = np.flatnonzero(np.concatenate([[True], np.diff(hits) > 1]))
                     for a, b in zip(hits[new], hits[np.concatenate([new[1:], [len(hits)]]) - 1]):
                         place.append(p), first.append(f + int(a)), last.append(f + int(b) + length)
-            return pa.record_batch({"place": pa.array(place, pa.int64()), "start": pa.array(first, pa.int64()), "end": pa.array(last, pa.int64())})
+            return pa.record_batch({"place": pa.array(place, _PLACE), "start": pa.array(first, pa.int64()), "end": pa.array(last, pa.int64())})
 
         for batch in rows:  # sorted by gram: a shard ends between two anchors
             for x in zip(*(batch.column(n).to_pylist() for n in ("gram", "place", "first", "text"))):
@@ -201,14 +201,10 @@ def _sorted_shards(length: int, limit: int):
     return run
 
 
-def _place():
-    return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
-
-
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """place, start, end of repeated strings; they may overlap."""
+    """__place, spans (start, end) of the repeated strings of each row of docs, which has a __place; they may overlap."""
     small_batches(docs.sparkSession)
-    texts = docs.select(_place().alias("place"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= length)
+    texts = docs.select(F.col("__place").alias("place"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= length)
     # Stored, here and below: a join can split a hot key of one side only if the other isn't an aggregate made on the way.
     common = stored(texts.mapInArrow(trimmed(_runs(length, gram, True)), "gram long").groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"), "shared")
     rows = stored(texts.mapInArrow(trimmed(_runs(length, gram, False)), _RUN).join(common, "gram"), "runs")
@@ -222,9 +218,10 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     )
     got = stored(texts.join(wanted, "place").mapInArrow(trimmed(_fetch(length, gram)), _FETCHED), "fetched")
     cold = got.filter("text is not null").select("gram", "place", "first", "text")
-    cold = cold.repartition("gram").sortWithinPartitions("gram").mapInArrow(trimmed(_sorted_shards(length, SHARD_BYTES)), "place long, start long, end long")
+    cold = cold.repartition("gram").sortWithinPartitions("gram").mapInArrow(trimmed(_sorted_shards(length, SHARD_BYTES)), f"place {PLACE}, start long, end long")
     hot = _hot_spans(got.filter("text is null"), length)
-    return equal.union(cold).union(hot)
+    found = stored(equal.union(cold).union(hot), "spans")
+    return found.groupBy(F.col("place").alias("__place")).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
 
 
 def _cut(rows: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
@@ -252,9 +249,9 @@ def _cut(rows: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch
 
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    found = stored(spans(docs, length, gram), "spans").groupBy("place").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    own = placed(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    both = docs.select("doc_id", "text", _place().alias("place")).join(found, "place", "left").select("doc_id", "text", "spans")
+    both = own.join(spans(own, length, gram), "__place", "left").select("doc_id", "text", F.col("__spans").alias("spans"))
     return both.mapInArrow(trimmed(lambda rows: _cut(rows, False)), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -262,9 +259,10 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     """The documents, all of them, with what is left of their texts; n_chars follows if there is one."""
     from pyspark.sql.types import StringType, StructField, StructType
 
-    found = stored(spans(docs, length, gram), "spans").groupBy("place").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    own = placed(docs, *docs.columns)
     rest = [c for c in docs.columns if c != "text"]
-    both = docs.select(F.struct(*rest).alias("given"), "text", _place().alias("place")).join(found, "place", "left").select("given", "text", "spans")
+    given = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("given")
+    both = own.join(spans(own, length, gram), "__place", "left").select(given, "text", F.col("__spans").alias("spans"))
     out = both.mapInArrow(trimmed(lambda rows: _cut(rows, True)), StructType([StructField("given", StructType([docs.schema[c] for c in rest])), StructField("text", StringType())]))
     cols = {c: F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("given")[c] for c in docs.columns}
     return out.select(*[x.alias(c) for c, x in cols.items()])

@@ -70,27 +70,11 @@ def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, ends: np.ndarra
     return sa
 
 
-def _doubling(t: np.ndarray) -> np.ndarray:
-    """For short strings."""
-    n = len(t)
-    rank, k = np.unique(t, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - k] = rank[k:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.zeros(n, np.int64)
-        new[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
-        if new[order[-1]] == n - 1 or k >= n:
-            return order.astype(np.int32)
-        rank, k = new, 2 * k
-
-
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Of integers above 0 that end with a single 0."""
     n = len(t)
-    if n < 2048:
-        return _doubling(t) if n > 1 else np.zeros(n, np.int32)
+    if n < 2:
+        return np.zeros(n, np.int32)
     smaller = _types(t)
     is_lms = np.zeros(n, bool)
     is_lms[1:] = smaller[1:] & ~smaller[:-1]
