@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, mix, steps, stored, texts_of, trimmed
+from .common import LOWER, SPACE, mix, spare, spare2, steps, stored, texts_of, trimmed
 
 ORDER = 5
 #: Bytes of text that a block should hold, and the rows it holds at most.
@@ -375,11 +375,11 @@ def model_of(asked: DataFrame) -> DataFrame:
     while arrays > WAYS:  # each turn leaves a WAYS-th of the arrays
         arrays = -(-arrays // WAYS)
         some = merged.withColumn("way", F.pmod(F.xxhash64("way", F.lit(arrays)), F.lit(arrays)))
-        merged = stored(some.groupBy("model", "part", "way").applyInArrow(lambda key, t: _merge(key, t).select(["model", "part", "data"]).append_column("way", pa.array([key[2].as_py()])), "model string, part long, data binary, way long"), "merging")
-    merged = stored(merged.select("model", "part", "data").groupBy("model", "part").applyInArrow(_merge, _MERGED), "merged")
+        merged = stored(some.groupBy("model", "part", "way").applyInArrow(spare(lambda key, t: _merge(key, t).select(["model", "part", "data"]).append_column("way", pa.array([key[2].as_py()]))), "model string, part long, data binary, way long"), "merging")
+    merged = stored(merged.select("model", "part", "data").groupBy("model", "part").applyInArrow(spare(_merge), _MERGED), "merged")
     tri = merged.select("model", "part", F.explode("low").alias("x")).select("model", "part", "x.*")
     pairs = tri.groupBy("model", "b", "c").agg(F.sum("in0").alias("n0"), F.sum("in1").alias("n1"))
-    pairs = stored(pairs.groupBy("model").applyInArrow(_pairs, "model string, b int, c int, p0 double, p1 double"), "pairs")
+    pairs = stored(pairs.groupBy("model").applyInArrow(spare(_pairs), "model string, b int, c int, p0 double, p1 double"), "pairs")
     own = tri.select("model", "part", "b", "c").distinct().join(pairs, ["model", "b", "c"])
     own = stored(own.groupBy("model", "part").agg(F.collect_list(F.struct("b", "c", "p0", "p1")).alias("pairs")), "ends")
     cells = 8 * (ORDER - 2)
@@ -398,33 +398,37 @@ def answers(held: DataFrame, parts: int) -> DataFrame:
     salted = asked.withColumn("salt", F.pmod(F.xxhash64("block", F.lit(7)), F.lit(ways)))
     salts = model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long")))) if ways > 1 else model.withColumn("salt", F.lit(0).cast("long"))
     key = ["model", "part", "salt"]
-    return salted.groupBy(*key).cogroup(salts.groupBy(*key)).applyInArrow(lambda k, a, m: _answer(k, a, m) if a.num_rows else _NONE, "_block long, model string, part long, data binary")
+    return salted.groupBy(*key).cogroup(salts.groupBy(*key)).applyInArrow(spare2(lambda k, a, m: _answer(k, a, m) if a.num_rows else _NONE), "_block long, model string, part long, data binary")
 
 
 _NONE = pa.table({"_block": pa.array([], pa.int64()), "model": pa.array([], pa.string()), "part": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
 
 
 def log_perplexity(column: pa.ChunkedArray, fold: np.ndarray, told: dict[int, bytes], parts: int) -> np.ndarray:
-    """Per character of each text of one model in one block; told: what answers() gives, by part."""
-    held, first = [], 0
+    """Per character of each text of one model in one block; told: what answers() gives, by part.
+
+    The texts are read twice, first for the block's grams, so that no more than a few texts' counts are held.
+    """
+    c = Grams(1, True)
     for code, at in characters(column):
-        grams, text, which, n = counted(code, at)
-        held.append((grams, (text + first).astype(np.int32), which.astype(np.int32), n.astype(np.int32)))
-        first += len(at) - 1
-    size = np.zeros(first)
-    total = np.zeros(first)
-    if not held:
-        return total
-    one, back = distinct(np.concatenate([x[0] for x in held]))
+        grams = counted(code, at)[0]
+        c.add(grams, np.ones(len(grams), np.int64))
+    one = c.merge().grams
+    if not len(one):
+        return np.zeros(len(column))
     part = part_of(one, parts)
     order = np.argsort(part, kind="stable")
-    logp = np.empty((len(one), 2), np.float32)
-    if len(one):
-        logp[order] = np.concatenate([unboxed(told[int(p)], *TOLD)[0] for p in np.unique(part)]) / np.float32(STEPS)
-    at = 0
-    for grams, text, which, n in held:
-        here = logp[back[at : at + len(grams)]]
-        at += len(grams)
-        total += np.bincount(text, n * here[which, fold[text]].astype(np.float64), minlength=first)
-        size += np.bincount(text, n, minlength=first)
-    return -total / np.maximum(size, 1)
+    logp = np.concatenate([unboxed(told[int(p)], *TOLD)[0] for p in np.unique(part)])
+    h = hashed(one[order])
+    order = np.argsort(h)
+    h, logp = h[order], logp[order]
+    del c, one, part, order
+    out = []
+    for code, at in characters(column):
+        grams, text, which, n = counted(code, at)
+        here = logp[np.searchsorted(h, hashed(grams))]
+        first = sum(map(len, out))
+        f = fold[first : first + len(at) - 1]
+        total = np.bincount(text, n * here[which, f[text]].astype(np.float64), minlength=len(at) - 1)
+        out.append(-total / STEPS / np.maximum(np.diff(at), 1))
+    return np.concatenate(out)

@@ -87,10 +87,34 @@ def trimmed(run: Callable) -> Callable:
         try:
             yield from run(rows)
         finally:
-            pa.default_memory_pool().release_unused()
-            libc = _libc()
-            if libc is not None:
-                libc.malloc_trim(0)
+            give_back()
+
+    return out
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    libc = _libc()
+    if libc is not None:
+        libc.malloc_trim(0)
+
+
+def spare(run: Callable) -> Callable:
+    """A function of a group that first gives back what the group before left."""
+
+    def out(key, table):
+        give_back()
+        return run(key, table)
+
+    return out
+
+
+def spare2(run: Callable) -> Callable:
+    """The same for a group of two tables."""
+
+    def out(key, left, right):
+        give_back()
+        return run(key, left, right)
 
     return out
 

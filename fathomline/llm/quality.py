@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import characters
 from .characters import MIN_WORDS, SYMBOL, TRUST
-from .common import SPACE, mix, small_batches, steps, stored, texts_of, trimmed
+from .common import SPACE, mix, small_batches, spare2, steps, stored, texts_of, trimmed
 
 #: Bands: the median log perplexity per character of the texts of a language, less and more this many interquartile
 #: ranges, and the least widths on either side: texts that mix languages lie well above the median, though they are sound.
@@ -133,7 +133,7 @@ def _scored(docs: DataFrame, columns: list[str]) -> DataFrame:
     schema = StructType([rows.schema["given"], StructField("text", rows.schema["text"].dataType), *stats.fields])
     told = characters.answers(rows, parts)
     whole = rows.mapInArrow(trimmed(_pack), "_block long, bytes binary")
-    return whole.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(_score(parts), schema)
+    return whole.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(spare2(_score(parts)), schema)
 
 
 _STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, model string"
