@@ -46,7 +46,7 @@ _STORED: list[str] = []
 #: Where the shared folder is a mounted one, Hadoop starts processes for each file and its checksum, to set their permissions.
 _LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: Small shuffles end in few tasks, and so in few files; large ones are dealt as the session says.
-_FEW = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m"}
+_FEW = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
 
 
 def settle(spark: SparkSession) -> None:

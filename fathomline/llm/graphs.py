@@ -16,6 +16,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}0")
     before, turn = None, 0
+    if e.isEmpty():
+        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
         turn += 1
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -29,3 +31,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = now
+
+
+def tops(parents: DataFrame, name: str = "tops") -> DataFrame:
+    """node, root of a forest (a, b): b is the one parent of a, smaller than a; roots themselves are left out. Heights halve each round."""
+    p, turn = stored(parents.select("a", "b"), f"{name}0"), 0
+    while True:
+        turn += 1
+        higher = p.join(p.select(F.col("a").alias("b"), F.col("b").alias("up")), "b", "left")
+        p = stored(higher.select("a", F.coalesce("up", "b").alias("b"), F.col("up").isNotNull().alias("moved")), f"{name}{turn}")
+        if p.filter("moved").isEmpty():
+            return p.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        p = p.select("a", "b")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, PLACE, U64, Rolling, mix, placed, seeds, small_batches, steps, stored, texts_of, trimmed, words_of
-from .graphs import components
+from .graphs import components, tops
 
 SHINGLE, SIDE, ROWS = 4, 20, 5
 PERCENT = 80
@@ -163,13 +163,19 @@ def _grouped(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     def labelled(df: DataFrame, col: str, roots: DataFrame, as_: str) -> DataFrame:
         return df.join(roots.select(F.col("node").alias(col), F.col("root").alias(as_)), col, "left").withColumn(as_, F.coalesce(as_, col))
 
-    # Best hub of each first, then all hubs in other components.
+    def merged(roots: DataFrame, some: DataFrame, name: str) -> DataFrame:
+        """Roots after links between them came to light."""
+        ends = labelled(labelled(some, "a", roots, "ra"), "b", roots, "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        new = stored(components(ends, name), f"{name}-new")
+        known = new.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        old = roots.join(known, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        return stored(old.unionByName(new.join(roots.select("node"), "node", "left_anti")), f"{name}-roots")
+
+    # Best hub of each first, then all hubs in other components. A hub is the smallest of its bucket, so best hubs make a forest.
     best = stored(pairs.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b")), "best")
-    links = confirmed(best, "best")
-    roots = stored(components(links, "first"), "roots1")
+    roots = tops(confirmed(best, "best"), "first")
     rest = labelled(labelled(pairs.join(best, ["a", "b"], "left_anti"), "a", roots, "ra"), "b", roots, "rb").filter("ra <> rb").select("a", "b")
-    links = links.unionByName(confirmed(stored(rest, "rest"), "rest"))
-    roots = stored(components(links, "second"), "roots2")
+    roots = merged(roots, confirmed(stored(rest, "rest"), "rest"), "second")
 
     # Buckets that still hold several components: every pair that could join two of them has an end outside the largest.
     # Such classes meet the others by their rarest shingles: of two sets that share `least` shingles, each has one of the
@@ -193,9 +199,7 @@ def _grouped(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
         .filter((F.col("root1") != F.col("root")) & (F.col("at1") <= n1 - least) & (F.col("at") <= n2 - least) & (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)))
         .select(F.least("set", "set1").alias("a"), F.greatest("set", "set1").alias("b")).distinct()
     )
-    links = links.unionByName(confirmed(stored(more, "more"), "more"))
-
-    roots = components(links, "third")
+    roots = merged(roots, confirmed(stored(more, "more"), "more"), "third")
     return rows.select("doc_id", "place", "k1", "k2", "n_shingles"), stored(labelled(sets.select("set", "k1", "k2", "doc_id"), "set", roots, "root"), "grouped")
 
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.llm import licenses, minhash, mixing, packing, quality, repeats, sharding, suffixes, toxicity, urls, vectors
-from fathomline.llm.graphs import components
+from fathomline.llm.graphs import components, tops
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, place string, `set` int, given int, spans int, kept int"
 
@@ -599,6 +599,18 @@ def test_components(spark):
     assert got == {k: v for k, v in comp.items() if any(k in e and e[0] != e[1] for e in edges)}
 
 
+def test_tops_of_a_forest(spark):
+    r = random.Random(9)
+    parent = {k: r.randrange(k) for k in range(30, 300)} | {k: k - 1 for k in range(301, 340)}
+
+    def top(k):
+        return top(parent[k]) if k in parent else k
+
+    got = {x["node"]: x["root"] for x in tops(spark.createDataFrame(list(parent.items()), "a long, b long")).collect()}
+    assert got == {k: top(k) for k in parent}
+    assert tops(spark.createDataFrame([], "a long, b long")).count() == 0 == components(spark.createDataFrame([], "a long, b long")).count()
+
+
 def test_stored_tables_can_be_forgotten(spark):
     from fathomline.llm import common
 
