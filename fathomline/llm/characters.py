@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, mix, spare, spare2, steps, stored, texts_of, trimmed
+from .common import LOWER, SPACE, STEP_BYTES, mix, spare, spare2, steps, stored, texts_of, trimmed
 
 ORDER = 5
 #: Bytes of text that a block should hold, and the rows it holds at most.
@@ -54,7 +54,7 @@ def block_rows(docs: DataFrame) -> tuple[int, int]:
 def characters(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Code points of the texts, and where each text starts, in steps of a few texts."""
     raw, at = texts_of(column)
-    for lo, hi in steps(at):
+    for lo, hi in steps(at, STEP_BYTES // 2):
         part, own = raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lead = np.zeros(len(part) + 1, np.int64)
         np.cumsum((part & 0xC0) != 0x80, out=lead[1:])

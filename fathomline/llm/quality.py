@@ -103,6 +103,7 @@ def _score(parts: int):
         n = docs.num_rows
         facts = np.zeros((n, 5), np.int64)
         logp = np.zeros(n)
+        part = None
         for lo, hi in steps(at):
             part, own = raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
             if len(part):
@@ -112,12 +113,14 @@ def _score(parts: int):
             for k in range(lo, hi):
                 if own[k - lo] < own[k - lo + 1]:
                     facts[k, [0, 3, 4]] = _facts(part[own[k - lo] : own[k - lo + 1]].tobytes())
+        empty = np.diff(at) == 0
+        del raw, at, part
         fold = docs["fold"].to_numpy()
         for model, rows in characters.models_of(docs["model"]):
             take = rows.to_numpy()
             logp[take] = characters.log_perplexity(docs["text"].take(rows), fold[take], answers.get(model, {}), parts)
         new = {name: pa.array(facts[:, i]) for i, name in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}
-        return pa.table({"given": docs["given"], "text": docs["text"], **new, "log_perplexity": pa.array(logp, mask=np.diff(at) == 0), "model": docs["model"]})
+        return pa.table({"given": docs["given"], "text": docs["text"], **new, "log_perplexity": pa.array(logp, mask=empty), "model": docs["model"]})
 
     return run
 
