@@ -62,7 +62,7 @@ def oracle_sql() -> dict[str, str]:
     listed = ", ".join(f"('{x}')" for x in urls.LISTED)
     op2 = f"""
     WITH parts AS (
-        SELECT page_id, lower(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')) AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+        SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
     ), rules(verdict, h, p) AS (VALUES {", ".join(str(r) for r in urls.RULES)}), listed(h) AS (VALUES {listed}),
     fits AS (
         SELECT page_id, host, path, max_by(rules.h || rules.p, length(rules.h || rules.p)) AS rule, max_by(rules.verdict, length(rules.h || rules.p)) AS said

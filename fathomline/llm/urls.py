@@ -20,8 +20,8 @@ from .common import stored
 
 #: (verdict, host, path): fits the host and its subdomains where the path starts with the rule's; the longest rule wins.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Listed domains.
-LISTED = ["spam-farm.example.org", "cheap-pills.example.com", "spam-farm.example.com", "cheap-pills.example.net", "spam-farm.example.net", "cheap-pills.example.org"]
+#: Listed domains: each name under each of the top domains.
+LISTED = [f"{name}.example.{top}" for name in ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x") for top in ("com", "net", "org")]
 
 BITS_A_KEY, HASHES = 10, 4
 MAX_BITS = 1 << 26
