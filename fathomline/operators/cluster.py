@@ -107,13 +107,13 @@ def average_linkage(pairs: DataFrame, k: int, by: list[str] | None = None) -> Da
     return groups.applyInPandas(run, ", ".join([*(f"{c} {kind(c)}" for c in by or ()), f"id {kind('a')}", "label int"]))
 
 
-def dbscan_distances(pairs: DataFrame, ids: DataFrame, eps: float, min_samples: int, rounds: int = 50) -> DataFrame:
+def dbscan_distances(pairs: DataFrame, ids: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """CLU-12: density clusters from a distance table (both directions); label is the smallest core id, null for noise."""
     near = pairs.filter(F.col("d") <= eps).select("a", "b")
     core = _cut(ids.join(near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")), "id", "left").filter(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("id"))
     link = near.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b")
     label = core.select("id", F.col("id").alias("label"))
-    for _ in range(rounds):
+    while True:  # labels only fall, so they settle, after as many rounds as the longest chain has links
         low = link.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("low"))
         new = _cut(label.join(low, "id", "left").select("id", F.least("label", F.coalesce("low", "label")).alias("label"), F.col("label").alias("old")))
         done = not new.filter("label <> old").limit(1).count()
