@@ -4,9 +4,12 @@ Documents are turned into pieces of at most 2048 tokens; pieces are packed into
 partitions, and each is packed best-fit decreasing. A lower bound from dual-feasible functions certifies the number
 of its sequences. What no bound certifies, and in any case each partition's emptiest sequences, is given back,
 exchanged between fewer partitions, and packed anew; the last round has one partition, whose rows are few since each
-round gives back a small part only. A sequence never changes once it is kept.
+round gives back a small part only. In it, as long as its bound certifies fewer sequences, the emptiest sequences and others drawn
+beside them exchange their pieces and are packed anew by best-fit decreasing, of lengths stretched a little at random from the second
+time on, until the bound is met or TURNS exchanges in a row gain nothing. The number of sequences and the bound of the whole are returned
+with each row; where they are equal, no packing has fewer.
 
-Defined results: a null or empty text is the single id 0; repeated rows are packed each for itself; an empty table
+Defined results: pieces of equal length go in the order of their hashes; a null or empty text is the single id 0; repeated rows are packed each for itself; an empty table
 gives an empty result; further columns of the input are ignored.
 """
 
@@ -30,6 +33,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces in a partition, partitions that exchange with each other, and the share of its sequences a partition with a gap gives back.
 PARTITION_ROWS, FAN_IN, GIVE_BACK = 20_000, 8, 0.1
+#: Exchanges in a row without a gain after which the last partition stops.
+TURNS = 40
 
 #: Characters whose class may differ between versions of Unicode tables: such texts go to the reference tokenizer.
 _RARE = re.compile("[^\x00-ɏ̀-῿ -⁯₠-₿　-ヿ一-龥가-힣]")
@@ -92,9 +97,11 @@ def pieces(docs: DataFrame, tokenizer: tuple[str, str] | None = None, capacity:
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     """Fewest bins that any packing needs, by the dual-feasible functions u(k) and the one that drops sizes below a cut."""
-    if not len(lengths):
-        return 0
-    n = np.bincount(lengths, minlength=capacity + 1)
+    return bound_of(np.bincount(lengths, minlength=capacity + 1), capacity) if len(lengths) else 0
+
+
+def bound_of(n: np.ndarray, capacity: int = CAPACITY) -> int:
+    """The same of how many pieces there are of each length."""
     size = np.arange(capacity + 1)
     best = math.ceil((n * size).sum() / capacity)
     cut_at = np.flatnonzero(n[: capacity // 2 + 1])  # for each cut, sizes over capacity - cut count full, sizes under the cut nothing
@@ -109,12 +116,12 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
-def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
-    """Bins of indices; each length goes to the fullest bin it fits in, longest first."""
+def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY, order: np.ndarray | None = None) -> list[list[int]]:
+    """Bins of indices; each length goes to the fullest bin it fits in, longest first or in an order given."""
     bins: list[list[int]] = []
     free: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by room left
     open_at = 0  # bit r: some bin has room r
-    for i in np.argsort(-lengths, kind="stable"):
+    for i in np.argsort(-lengths, kind="stable") if order is None else order:
         x = int(lengths[i])
         fits = open_at >> x
         if fits:
@@ -132,13 +139,38 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> list[l
     return bins
 
 
+def exchanged(lengths: np.ndarray, bins: list[list[int]], capacity: int = CAPACITY, turns: int = TURNS) -> list[list[int]]:
+    """Bins repacked until their number meets the bound, or `turns` exchanges in a row gain nothing.
+
+    An exchange takes the emptiest bins and as many drawn at random, and keeps what it makes of them if these are fewer, or as many and
+    more unequal (squares of their sizes add up to more), as room in one place is of more use.
+    """
+    bound, idle, r = lower_bound(lengths, capacity), 0, np.random.default_rng(len(lengths))
+    size = np.array([int(lengths[b].sum()) for b in bins])
+    while len(bins) > bound and idle < turns:
+        share = min(len(bins), max(2, math.ceil(GIVE_BACK * len(bins))))
+        took = np.unique(np.concatenate([np.argsort(size, kind="stable")[:share], r.choice(len(bins), share, replace=False)]))
+        items = np.array([i for k in took for i in bins[k]])
+        order = np.argsort(-lengths[items] * (1 + (0.3 * r.random(len(items)) if idle else 0)), kind="stable")
+        new = [[int(items[i]) for i in b] for b in best_fit_decreasing(lengths[items], capacity, order)]
+        new_size = np.array([int(lengths[b].sum()) for b in new])
+        idle = 0 if len(new) < len(took) else idle + 1
+        if len(new) < len(took) or len(new) == len(took) and (new_size**2).sum() > (size[took] ** 2).sum():
+            rest = np.setdiff1d(np.arange(len(bins)), took)
+            bins, size = [bins[k] for k in rest] + new, np.concatenate([size[rest], new_size])
+    return bins
+
+
 def _packer(capacity: int, turn: int, last: bool):
     def run(key, table):
+        table = table.sort_by("deal")
         lengths = table["length"].to_numpy()
         bins = best_fit_decreasing(lengths, capacity)
-        room = [(capacity - int(lengths[b].sum()), k) for k, b in enumerate(bins)]
         back: set[int] = set()
-        if not last:
+        if last:
+            bins = exchanged(lengths, bins, capacity)
+        else:
+            room = [(capacity - int(lengths[b].sum()), k) for k, b in enumerate(bins)]
             gap = len(bins) > lower_bound(lengths, capacity)
             back = {k for left, k in heapq.nlargest(max(1, math.ceil(GIVE_BACK * len(bins))) if gap else 1, room) if left > 0}
         seq, place = np.full(len(lengths), -1, np.int64), np.zeros(len(lengths), np.int64)
@@ -181,6 +213,16 @@ def pack(found: DataFrame, capacity: int = CAPACITY, partition_rows: int = PARTI
     return out
 
 
+def certified(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: n_sequences, and lower_bound, the fewest that any packing of all these pieces needs."""
+    by_length = packed.groupBy("length").agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("first")).collect()  # `capacity` rows at most
+    n = np.zeros(capacity + 1, np.int64)
+    for r in by_length:
+        n[r["length"]] = r["n"]
+    return packed.sparkSession.createDataFrame([(sum(r["first"] for r in by_length), bound_of(n, capacity) if by_length else 0)], "n_sequences long, lower_bound long")
+
+
 def best_fit_packing(docs: DataFrame, tokenizer: tuple[str, str] | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for all documents."""
-    return pack(pieces(docs, tokenizer, capacity), capacity)
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for all documents, and n_sequences and lower_bound of the whole."""
+    packed = pack(pieces(docs, tokenizer, capacity), capacity)
+    return packed.crossJoin(F.broadcast(certified(packed, capacity)))  # one row

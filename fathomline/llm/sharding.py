@@ -2,12 +2,15 @@
 
 Records are ordered by a key (a hash of the text, so equal texts lie together). A sample whose chance is in
 proportion to size gives quantile boundaries; records are dealt into ranges between them; ranges that turn out
-overfull, as one large group of equal texts makes them, are subdivided by doc_id; single records larger than a range
-are units of their own. Units, a bounded number whatever the input, are then given to shards, largest first. The law
-that holds is `bytes`: shards have near equal bytes, up to what one record allows.
+overfull, as one large group of equal texts makes them, are subdivided by a hash of doc_id and the row's place; single
+records larger than a range are units of their own. Units, a bounded number whatever the input, are then given to shards,
+largest first. The law that holds is `bytes`: shards have near equal bytes, up to what one record allows.
 
-Defined results: null text has size 16; repeated rows are records of their own with slots of their own; ties in key
-are broken by doc_id; an empty table gives an empty result; further columns are ignored.
+Groups of equal texts lie in one range, and so in one shard, unless the range is overfull or a text alone is larger than a range:
+then its rows, those of smaller groups in the same range too, are spread over shards, as the law comes first.
+
+Defined results: null text has size 16; repeated rows, also those of one doc_id or none, are records of their own with slots of
+their own, spread like others; ties in key are broken by that hash; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import placed, stored
 
 OVERHEAD = 16
 #: Ranges for each shard, at least; and the most rows a range should hold.
@@ -42,9 +45,9 @@ def splitters(keys: list[tuple[int, float]], ranges: int) -> list[int]:
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for all documents."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    tie = F.xxhash64("doc_id", "__place.file", "__place.row", F.lit(7))
     rows = stored(
-        docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")).withColumn("tie", F.xxhash64("doc_id", F.lit(7))),
-        "sizes",
+        placed(docs, "doc_id", "text").select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"), tie.alias("tie")), "sizes"
     )
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     ranges = max(RANGES * shards, -(-n // RANGE_ROWS))
@@ -69,12 +72,12 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     unit = F.when(F.col("range") == -1, F.struct(F.lit(-1).alias("r"), F.pmod(F.col("tie"), buckets).alias("p"))).otherwise(F.struct(F.col("range").alias("r"), F.pmod(F.col("tie"), F.coalesce(F.col("parts"), F.lit(1)).cast("long")).alias("p")))
     rows = stored(rows.join(F.broadcast(parts), "range", "left").withColumn("unit", unit).drop("parts", "range"), "ranges")
     units = rows.groupBy("unit").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()  # a few for each range
-    heap, place = [(0, s, 0) for s in range(shards)], []
+    heap, given = [(0, s, 0) for s in range(shards)], []
     for u in sorted(units, key=lambda u: (-u["bytes"], u["unit"])):
         size, s, start = heapq.heappop(heap)
-        place.append((*u["unit"], s, start))
+        given.append((*u["unit"], s, start))
         heapq.heappush(heap, (size + u["bytes"], s, start + u["rows"]))
-    placed = docs.sparkSession.createDataFrame([((r, p), s, start) for r, p, s, start in place], "unit struct<r:int,p:long>, shard int, start long")
+    homes = docs.sparkSession.createDataFrame([((r, p), s, start) for r, p, s, start in given], "unit struct<r:int,p:long>, shard int, start long")
     slot = F.row_number().over(Window.partitionBy("unit").orderBy("key", "tie", "doc_id")) - 1
-    return rows.withColumn("slot", slot).join(F.broadcast(placed), "unit").select(
+    return rows.withColumn("slot", slot).join(F.broadcast(homes), "unit").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("slot") + F.col("start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
