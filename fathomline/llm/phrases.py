@@ -7,7 +7,8 @@ with the bitmaps of the words that may follow; the bits left are the longer phra
 Popcounts are summed over shards.
 
 A phrase of `least` occurrences needs not be frequent in any one shard, so shards learn first which word pairs can be: each
-sums its pairs' popcounts in hash cells, cells are summed over shards, and cells below `least` are cut. Phrases are extended by
+sums its pairs' popcounts in hash cells, cells are summed over shards, and cells below `least` are cut. Cells travel packed, those of one range
+in a row: there are as many rows as shards times ranges at most, and never more than pairs. Phrases are extended by
 pairs of the other cells only; what has hashed by chance into one of these is counted, and dropped by its own count.
 
 Words are told apart in a shard by their text, and between shards by a 64-bit hash, which is made with another seed if two words
@@ -31,8 +32,8 @@ from .common import LOWER, U64, Rolling, give_back, mix, seeds, small_batches, s
 
 #: Bytes of text in a shard, and of all languages that a task has open.
 SHARD_BYTES, OPEN_BYTES = 4 << 20, 8 << 20
-#: Bits of the hash cells in which pairs are counted first.
-CELL_BITS = 48
+#: Pairs are counted first in hash cells: ranges of about so many pairs, a task each, and in a range 2**CELL_BITS cells (32 at most).
+RANGE_PAIRS, CELL_BITS = 1 << 21, 32
 #: A bitmap that sets more than one in so many positions is packed.
 DENSE = 32
 
@@ -202,39 +203,82 @@ def _rows(table: pa.RecordBatch | pa.Table) -> Iterator[dict]:
         yield numbers | {c: table.column(c)[k].as_py() for c in ("shard", "size", "starts", "bits")}
 
 
-def cells(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """The hash cells of pairs of word hashes."""
-    return (mix(mix(first.view(U64)) * U64(0x9E3779B97F4A7C15) + second.view(U64)) >> U64(64 - CELL_BITS)).astype(np.int64)
+def cells(first: np.ndarray, second: np.ndarray, ranges: int) -> np.ndarray:
+    """The hash cells of pairs of word hashes: a range in the upper half, a place of CELL_BITS bits in it in the lower half."""
+    h = mix(mix(first.view(U64)) * U64(0x9E3779B97F4A7C15) + second.view(U64))
+    return ((h >> U64(32)) % U64(ranges)) << U64(32) | h & U64((1 << CELL_BITS) - 1)
 
 
-def pair_cells(table: DataFrame) -> DataFrame:
-    """shard, cell, n: the popcounts of all pairs, in hash cells."""
+_CELLS = "shard bigint, range bigint, cells binary, counts binary"
+
+
+def pair_cells(table: DataFrame, least: int, ranges: int) -> DataFrame:
+    """shard, range, cells, counts: the popcounts of all pairs in hash cells, those of a range packed in a row.
+
+    A count goes up to `least`, which is all that matters of it.
+    """
+    kind = "<u1" if least < 256 else "<u8"
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for row in _rows(batch):
                 maps = Bitmaps(row)
                 one, two, n, _ = maps.pairs()
-                cell = cells(maps.ids[one], maps.ids[two])
+                cell = cells(maps.ids[one], maps.ids[two], ranges)
                 order = np.argsort(cell)
                 cell, n = cell[order], n[order]
-                cut = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
-                sums = np.add.reduceat(n, cut) if len(cut) else n
-                for lo in range(0, len(cut), 1 << 16):
-                    own = slice(lo, lo + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut[own]), row["shard"])), pa.array(cell[cut[own]]), pa.array(sums[own].astype(np.int32))], names=["shard", "cell", "n"])
+                first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+                n = np.minimum(np.add.reduceat(n, first), least).astype(kind) if len(first) else n.astype(kind)
+                cell = cell[first]
+                at = cell >> U64(32)
+                cut = np.append(np.flatnonzero(np.append(True, at[1:] != at[:-1])), len(at)) if len(at) else np.zeros(1, np.int64)
+                low = cell.astype("<u4")
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(cut) - 1, row["shard"])), pa.array(at[cut[:-1]].astype(np.int64)),
+                    pa.array([low[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary()), pa.array([n[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary()),
+                ], names=["shard", "range", "cells", "counts"])
                 give_back()
 
-    return table.select("shard", "size", "starts", "ids", "counts", "bits").mapInArrow(trimmed(run), "shard bigint, cell bigint, n int")
+    return table.select("shard", "size", "starts", "ids", "counts", "bits").mapInArrow(trimmed(run), _CELLS)
+
+
+def alive_cells(found: DataFrame, least: int) -> DataFrame:
+    """shard, range, cells: of each shard the cells that have at least `least` occurrences in all shards together; a range in a task."""
+    kind = "<u1" if least < 256 else "<u8"
+
+    def run(table: pa.Table) -> pa.Table:
+        each = [np.frombuffer(c, "<u4") for c in table.column("cells").to_pylist()]
+        cell, n = np.concatenate(each), np.concatenate([np.frombuffer(c, kind) for c in table.column("counts").to_pylist()]).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        first = np.append(True, cell[order][1:] != cell[order][:-1])
+        total = np.add.reduceat(n[order], np.flatnonzero(first))
+        alive = np.empty(len(cell), bool)
+        alive[order] = (total >= least)[np.cumsum(first) - 1]
+        parts = np.split(alive, np.cumsum([len(c) for c in each])[:-1])
+        left = [c[keep].tobytes() for c, keep in zip(each, parts)]
+        some = pa.array([bool(c) for c in left])
+        return pa.table({"shard": table.column("shard"), "range": table.column("range"), "cells": pa.array(left, pa.binary())}).filter(some)
+
+    return found.groupBy("range").applyInArrow(spare1(run), "shard bigint, range bigint, cells binary")
+
+
+def spare1(run):
+    """A function of a group that first gives back what the group before left."""
+
+    def out(table: pa.Table) -> pa.Table:
+        give_back()
+        return run(table)
+
+    return out
 
 
-def grown(maps: Bitmaps, alive: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def grown(maps: Bitmaps, alive: np.ndarray, ranges: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Phrases of 2 to longest words as rows of word hashes, and their popcounts; alive: the sorted cells of pairs that may follow.
 
     Bitmaps are extended depth-first: a batch of phrases, then all that grows from it, then the next batch.
     """
     one, two, n, _ = maps.pairs()
-    cell = cells(maps.ids[one], maps.ids[two])
+    cell = cells(maps.ids[one], maps.ids[two], ranges)
     keep = alive[np.minimum(np.searchsorted(alive, cell), len(alive) - 1)] == cell if len(alive) else np.zeros(len(cell), bool)
     words = len(maps.ids)
     wanted = np.sort(one[keep] * words + two[keep])
@@ -273,16 +317,17 @@ def _extend(maps: Bitmaps, follows: np.ndarray, phrase: np.ndarray, bits: np.nda
 
 def counted(table: DataFrame, least: int, longest: int) -> DataFrame:
     """phrase (word hashes), a: all phrases of 2 to longest words with at least `least` occurrences."""
-    found = stored(pair_cells(table), "cells")
-    total = found.groupBy("cell").agg(F.sum("n").alias("a")).filter(F.col("a") >= least).select("cell")
-    alive = found.select("shard", "cell").join(total, "cell", "left_semi")
+    positions = table.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
+    ranges = max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), positions // RANGE_PAIRS)
+    alive = alive_cells(pair_cells(table, least, ranges), least)
 
     def run(key: tuple, left: pa.Table, right: pa.Table):
         out = []
-        cell = np.sort(right.column("cell").to_numpy())
+        own = [(U64(r) << U64(32)) | np.frombuffer(c, "<u4").astype(U64) for r, c in zip(right.column("range").to_pylist(), right.column("cells").to_pylist())]
+        cell = np.sort(np.concatenate(own)) if own else np.zeros(0, U64)
         for row in _rows(left):
             maps = Bitmaps(row)
-            for phrase, n in grown(maps, cell, longest):
+            for phrase, n in grown(maps, cell, ranges, longest):
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * phrase.shape[1]), pa.array(np.ascontiguousarray(phrase).ravel()))
                 out.append(pa.table({"phrase": lists, "n": pa.array(n, pa.int64())}))
         return pa.concat_tables(out) if out else pa.table({"phrase": pa.array([], pa.list_(pa.int64())), "n": pa.array([], pa.int64())})
