@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def dbscan_1d(df: DataFrame, eps: int, min_samples: int, keys: list[str], ts: str = "ts") -> DataFrame:
     """CLU-15: exact density clustering of times, without a UDF; cluster_id from 0 in each partition, -1 for noise.
@@ -24,6 +26,38 @@ def dbscan_1d(df: DataFrame, eps: int, min_samples: int, keys: list[str], ts: st
     return rows.withColumn("cluster_id", F.coalesce("_id", near, F.lit(-1)).cast("int")).drop("_core", "_prev", "_new", "_id")
 
 
+def dbscan_ranges(df: DataFrame, eps: int, min_samples: int, keys: list[str] | None = None, ts: str = "ts", width: int = 2592000) -> DataFrame:
+    """CLU-15: the same clusters as `dbscan_1d`, numbered from 0 in each key, with time cut in cells that share the work.
+
+    A cell also sees the rows within twice eps of its borders, so cores and starts of clusters are known in it; clusters are numbered by
+    the starts of all cells before. Then a cell sees the numbered cores within eps, for the rows that aren't core. Only rows near borders are copied,
+    and only one row a cell meets in one task. A cluster may span any number of cells. Rows without a time are noise.
+    """
+    keys, width = list(keys or []), max(width, 4 * eps, 1)
+    home = F.floor(F.col(ts) / width)
+    cells = lambda reach: F.sequence(F.floor((F.col(ts) - reach) / width), F.floor((F.col(ts) + reach) / width))
+    p = Window.partitionBy(*keys, "_cell").orderBy(ts)
+    rows = df.filter(F.col(ts).isNotNull()).withColumn("_home", home).withColumn("_cell", F.explode(cells(2 * eps)))
+    rows = rows.withColumn("_core", F.count("*").over(p.rangeBetween(-eps, eps)) >= min_samples)
+    before = F.max(F.when(F.col("_core"), F.col(ts))).over(p.rangeBetween(-eps, -1))
+    first = F.coalesce(F.lag(ts).over(p) < F.col(ts), F.lit(True))
+    rows = rows.withColumn("_new", (F.col("_core") & before.isNull() & first).cast("int")).filter("_cell = _home").drop("_home")
+    rows = stored(rows, "cores")
+    counts = rows.groupBy(*keys, "_cell").agg(F.sum("_new").alias("_n"))
+    offset = F.coalesce(F.sum("_n").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a cell
+    offsets = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_cell").alias("_at"), offset.alias("_offset"))
+    same = F.col("_cell") == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rows = rows.join(offsets, same).drop("_at", *[f"_k{i}" for i in range(len(keys))])
+    number = F.col("_offset") + F.sum("_new").over(p.rangeBetween(Window.unboundedPreceding, 0)) - 1
+    rows = rows.withColumn("_id", F.when(F.col("_core"), number)).drop("_core", "_new", "_offset").withColumn("_own", F.lit(True))
+    copies = rows.filter("_id is not null").withColumn("_to", F.explode(cells(eps))).filter("_to <> _cell").withColumn("_cell", F.col("_to")).drop("_to").withColumn("_own", F.lit(False))
+    near = F.min("_id").over(p.rangeBetween(-eps, eps))
+    out = rows.unionByName(copies).withColumn("_near", near).filter("_own").withColumn("cluster_id", F.coalesce("_id", "_near", F.lit(-1).cast("long")))
+    return out.drop("_cell", "_id", "_own", "_near").unionByName(df.filter(F.col(ts).isNull()).withColumn("cluster_id", F.lit(-1).cast("long")))
+
+
 def equal_width(df: DataFrame, width: int, keys: list[str], ts: str = "ts") -> DataFrame:
     """CLU-16."""
     return df.withColumn("cluster_id", F.floor((F.col(ts) - F.min(ts).over(Window.partitionBy(*keys))) / width))
@@ -34,31 +68,44 @@ def single_cluster(df: DataFrame) -> DataFrame:
     return df.withColumn("cluster_id", F.lit(1))
 
 
-def topology_components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def topology_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """CLU-17: node and the smallest node it is connected with; nodes off the graph are alone."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    label = nodes.select("entity").union(edges.select("src")).union(edges.select("dst")).distinct().select("entity", F.col("entity").alias("component"))
-    for _ in range(rounds):
-        low = both.join(label, both.dst == label.entity).groupBy("src").agg(F.min("component").alias("low"))
-        new = label.join(low, label.entity == low.src, "left").select("entity", F.least("component", F.coalesce("low", "component")).alias("component"), F.col("component").alias("old"))
-        new = _cut(new)
-        if not new.filter("component <> old").limit(1).count():
-            return new.select("entity", "component")
-        label = new.select("entity", "component")
-    raise RuntimeError("components did not settle")
+    ids = nodes.select("entity").union(edges.select("src")).union(edges.select("dst")).distinct()
+    return smallest_linked(ids.select(F.col("entity").alias("id")), edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(F.col("id").alias("entity"), F.col("label").alias("component"))
+
+
+def smallest_linked(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """id, label: the smallest id reachable over links (a, b).
+
+    A round takes the least label among a node's links for the node and for the node that its label names, then each label's own
+    label. So long chains shrink by a factor each round, and rounds grow with the logarithm of their length.
+    """
+    both = stored(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "links")
+    label = ids.select("id", F.col("id").alias("label"))
+    while True:  # labels only fall
+        known = label.select(F.col("id").alias("b"), F.col("label").alias("low"))
+        low = both.join(known, "b").groupBy(F.col("a").alias("id")).agg(F.min("low").alias("low"))
+        hooked = label.join(low, "id")
+        asked = low.unionByName(hooked.select(F.col("label").alias("id"), "low")).groupBy("id").agg(F.min("low").alias("low"))
+        lower = label.join(asked, "id", "left").select("id", F.least("label", F.coalesce("low", "label")).alias("label"), F.col("label").alias("old"))
+        lower = stored(lower, "labels")
+        up = lower.select(F.col("id").alias("label"), F.col("label").alias("top"))
+        new = stored(lower.join(up, "label", "left").select("id", F.least("label", F.coalesce("top", "label")).alias("label"), "old"), "labels")
+        label = new.select("id", "label")
+        if new.filter("label <> old").isEmpty():
+            return label
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared checkpoint folder where one is set, else in memory."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+    """Lineage cut by a table in the shared folder."""
+    return stored(df, "cut")
 
 
 def small_to_outliers(df: DataFrame, least: int) -> DataFrame:
-    """CLU-11: clusters smaller than `least` become -1, the others are numbered from 1 by label."""
-    n = F.count("*").over(Window.partitionBy("label"))
-    rows = df.withColumn("keep", n >= least)
-    rank = F.dense_rank().over(Window.partitionBy("keep").orderBy("label"))
-    return rows.withColumn("cluster", F.when(F.col("keep"), rank).otherwise(-1)).drop("keep")
+    """CLU-11: clusters smaller than `least` become -1, the others are numbered from 1 by label; a null label is -1."""
+    kept = df.filter("label is not null").groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("label")
+    ranked = kept.withColumn("_rank", F.row_number().over(Window.orderBy("label")))  # one row a label
+    return df.join(ranked, "label", "left").withColumn("cluster", F.coalesce("_rank", F.lit(-1))).drop("_rank")
 
 
 def medoids(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -75,36 +122,55 @@ def medoids(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def average_linkage(pairs: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
-    """CLU-10: by, id, label of average-linkage clusters of small sets of entities (a few hundred), each in one task.
+    """CLU-10: by, id, label of k average-linkage clusters, labels from 1 by the clusters' smallest ids; pairs: by, a, b, d.
 
-    Entities per matrix are bounded by the caller, as the distance matrix itself is quadratic.
+    In a round all pairs of clusters that are each other's nearest merge, which gives the same tree as merging one pair at a time: merging
+    others never brings a cluster nearer. Distances are rows of sums and counts, so no task holds a matrix. Rounds end when merges
+    enough lie below every distance left; the lowest of them, all but k - 1 of a whole tree's, are taken. Ties go by ids.
     """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        ids = sorted(set(pdf["a"]) | set(pdf["b"]))
-        at = {x: i for i, x in enumerate(ids)}
-        n = len(ids)
-        d = np.zeros((n, n))
-        d[pdf["a"].map(at), pdf["b"].map(at)] = pdf["d"]
-        d = np.maximum(d, d.T)
-        np.fill_diagonal(d, np.inf)
-        size, group = np.ones(n), np.arange(n)
-        for _ in range(n - max(1, k)):
-            i, j = sorted(divmod(int(np.argmin(d)), n))
-            mean = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-            d[i], d[:, i] = mean, mean
-            d[i, i] = np.inf
-            d[j], d[:, j] = np.inf, np.inf
-            size[i] += size[j]
-            group[group == j] = i
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * n for c in by or ()}, "id": ids, "label": pd.Series(pd.factorize(group)[0] + 1, dtype="int32")})
-
-    kind = lambda c: pairs.schema[c].dataType.simpleString()
-    groups = pairs.groupBy(*by) if by else pairs.groupBy(F.lit(1).alias("g"))
-    return groups.applyInPandas(run, ", ".join([*(f"{c} {kind(c)}" for c in by or ()), f"id {kind('a')}", "label int"]))
+    keys = list(by or [])
+    a, b = F.least("a", "b"), F.greatest("a", "b")
+    table = pairs.filter("a <> b").select(*keys, a.alias("a"), b.alias("b"), F.col("d").alias("s")).groupBy(*keys, "a", "b").agg(F.max("s").alias("s")).withColumn("n", F.lit(1).cast("long"))
+    if not keys:
+        table, keys = table.withColumn("_all", F.lit(0)), ["_all"]
+    table = stored(table.select(*keys, "a", "b", "s", "n"), "distances")
+    ids = stored(table.select(*keys, F.col("a").alias("id")).union(table.select(*keys, F.col("b").alias("id"))).distinct(), "ids")
+    needed = ids.groupBy(*keys).agg((F.count("*") - max(1, k)).alias("needed"))
+    merges, left, step = [], table, 0
+    while True:
+        apart = F.round(F.col("s") / F.col("n"), 12).alias("d")
+        ends = left.select(*keys, "a", "b", apart, F.explode(F.array("a", "b")).alias("id"))
+        nearest = ends.groupBy(*keys, "id").agg(F.min(F.struct("d", "a", "b")).alias("x"))
+        mutual = nearest.groupBy(*keys, "x").agg(F.count("*").alias("both")).filter("both = 2")
+        merges.append(stored(mutual.select(*keys, "x.a", "x.b", F.col("x.d").alias("height"), F.lit(step).alias("step")), "merges"))
+        into = merges[-1].select(*keys, F.col("b").alias("_b"), F.col("a").alias("_a"))
+        for end in ("a", "b"):
+            left = left.join(into.withColumnRenamed("_b", end), [*keys, end], "left").withColumn(end, F.coalesce("_a", end)).drop("_a")
+        left = left.filter("a <> b").select(*keys, a.alias("a"), b.alias("b"), "s", "n").groupBy(*keys, "a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        left, step = stored(left, "distances"), step + 1
+        least = left.groupBy(*keys).agg(F.min(F.round(F.col("s") / F.col("n"), 12)).alias("least"))
+        done = _rows(merges).join(least, keys).filter("height <= least").groupBy(*keys).agg(F.count("*").alias("done"))
+        open_ = least.join(needed, keys).join(done, keys, "left").filter(F.coalesce("done", F.lit(0)) < F.col("needed")).select(*keys)
+        left = stored(left.join(open_, keys, "left_semi"), "distances")
+        if left.isEmpty():
+            break
+    order = Window.partitionBy(*keys).orderBy("height", "step", "a", "b")  # a row for each merge
+    taken = _rows(merges).join(needed, keys).withColumn("_place", F.row_number().over(order)).filter("_place <= needed")
+    up = stored(ids.join(taken.select(*keys, F.col("b").alias("id"), F.col("a").alias("up")), [*keys, "id"], "left").select(*keys, "id", F.coalesce("up", "id").alias("up")), "up")
+    while True:  # each id's way up doubles
+        higher = stored(up.join(up.select(*keys, F.col("id").alias("up"), F.col("up").alias("top")), [*keys, "up"]).select(*keys, "id", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "up")
+        up = higher.select(*keys, "id", "up")
+        if higher.filter("moved").isEmpty():
+            break
+    names = up.select(*keys, "up").distinct().withColumn("label", F.row_number().over(Window.partitionBy(*keys).orderBy("up")))  # k rows a key
+    return up.join(names, [*keys, "up"]).select(*(by or []), "id", "label")
+
+
+def _rows(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def dbscan_distances(pairs: DataFrame, ids: DataFrame, eps: float, min_samples: int) -> DataFrame:
@@ -112,38 +178,11 @@ def dbscan_distances(pairs: DataFrame, ids: DataFrame, eps: float, min_samples:
     near = pairs.filter(F.col("d") <= eps).select("a", "b")
     core = _cut(ids.join(near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")), "id", "left").filter(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("id"))
     link = near.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b")
-    label = core.select("id", F.col("id").alias("label"))
-    while True:  # labels only fall, so they settle, after as many rounds as the longest chain has links
-        low = link.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("low"))
-        new = _cut(label.join(low, "id", "left").select("id", F.least("label", F.coalesce("low", "label")).alias("label"), F.col("label").alias("old")))
-        done = not new.filter("label <> old").limit(1).count()
-        label = new.select("id", "label")
-        if done:
-            break
+    label = smallest_linked(core, link)
     border = near.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("border"))
     return ids.select("id").join(label, "id", "left").join(border, "id", "left").select("id", F.coalesce("label", "border").alias("label"))
 
 
-def redundant_features(pairs: DataFrame, threshold: float) -> DataFrame:
-    """CLU-20: features dropped one after another, the one correlated with most others first; a small table on one task."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b in pdf.loc[pdf["r"] >= threshold, ["a", "b"]].itertuples(index=False):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        gone = []
-        while any(near.values()):
-            x = min(near, key=lambda f: (-len(near[f]), f))
-            gone.append(x)
-            for y in near.pop(x):
-                near[y].discard(x)
-        return pd.DataFrame({"feature": pd.Series(gone, dtype=str), "step": pd.Series(range(1, len(gone) + 1), dtype="int32")})
-
-    return pairs.groupBy(F.lit(1).alias("g")).applyInPandas(run, "feature string, step int")
-
-
 def latent(df: DataFrame, k: int) -> DataFrame:
     """CLU-22: id and the first k principal components of x (a stand-in for learned encoders, without parity)."""
     from pyspark.ml.feature import PCA

@@ -40,13 +40,17 @@ class RollingMean:
 
 
 class RollingGaussian(RollingMean):
-    """Negative log likelihood under the mean and deviation of the rows before, if there are LEAST of them, else 0."""
+    """Negative log likelihood under the mean and deviation (least at least) of the rows before, if there are LEAST of them, else 0."""
 
     LEAST = 4
 
+    def __init__(self, width: int = 12, least: float = 1e-3):
+        super().__init__(width)
+        self.least = least
+
     def score(self, series, model=None):
         w = _w(self.width)
-        m, s = F.avg("value").over(w), F.greatest(F.stddev_pop("value").over(w), F.lit(1e-3))
+        m, s = F.avg("value").over(w), F.greatest(F.stddev_pop("value").over(w), F.lit(self.least))
         z = (F.col("value") - m) / s
         return series.withColumn("score", F.when(F.count("*").over(w) >= self.LEAST, 0.5 * z * z + F.log(s) + 0.9189385332046727).otherwise(0.0))
 

@@ -150,14 +150,6 @@ def cumulative_mean_normalised(d: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(d) - 1), lambda lag: F.when(lag == 0, 1.0).otherwise(F.get(d, lag) * lag / (_sum(F.slice(d, 2, F.greatest(lag, F.lit(1)))) + 1e-8)))
 
 
-def inverse_weights(df: DataFrame, value: str = "c") -> DataFrame:
-    """WIN-18: weight of each feature: mean over entities of 1 / value, to a sum of 1."""
-    from pyspark.sql import Window
-
-    m = df.groupBy("feature").agg(F.avg(1 / F.col(value)).alias("m"))
-    return m.select("feature", (F.col("m") / F.sum("m").over(Window.partitionBy(F.lit(0)))).alias("w"))  # one row a feature
-
-
 def feature_correlations(df: DataFrame) -> DataFrame:
     """CLU-19: correlation of each pair of features within an entity; null with under three rows or a constant feature."""
     a = df.select("entity", F.col("feature").alias("fa"), "bucket_ts", F.col("value").alias("va"))

@@ -1,19 +1,24 @@
 """Language-model steps behind an interface: the prompt and the parser are plan expressions; the call is a plug-in.
 
-The default client is offline and repeatable: it names the entities of the prompt in their order. Calls are made on the driver, one
-for each cluster, and answers are kept in a table by (model, prompt hash), so a cluster is asked about once.
+The default client is offline and repeatable: it names the entities of the prompt in their order. Calls are made by tasks, each with a
+client of its own, a few tasks at a time so that a service isn't overrun. Answers are stored by (model, prompt hash) before anything reads
+them, and appended to a cache table, so equal prompts are asked once, now and later.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import table_rows
+from ..storage import stored
+
+ANSWERS = "model string, prompt_hash string, answer string"
 
 
 class Client(Protocol):
@@ -56,21 +61,40 @@ def with_retries(ask: Callable[[str], str], prompt: str, tries: int = 3, sleep:
     raise AssertionError
 
 
-def answered(prompts: DataFrame, model: str = "offline", cache: DataFrame | None = None, most: int = 10_000) -> DataFrame:
-    """EXT-06/07: cluster_id, prompt_hash, answer; clusters in the cache aren't asked again.
+def answered(prompts: DataFrame, model: str = "offline", cache: DataFrame | None = None, parallel: int = 8, cache_path: str | None = None) -> DataFrame:
+    """EXT-06/07: cluster_id, model, prompt_hash, answer of all prompts; those in the cache aren't asked again.
 
-    Incidents to ask about are few, and `most` makes sure of it: more is an error, not a cut.
+    cache: model, prompt_hash, answer; cache_path: a table of the same that is read first, and to which new answers are appended.
+    parallel: how many tasks call at once. A call that fails three times fails its task, which Spark tries again.
     """
+    spark = prompts.sparkSession
     rows = prompts.select("cluster_id", "prompt", F.sha2("prompt", 256).alias("prompt_hash"))
-    known = cache.filter(F.col("model") == model).select("prompt_hash", "answer") if cache is not None else None
-    new = rows.join(known, "prompt_hash", "left_anti") if known is not None else rows
-    todo = new.limit(most + 1).collect()
-    if len(todo) > most:
-        raise ValueError(f"more than {most} clusters to ask about")
-    c = client(model)
-    said = prompts.sparkSession.createDataFrame([(r["prompt_hash"], with_retries(c.ask, r["prompt"])) for r in todo], "prompt_hash string, answer string").dropDuplicates(["prompt_hash"])
-    said = said if known is None else said.unionByName(known)
-    return rows.join(said, "prompt_hash").select("cluster_id", F.lit(model).alias("model"), "prompt_hash", "answer")
+    known = cache_table(spark, cache_path) if cache_path else spark.createDataFrame([], ANSWERS)
+    if cache is not None:
+        known = known.unionByName(cache.select("model", "prompt_hash", "answer"))
+    known = known.filter(F.col("model") == model).dropDuplicates(["prompt_hash"])
+    new = rows.select("prompt_hash", "prompt").dropDuplicates(["prompt_hash"]).join(known, "prompt_hash", "left_anti").repartition(parallel)
+    make = next(make for mark, make in CLIENTS if mark in model)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        asked = None
+        for batch in batches:
+            asked = asked or make(model)
+            said = [with_retries(asked.ask, p) for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([model] * len(said), pa.string()), batch.column(0), pa.array(said, pa.string())], names=["model", "prompt_hash", "answer"])
+
+    said = stored(new.select("prompt_hash", "prompt").mapInArrow(run, ANSWERS), "answers")
+    every = stored(known.select("model", "prompt_hash", "answer").unionByName(said), "known") if cache_path else known.unionByName(said)
+    if cache_path:
+        said.write.mode("append").parquet(cache_path)
+    return rows.join(every, "prompt_hash").select("cluster_id", "model", "prompt_hash", "answer")
+
+
+def cache_table(spark: SparkSession, path: str) -> DataFrame:
+    """The answers stored at a path so far; none if nothing is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(ANSWERS).parquet(path) if there else spark.createDataFrame([], ANSWERS)
 
 
 def parsed_answers(answers: DataFrame) -> DataFrame:

@@ -216,6 +216,20 @@ def candidate_scores(steps: DataFrame, features: DataFrame) -> DataFrame:
     return normalised(rows.withColumn("raw", raw), ["cluster_id", "id", "key"], "raw").drop("anomalies", "severity", "raw")
 
 
+def entity_scores(steps: DataFrame, features: DataFrame, relations: int = 3) -> DataFrame:
+    """RCA-23: a pruner that judges entities at once: of each node the `relations` relation keys with the most neighbours (the first of equals), and
+    scores that add up to 1 over all neighbours along them, not along each. A neighbour met along several keys counts once, by the first key.
+    """
+    size = steps.groupBy("cluster_id", "id", "key").agg(F.countDistinct("other").alias("n"))
+    place = F.row_number().over(Window.partitionBy("cluster_id", "id").orderBy(F.desc("n"), "key"))  # a row a key
+    kept = size.withColumn("r", place).filter(F.col("r") <= relations).select("cluster_id", "id", "key")
+    once = steps.join(kept, ["cluster_id", "id", "key"]).groupBy("cluster_id", "id", "other").agg(F.min(F.struct("key", "triplet")).alias("x")).select("cluster_id", "id", "other", "x.key", "x.triplet")
+    f = features.select("cluster_id", F.col("id").alias("other"), "anomalies", "severity")
+    rows = once.join(f, ["cluster_id", "other"], "left")
+    raw = 0.4 * F.coalesce("anomalies", F.lit(0)) + 0.3 * F.coalesce("severity", F.lit(0.0)) + F.when(F.col("other").startswith("entity:"), 1.0).otherwise(0.2)
+    return normalised(rows.withColumn("raw", raw), ["cluster_id", "id"], "raw").drop("anomalies", "severity", "raw")
+
+
 def normalised(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     """RCA-22: not below 0, to a sum of 1; alike for all if they are all 0."""
     w = Window.partitionBy(*keys)
@@ -235,7 +249,7 @@ def beam_search(edges: DataFrame, features: DataFrame, seeds: int = 5, width: in
     beam = beam.select("cluster_id", "id", F.array("id").alias("path"), F.array().cast("array<string>").alias("chain"), F.lit(1.0).alias("weight"))
     out = beam
     for _ in range(depth):
-        best = F.row_number().over(w.orderBy(F.desc("weight"), F.concat_ws("|", "path")))
+        best = F.row_number().over(w.orderBy(F.desc("weight"), F.concat_ws("|", "path"), F.concat_ws("|", "chain")))
         step = beam.join(steps, ["cluster_id", "id"]).filter(~F.array_contains("path", F.col("other")))
         beam = step.select("cluster_id", F.col("other").alias("id"), F.concat("path", F.array("other")).alias("path"), F.concat("chain", F.array("triplet")).alias("chain"), F.round(F.col("weight") * F.col("score"), 9).alias("weight"))
         beam = beam.withColumn("r", best).filter(F.col("r") <= width).drop("r")
@@ -243,6 +257,18 @@ def beam_search(edges: DataFrame, features: DataFrame, seeds: int = 5, width: in
     return out.withColumn("length", F.size("path"))
 
 
+def weighted_indicators(df: DataFrame, weights: dict[str, float], other: float, least: float = 0.1, top: int = 5) -> DataFrame:
+    """AGG-15: cluster_id, attribute, weight: the mean weight of an attribute's anomalies (by their type) times its share of the cluster's; those over `least`, `top` at most."""
+    by_type = F.lit(other)
+    for kind, w in weights.items():
+        by_type = F.when(F.col("type") == kind, w).otherwise(by_type)
+    each = df.groupBy("cluster_id", "attribute").agg(F.count("*").alias("n"), F.avg(by_type).alias("w"))
+    whole = df.groupBy("cluster_id").agg(F.count("*").alias("all"))
+    scored = each.join(whole, "cluster_id").withColumn("weight", F.round(F.col("w") * F.col("n") / F.col("all"), 6)).filter(F.col("weight") > least)
+    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("weight"), "attribute"))
+    return scored.withColumn("r", place).filter(F.col("r") <= top).select("cluster_id", "attribute", "weight")
+
+
 def condensed(df: DataFrame, least: int = 2) -> DataFrame:
     """RCA-21: (type, cleaned entity, attribute) with `least` distinct times in a cluster, and two of its names at most."""
     rows = df.withColumn("clean", graph.clean_name(F.col("entity")))

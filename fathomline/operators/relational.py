@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def with_stats(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     """JN-01: left join of counts; missing ones are 0."""
@@ -49,19 +51,19 @@ def free_slots(taken: DataFrame, by: list[str], slots: int) -> DataFrame:
     return used.select(*by, F.explode(F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")), "used")).alias("slot"))
 
 
-def numbered(df: DataFrame, by: str, name: str, then: list | None = None, ranges: int = 200) -> DataFrame:
-    """JN-14, RNK-02: the place of each row in the order by a number, and then by other columns; from 1.
+def numbered(df: DataFrame, by: str, name: str, then: list | None = None, ranges: int | None = None) -> DataFrame:
+    """JN-14, RNK-02: the place of each row in the order by a column (nulls last), and then by other columns; from 1.
 
-    Rows are dealt into ranges between quantiles of the number, numbered in each, and moved by the rows of the ranges before.
-    Rows with one number share a range.
+    Rows are dealt into ranges of the whole order, as many as the session has shuffle partitions, numbered in each, and moved by the rows of the
+    ranges before. The other columns split a value that many rows share, so ranges are even unless rows are equal in all of them.
     """
-    edges = sorted(set(df.agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []))
-    at = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(by))) if edges else F.lit(0)
-    rows = df.withColumn("_range", F.when(F.col(by).isNull(), F.lit(len(edges) + 1)).otherwise(at))
+    order = [F.asc_nulls_last(by), *(then or [])]
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     size = rows.groupBy("_range").agg(F.count("*").alias("n"))  # a row for each range
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(F.asc_nulls_last(by), *(then or [])))
-    return rows.join(F.broadcast(size.select("_range", before.alias("_before"))), "_range").withColumn(name, own + F.col("_before")).drop("_range", "_before")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return rows.join(size.select("_range", before.alias("_before")), "_range").withColumn(name, own + F.col("_before")).drop("_range", "_before")
 
 
 def aligned(a: DataFrame, b: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

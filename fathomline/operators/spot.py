@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def gpd_fit(y: np.ndarray) -> tuple[float, float]:
@@ -53,18 +56,32 @@ def gpd_fit(y: np.ndarray) -> tuple[float, float]:
     return shape, shape / ratio
 
 
-def tail_quantile(threshold: float, peaks: np.ndarray, n: int, q: float) -> float:
-    """The value exceeded with probability q."""
+def tail_quantile(threshold: float, peaks: np.ndarray, n: int, q: float, seen: int | None = None) -> float:
+    """The value exceeded with probability q; seen: how many peaks there were, if not all are at hand."""
     if not len(peaks):
         return threshold
     shape, scale = gpd_fit(peaks)
-    r = q * n / len(peaks)
+    r = q * n / (seen or len(peaks))
     return threshold + (scale / shape * (r**-shape - 1) if shape else -scale * math.log(r))
 
 
+#: The peaks that a tail is fitted to: all up to so many, then a fair sample of all. So a state is bounded, and a fit costs the same for ever.
+MOST_PEAKS = 2000
+
+
+def _kept(peaks: list[float], seen: int, peak: float) -> list[float]:
+    """A sample with one more peak, the seen-th: each peak so far is in it with the same chance, by a hash of its number."""
+    if seen <= MOST_PEAKS:
+        return [*peaks, peak]
+    h = seen * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+    h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1) ^ h >> 27
+    at = (h ^ h >> 31) % seen
+    return [*peaks[:at], peak, *peaks[at + 1 :]] if at < MOST_PEAKS else peaks
+
+
 @dataclass
 class Tail:
-    """One tail of a stream: its peaks, how many values were seen, and the threshold that follows."""
+    """One tail of a stream: a sample of its peaks, how many peaks and values were seen, and the threshold that follows."""
 
     q: float = 1e-3
     level: float = 0.98
@@ -72,29 +89,41 @@ class Tail:
     start: float = 0.0
     threshold: float = math.inf
     peaks: list[float] = field(default_factory=list)
+    seen: int = 0
 
     def calibrate(self, values) -> Tail:
         x = np.sort(np.asarray(values, float))
         self.n = len(x)
         self.start = float(x[min(len(x) - 1, int(self.level * len(x)))])
-        self.peaks = [float(v - self.start) for v in x[x > self.start]]
-        self.threshold = tail_quantile(self.start, np.array(self.peaks), self.n, self.q)
+        self.peaks, self.seen = [], 0
+        for v in np.asarray(values, float)[np.asarray(values, float) > self.start]:
+            self.seen += 1
+            self.peaks = _kept(self.peaks, self.seen, float(v - self.start))
+        self.fit()
         return self
 
+    def fit(self) -> None:
+        self.threshold = tail_quantile(self.start, np.array(self.peaks), self.n, self.q, self.seen)
+
     def step(self, x: float) -> bool:
         """Whether x is an alarm; otherwise it is learned from."""
         if x > self.threshold:
             return True
         self.n += 1
         if x > self.start:
-            self.peaks.append(x - self.start)
-            self.threshold = tail_quantile(self.start, np.array(self.peaks), self.n, self.q)
+            self.seen += 1
+            self.peaks = _kept(self.peaks, self.seen, x - self.start)
+            self.fit()
         return False
 
 
 @dataclass
 class Spot:
-    """Sequential rule on the upper tail, or both; depth > 0 first takes the mean of the last normal values away."""
+    """Sequential rule on the upper tail, or both; depth > 0 first takes the mean of the last normal values away.
+
+    A value that is neither a peak nor an alarm only counts, so `steps` looks for the next value beyond a start, whole arrays at a time, and
+    works at these alone.
+    """
 
     q: float = 1e-3
     level: float = 0.98
@@ -117,41 +146,102 @@ class Spot:
 
     def step(self, x: float) -> tuple[bool, float, float | None]:
         """Alarm, and the upper and lower limit that held for x."""
-        base = float(np.mean(self.recent)) if self.depth else 0.0
-        high, low = self.up.threshold + base, (base - self.down.threshold) if self.down else None
-        y = x - base
-        alarm = y > self.up.threshold or bool(self.down and -y > self.down.threshold)
-        if not alarm:
-            self.up.step(y)
+        flags, high, low = self.steps(np.array([x], float))
+        return bool(flags[0]), float(high[0]), float(low[0]) if self.down else None
+
+    def steps(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Alarms of values in order, and the upper and lower limits that held for each (nan without a lower one)."""
+        flags, high, low = np.zeros(len(x), bool), np.empty(len(x)), np.full(len(x), np.nan)
+        at = 0
+        while at < len(x):
+            part = x[at : at + 4096]
+            if self.depth:  # means of the last normal values, if no value of the part is an alarm
+                d = len(self.recent)
+                line = np.concatenate([self.recent, part])
+                base = np.lib.stride_tricks.sliding_window_view(line, d).mean(axis=1)[: len(part)]
+            else:
+                base = np.zeros(len(part))
+            y = part - base
+            beyond = y > min(self.up.start, self.up.threshold)
             if self.down:
-                self.down.step(-y)
+                beyond |= -y > min(self.down.start, self.down.threshold)
+            hits = np.flatnonzero(beyond)
+            quiet = int(hits[0]) if len(hits) else len(part)
+            n = min(quiet + 1, len(part))
+            high[at : at + n] = self.up.threshold + base[:n]
+            if self.down:
+                low[at : at + n] = base[:n] - self.down.threshold
+            self.up.n += quiet
+            if self.down:
+                self.down.n += quiet
+            alarm = False
+            if quiet < len(part):
+                v = float(y[quiet])
+                alarm = v > self.up.threshold or bool(self.down and -v > self.down.threshold)
+                flags[at + quiet] = alarm
+                if not alarm:
+                    self.up.step(v)
+                    if self.down:
+                        self.down.step(-v)
             if self.depth:
-                self.recent = [*self.recent[1:], x]
-        return alarm, high, low
+                self.recent = [float(v) for v in np.concatenate([self.recent, part[: quiet if alarm else n]])[-len(self.recent) :]]
+            at += n
+        return flags, high, low
 
 
 def pot_threshold(df: DataFrame, keys: list[str], q: float = 1e-3, level: float = 0.98) -> DataFrame:
-    """DET-03: a threshold for each series, from all of its scores (upper tail)."""
+    """DET-03: a threshold for each series, from all of its scores (upper tail); nulls don't count.
+
+    The start is an exact quantile of any number of values, and only the values beyond it, 1 - level of all, meet in a series' task.
+    """
+    from .quantiles import selected
+
+    rows = df.filter("score is not null").select(*keys, F.col("score").cast("double").alias("score"))
+    size = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    starts = selected(rows, keys, "score", [lambda n: F.least(n - 1, F.floor(F.lit(level) * n))]).select(*keys, F.col("low").alias("_start"))
+    high = rows.join(size.join(starts, keys), keys).filter(F.col("score") > F.col("_start"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = Tail(q, level).calibrate(pdf["score"].to_numpy())
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), t.start, t.threshold, len(t.peaks)]], columns=[*keys, "start", "threshold", "peaks"])
+        start, n, y = float(pdf["_start"].iloc[0]), int(pdf["_n"].iloc[0]), np.sort(pdf["score"].to_numpy())
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), start, tail_quantile(start, y - start, n, q), len(y)]], columns=[*keys, "start", "threshold", "peaks"])
 
     types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, "score").groupBy(*keys).applyInPandas(run, f"{types}, start double, threshold double, peaks long")
+    found = high.groupBy(*keys).applyInPandas(run, f"{types}, start double, threshold double, peaks long")
+    without = starts.join(found.select(*keys), keys, "left_anti").select(*keys, F.col("_start").alias("start"), F.col("_start").alias("threshold"), F.lit(0).cast("long").alias("peaks"))
+    return found.unionByName(without)
 
 
 def sequential_flags(df: DataFrame, keys: list[str], train: int, q: float = 1e-3, level: float = 0.98, both: bool = False, depth: int = 0) -> DataFrame:
-    """DET-03 to 06: flags of the rows after the first `train` of each series, in order, with the limits that held."""
+    """DET-03 to 06: flags of the rows after the first `train` of each series, in order, with the limits that held.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        if len(pdf) <= train:
-            return pd.DataFrame(columns=[*keys, "idx", "flag", "high", "low"])
-        s = Spot(q, level, both, depth).calibrate(pdf["score"].to_numpy()[:train])
-        rest = pdf.iloc[train:]
-        found = [s.step(float(x)) for x in rest["score"]]
-        return pd.DataFrame({**{k: rest[k].to_numpy() for k in keys}, "idx": rest["idx"].to_numpy(), "flag": [int(f[0]) for f in found], "high": [f[1] for f in found], "low": pd.Series([f[2] for f in found], dtype="float64").to_numpy()})
+    Rows stream through a task in order, so it holds the first `train` values and the state of one series at a time; series of
+    `train` rows or fewer have no flags.
+    """
+    dealt = df.select(*keys, F.col("idx").cast("long").alias("idx"), F.col("score").cast("double").alias("score")).repartition(*keys).sortWithinPartitions(*keys, "idx")
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        series, warm, state = None, [], None
+        for batch in batches:
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(width)))) if width else [()] * batch.num_rows
+            x = batch.column(width + 1).to_numpy(zero_copy_only=False).astype(float)
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if names[lo] != series:
+                    series, warm, state = names[lo], [], None
+                if state is None:
+                    more = x[lo : min(hi, lo + train - len(warm))]
+                    warm = [*warm, *more.tolist()]
+                    lo += len(more)
+                    if len(warm) < train:
+                        continue
+                    state = Spot(q, level, both, depth).calibrate(warm)
+                if lo < hi:
+                    flags, high, low = state.steps(x[lo:hi])
+                    own = batch.slice(lo, hi - lo)
+                    yield pa.RecordBatch.from_arrays([*(own.column(k) for k in range(width + 1)), pa.array(flags.astype(np.int32)), pa.array(high), pa.array(low, mask=np.isnan(low))], names=[*keys, "idx", "flag", "high", "low"])
 
     types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, "idx", "score").groupBy(*keys).applyInPandas(run, f"{types}, idx long, flag int, high double, low double")
+    return dealt.mapInArrow(run, f"{types}, idx long, flag int, high double, low double")

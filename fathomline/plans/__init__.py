@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _load() -> None:
-    from . import q_detect, q_graph, q_io, q_models, q_relational, q_series, q_text  # noqa: F401
+    from . import q_detect, q_graph, q_io, q_learn, q_models, q_periods, q_relational, q_series, q_text  # noqa: F401
 
 
 def queries() -> dict:
@@ -31,7 +31,6 @@ def flagship(spark: SparkSession, sf_dir: str, eps: int = 21600) -> DataFrame:
     from .registry import Tables
 
     t = Tables(spark, sf_dir)
-    found = cluster.dbscan_1d(t.anomalies.withColumn("period", F.floor(F.col("ts") / 2592000)), eps, 3, ["period"])
-    incidents = found.filter("cluster_id >= 0").withColumn("cluster_id", F.col("period") * 100000 + F.col("cluster_id"))
+    incidents = cluster.dbscan_ranges(t.anomalies, eps, 3).filter("cluster_id >= 0")
     ranked = rca.root_causes(incidents, t.topology, rca.RcaConfig(window_seconds=4 * eps))
     return ranked.filter("rank = 1").select("cluster_id", "entity", "fault", "total", "earliest_ts", F.round("final_score", 6).alias("final_score"))

@@ -151,27 +151,11 @@ def _(t):
     return m.select("cluster", R(F.aggregate("distances", F.lit(0.0), lambda a, d: a + d * d), 3).alias("sse"))
 
 
-@query("win_17_yin", "WITH v AS (SELECT id, x FROM vectors), d AS (SELECT id, l AS lag, list_sum(list_transform(range(0, 44), lambda i: (x[i + 1] - x[i + 1 + l]) ** 2)) AS d FROM v CROSS JOIN range(20) r(l)) SELECT id, CAST(lag AS INTEGER) AS lag, round(CASE WHEN lag = 0 THEN 1.0 ELSE d * lag / (sum(CASE WHEN lag > 0 THEN d END) OVER (PARTITION BY id ORDER BY lag) + 1e-8) END, 6) AS c FROM d", "vectors")
-def _(t):
-    return t.vectors.select("id", F.posexplode(D.cumulative_mean_normalised(D.difference_function(F.col("x"), 20))).alias("lag", "c")).withColumn("c", R("c"))
-
-
-@query("win_18_inverse_weights", "SELECT feature, round(avg(1 / value) / sum(avg(1 / value)) OVER (), 6) AS w FROM samples WHERE value > 1 GROUP BY 1", "samples")
-def _(t):
-    return D.inverse_weights(t.samples.filter("value > 1"), "value").withColumn("w", R("w"))
-
-
 @query("clu_19_feature_correlations", "SELECT a.entity, a.feature AS fa, b.feature AS fb, CASE WHEN count(*) >= 3 AND stddev_pop(a.value) > 1e-9 AND stddev_pop(b.value) > 1e-9 THEN round(corr(a.value, b.value), 6) END AS r FROM samples a JOIN samples b ON a.entity = b.entity AND a.bucket_ts = b.bucket_ts AND a.feature < b.feature GROUP BY ALL", "samples")
 def _(t):
     return D.feature_correlations(t.samples).withColumn("r", R("r"))
 
 
-@query("clu_21_periodic_features", "SELECT feature, count(*) AS n FROM (SELECT entity, feature, count(*) AS k FROM samples GROUP BY ALL) WHERE k > 70 GROUP BY 1 HAVING count(*) > 3", "samples")
-def _(t):
-    k = t.samples.groupBy("entity", "feature").agg(F.count("*").alias("k")).filter("k > 70")
-    return k.groupBy("feature").agg(F.count("*").alias("n")).filter("n > 3")
-
-
 # --- in one task, on small matrices: no SQL form ------------------------------------------------------------------
 
 @query("clu_10_average_linkage")
@@ -193,12 +177,6 @@ def _(t):
     return KMeans(k=5, seed=1).fit(v).transform(v).select("id", F.col("prediction").alias("label"))
 
 
-@query("clu_20_redundant_features")
-def _(t):
-    r = D.feature_correlations(t.samples).groupBy(F.col("fa").alias("a"), F.col("fb").alias("b")).agg(F.avg(F.abs("r")).alias("r"))
-    return C.redundant_features(r, 0.05)
-
-
 # --- graphs --------------------------------------------------------------------------------------------------------
 
 @query("grf_01_topology", "SELECT src, dst, max(ts) IS NOT NULL AS has_anomaly, max(ts) AS anomaly_ts FROM (SELECT src, dst, CAST(NULL AS BIGINT) AS ts FROM topology UNION ALL SELECT entity, 'svc_9', ts FROM anomalies WHERE attribute = 'view') GROUP BY ALL", "topology anomalies")
@@ -389,10 +367,20 @@ def _(t):
     return A.candidate_scores(A.expanded(e), A.kg_features(e)).withColumn("score", R("score"))
 
 
-@query("rca_16_beam_search")
+def _beams(steps: str, seeds: int, width: int, depth: int) -> str:
+    """SQL of the paths: the seeds, and then `depth` steps of the best `width` in each cluster."""
+    out = [f"b0 AS (SELECT cluster_id, id, [id] AS path, CAST([] AS VARCHAR[]) AS chain, 1.0::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY anomalies DESC, severity DESC, first_ts, id) AS r FROM kgf) WHERE r <= {seeds})"]
+    for k in range(depth):
+        grown = f"SELECT b.cluster_id, s.other AS id, list_append(b.path, s.other) AS path, list_append(b.chain, s.triplet) AS chain, round(b.weight * s.score, 9) AS weight FROM b{k} b JOIN {steps} s ON s.cluster_id = b.cluster_id AND s.id = b.id WHERE NOT list_contains(b.path, s.other)"
+        out.append(f"b{k + 1} AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, array_to_string(path, '|'), array_to_string(chain, '|')) AS r FROM ({grown})) WHERE r <= {width})")
+    every = " UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(depth + 1))
+    return ", ".join(out) + f" SELECT cluster_id, id, path, chain, round(weight, 6) AS weight, CAST(len(path) AS INTEGER) AS length FROM ({every})"
+
+
+@query("rca_16_beam_search", f"WITH {_STEPS}, {_beams('sc', 5, 3, 3)}", "kgf")
 def _(t):
     e = A.kg_edges(t.incidents, t.topology)
-    return A.beam_search(e, A.kg_features(e))
+    return A.beam_search(e, A.kg_features(e)).withColumn("weight", R("weight"))
 
 
 @query("rca_17_random_walk")
@@ -422,8 +410,13 @@ def _(t):
     return A.normalised(t.samples.withColumn("raw", F.round(F.col("value") - 60, 3)), ["entity", "bucket_ts"], "raw").select("entity", "feature", "bucket_ts", R("score", 4).alias("score"))
 
 
-@query("rca_23_entity_beam")
+_ENTITY = """rk AS (SELECT cluster_id, id, key FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, id ORDER BY n DESC, key) AS r FROM (SELECT cluster_id, id, key, count(DISTINCT other) AS n FROM st GROUP BY ALL)) WHERE r <= 3),
+en AS (SELECT cluster_id, id, other, arg_min(triplet, (key, triplet)) AS triplet FROM st JOIN rk USING (cluster_id, id, key) GROUP BY ALL),
+er AS (SELECT e.*, 0.4::DOUBLE * coalesce(anomalies, 0) + 0.3::DOUBLE * coalesce(severity, 0) + CASE WHEN starts_with(other, 'entity:') THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END AS raw FROM en e LEFT JOIN (SELECT cluster_id, id AS other, anomalies, severity FROM kgf) f USING (cluster_id, other)),
+es AS (SELECT cluster_id, id, other, triplet, round(raw / sum(raw) OVER (PARTITION BY cluster_id, id), 9) AS score FROM er)"""
+
+
+@query("rca_23_entity_beam", f"WITH {_STEPS}, {_ENTITY}, {_beams('es', 5, 3, 3)}", "kgf")
 def _(t):
-    e = A.kg_edges(t.incidents, t.topology).filter("type = 'TOPOLOGY_DEPENDS_ON'")
-    every = A.kg_edges(t.incidents, t.topology)
-    return A.beam_search(e, A.kg_features(every), seeds=3, width=2, depth=2)
+    e = A.kg_edges(t.incidents, t.topology)
+    return A.beam_search(e, A.kg_features(e), pruner=A.entity_scores).withColumn("weight", R("weight"))

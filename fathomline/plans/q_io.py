@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,22 +9,15 @@ from pyspark.sql import functions as F
 from ..operators import rca as A
 from ..operators import series as S
 from ..sources import readers, sinks
+from ..storage import shared_folder
 from .registry import query
 
 START = 1704067200
 
 
 def _path(t, name: str) -> str:
-    """A new folder in the shared checkpoint folder, or a temporary one where none is set."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/fathomline-io/{uuid.uuid4().hex}/{name}"
-
-
-@query("src_01_dense_tensor", "SELECT 'e' || (i // 12) AS entity, 'f' || (i % 3) AS feature, CAST(1704067200 + 60 * ((i // 3) % 4) AS BIGINT) AS bucket_ts, CAST(i AS DOUBLE) AS value FROM range(24) r(i)")
-def _(t):
-    import numpy as np
-
-    return readers.dense_tensor(t.spark, np.arange(24).reshape(2, 4, 3), ["e0", "e1"], ["f0", "f1", "f2"], START, 60)
+    """A new folder in the shared one."""
+    return f"{shared_folder(t.spark)}/fathomline-io/{uuid.uuid4().hex}/{name}"
 
 
 @query("src_02_metadata_json", "SELECT n_regionkey, count(*) AS names FROM nation GROUP BY 1")
@@ -100,7 +92,7 @@ def _(t):
 def _(t):
     p = _path(t, "report")
     lines = t.incidents.select("cluster_id", "entity", "attribute").distinct().groupBy("cluster_id").agg(F.array_join(F.collect_list(F.concat(F.lit("  Entity "), "entity", F.lit(" | Attribute "), "attribute")), "\n").alias("b"))
-    lines.groupBy().agg(F.array_join(F.collect_list(F.concat(F.lit("Cluster #"), "cluster_id", F.lit("\n"), "b")), "\n\n").alias("value")).coalesce(1).write.text(p)
+    sinks.write_text(lines.select(F.concat(F.lit("Cluster #"), "cluster_id", F.lit("\n"), "b", F.lit("\n")).alias("value")), p)
     return readers.parsed_report(t.spark, p)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from ..operators import spot
 from ..sources import sinks as K
 from ..streaming import spot as stream_spot
 from ..streaming import windows as W
+from ..storage import shared_folder
 from .registry import query
 
 R = lambda c, n=6: F.round(c, n)
@@ -21,7 +21,7 @@ START = 1704067200
 
 
 def _folder(t) -> str:
-    return t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return shared_folder(t.spark)
 
 
 def _events(t):
@@ -65,13 +65,13 @@ def _(t):
     return d.score(t.samples).withColumn("score", R("score", 4))
 
 
-@query("det_14_rolling_likelihood", f"SELECT entity, feature, bucket_ts, round(coalesce(0.5 * ((value - m) / s) ** 2 + ln(s) + 0.9189385332046727, 0), 4) AS score FROM (SELECT *, avg(value) OVER {_P} AS m, CASE WHEN count(*) OVER {_P} >= 4 THEN greatest(stddev_pop(value) OVER {_P}, 0.001) END AS s FROM samples) WHERE s > 0.01 OR s IS NULL", "samples")
-def _(t):
-    from pyspark.sql import Window
+def _rolling_likelihood(frame: str) -> str:
+    return f"SELECT entity, feature, bucket_ts, round(coalesce(0.5 * ((value - m) / s) ** 2 + ln(s) + 0.9189385332046727, 0), 4) AS score FROM (SELECT *, avg(value) OVER {frame} AS m, CASE WHEN count(*) OVER {frame} >= 4 THEN greatest(stddev_pop(value) OVER {frame}, 0.5) END AS s FROM samples)"
+
 
-    w = Window.partitionBy("entity", "feature").orderBy("bucket_ts").rowsBetween(-12, -1)
-    out = M.detector("rolling_gaussian").score(t.samples).withColumn("s", F.when(F.count("*").over(w) >= 4, F.stddev_pop("value").over(w)))
-    return out.filter("s > 0.01 or s is null").select("entity", "feature", "bucket_ts", R("score", 4).alias("score"))
+@query("det_14_rolling_likelihood", _rolling_likelihood(_P), "samples")
+def _(t):
+    return M.detector("rolling_gaussian", least=0.5).score(t.samples).select("entity", "feature", "bucket_ts", R("score", 4).alias("score"))
 
 
 @query("det_14_static_likelihood", f"WITH f AS (SELECT entity, feature, avg(value) AS m, greatest(stddev_pop(value), 0.001) AS s FROM samples WHERE bucket_ts < {START + 1296000} GROUP BY ALL) SELECT entity, feature, bucket_ts, round(0.5 * ((value - m) / s) ** 2 + ln(s) + 0.9189385332046727, 5) AS score FROM samples JOIN f USING (entity, feature) WHERE bucket_ts >= {START + 1296000}", "samples")
@@ -146,6 +146,23 @@ def _(t):
     return W.sessions(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "2 hours", ["user_id"])
 
 
+@query("str_04b_stream_windows", "SELECT event_type, CAST(s AS BIGINT) AS start_ts, count(*) AS n, round(avg(value), 5) AS mean FROM events e, LATERAL (SELECT unnest(range(CAST(floor(epoch(e.ts) / 21600) * 21600 - 64800 AS BIGINT), CAST(floor(epoch(e.ts) / 21600) * 21600 + 1 AS BIGINT), 21600)) AS s) GROUP BY ALL HAVING CAST(s AS BIGINT) + 86400 <= (SELECT max(epoch(ts)) - 600 FROM events)")
+def _(t):
+    return W.drained(W.sliding(_events(t), "24 hours", "6 hours", "10 minutes"), _folder(t)).withColumn("mean", R("mean", 5))
+
+
+@query("str_05b_stream_clusters", """WITH e AS (SELECT event_type AS key, event_id AS id, epoch_ms(ts) AS at FROM events), m AS (SELECT max(at) - 600000 AS mark FROM e),
+a AS (SELECT *, count(*) OVER (PARTITION BY key ORDER BY at RANGE BETWEEN 1200000 PRECEDING AND 1200000 FOLLOWING) >= 4 AS core FROM e),
+b AS (SELECT *, max(CASE WHEN core THEN at END) OVER (PARTITION BY key ORDER BY at RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev, lag(at) OVER (PARTITION BY key ORDER BY at) AS before FROM a),
+c AS (SELECT *, CASE WHEN core THEN sum(CASE WHEN core AND (prev IS NULL OR at - prev > 1200000) AND coalesce(before < at, true) THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 END AS n FROM b),
+d AS (SELECT *, min(n) OVER (PARTITION BY key ORDER BY at RANGE BETWEEN 1200000 PRECEDING AND 1200000 FOLLOWING) AS near FROM c)
+SELECT key, id, at, CAST(coalesce(n, near, -1) AS BIGINT) AS cluster_id FROM d CROSS JOIN m WHERE at + CASE WHEN core THEN 1200000 ELSE 2400000 END < mark""")
+def _(t):
+    from ..streaming.clusters import clusters
+
+    return W.drained(clusters(_events(t).withColumn("id", F.col("event_id")), "event_type", 1200000, 4, "10 minutes"), _folder(t))
+
+
 @query("str_06_assigned_centres", "WITH p AS (SELECT a.id AS id, b.id AS center, round(sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS d FROM vectors a CROSS JOIN (SELECT * FROM vectors WHERE id IN (3, 4, 5)) b) SELECT id, center, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, center) AS r FROM p) WHERE r = 1", "vectors")
 def _(t):
     e = t.table("embeddings")
@@ -161,31 +178,12 @@ def _(t):
 
 # --- plug-ins ------------------------------------------------------------------------------------------------------
 
-@query("ext_01_detector_by_name", "SELECT entity, feature, bucket_ts, value / 2 AS score FROM samples", "samples")
-def _(t):
-    class Half:
-        def fit(self, series):
-            return None
-
-        def score(self, series, model=None):
-            return series.withColumn("score", F.col("value") / 2)
-
-    M.register_detector("half", Half)
-    return M.detector("half").score(t.samples).select("entity", "feature", "bucket_ts", "score")
-
-
 @query("ext_02_distance_by_name", "SELECT a.id AS a, b.id AS b, round(list_max(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2]))), 6) AS d FROM vectors a JOIN vectors b ON a.id % 100 = 0 AND a.id <> b.id", "vectors")
 def _(t):
     D.register_distance("largest", lambda x, y: F.array_max(F.zip_with(x, y, lambda a, b: F.abs(a - b))))
     return D.against(t.vectors.filter("id % 100 = 0"), t.vectors, "largest").withColumn("d", R("d"))
 
 
-@query("ext_04_method_by_name")
-def _(t):
-    N.register_method("random_walk", A.random_walk)
-    return N.METHODS["random_walk"](t.topology, t.anomalies.filter("attribute = 'view'").select("entity"))
-
-
 @query("ext_06_offline_answers", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY anomalies DESC, id) AS r FROM kgf) SELECT cluster_id, substr(id, 8) AS entity, round(1.0 / r, 3) AS score FROM k WHERE r <= 5", "kgf")
 def _(t):
     return N.parsed_answers(N.answered(K.prompt(A.kg_features(A.kg_edges(t.incidents, t.topology)))))
@@ -209,25 +207,17 @@ def _(t):
     return D.within(t.vectors, "euclidean", "label").withColumn("d", R("d"))
 
 
-@query("agg_15_weighted_indicators", "WITH b AS (SELECT cluster_id, attribute, count(*) AS n, CASE WHEN attribute = 'signup' THEN 0.5 ELSE 1.0 END AS w FROM incidents GROUP BY ALL) SELECT cluster_id, attribute, round(w * n / sum(n) OVER (PARTITION BY cluster_id), 6) AS weight FROM b", "incidents")
+@query("agg_15_weighted_indicators", "WITH b AS (SELECT cluster_id, attribute, count(*) AS n, avg(CASE WHEN type = 'trace' THEN 1.0::DOUBLE WHEN type = 'metric' THEN 0.6::DOUBLE ELSE 0.2::DOUBLE END) AS w FROM incidents GROUP BY ALL), s AS (SELECT cluster_id, attribute, round(w * n / sum(n) OVER (PARTITION BY cluster_id), 6) AS weight FROM b) SELECT cluster_id, attribute, weight FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, attribute) AS r FROM s WHERE weight > 0.1) WHERE r <= 5", "incidents")
 def _(t):
-    from pyspark.sql import Window
-
-    b = t.incidents.groupBy("cluster_id", "attribute").agg(F.count("*").alias("n"))
-    w = F.when(F.col("attribute") == "signup", 0.5).otherwise(1.0)
-    return b.select("cluster_id", "attribute", R(w * F.col("n") / F.sum("n").over(Window.partitionBy("cluster_id"))).alias("weight"))
+    return A.weighted_indicators(t.incidents, {"trace": 1.0, "metric": 0.6}, 0.2)
 
 
 _P24 = _P.replace("12 PRECEDING", "24 PRECEDING")
 
 
-@query("det_14_wide_likelihood", f"SELECT entity, feature, bucket_ts, round(coalesce(0.5 * ((value - m) / s) ** 2 + ln(s) + 0.9189385332046727, 0), 4) AS score FROM (SELECT *, avg(value) OVER {_P24} AS m, CASE WHEN count(*) OVER {_P24} >= 4 THEN greatest(stddev_pop(value) OVER {_P24}, 0.001) END AS s FROM samples) WHERE s > 0.01 OR s IS NULL", "samples")
+@query("det_14_wide_likelihood", _rolling_likelihood(_P24), "samples")
 def _(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("entity", "feature").orderBy("bucket_ts").rowsBetween(-24, -1)
-    out = M.detector("rolling_gaussian", width=24).score(t.samples).withColumn("s", F.when(F.count("*").over(w) >= 4, F.stddev_pop("value").over(w)))
-    return out.filter("s > 0.01 or s is null").select("entity", "feature", "bucket_ts", R("score", 4).alias("score"))
+    return M.detector("rolling_gaussian", width=24, least=0.5).score(t.samples).select("entity", "feature", "bucket_ts", R("score", 4).alias("score"))
 
 
 @query("clu_22_latent")
@@ -237,28 +227,18 @@ def _(t):
     return latent(t.vectors, 3)
 
 
-@query("ext_03_approach_by_name", "SELECT id, CAST(1 AS INTEGER) AS label FROM vectors", "vectors")
+@query("ext_07_answer_cache", "SELECT cluster_id, CASE WHEN cluster_id % 2 = 0 THEN 'kept' ELSE 'asked' END AS first, CASE WHEN cluster_id % 2 = 0 THEN 'asked' ELSE 'cached' END AS second FROM (SELECT DISTINCT cluster_id FROM kgf)", "kgf")
 def _(t):
-    from ..operators.cluster import clusters_by, register_approach
-
-    register_approach("together", lambda pairs, ids, **_: ids.select("id", F.lit(1).alias("label")))
-    return clusters_by("together", D.within(t.vectors, "euclidean", "label"), t.vectors.select("id"))
+    """Even clusters are known beforehand; the others are asked, and found in the cache when all are asked about again."""
+    import uuid
 
-
-@query("ext_05_causal_method", "SELECT dst AS entity, round(count(*) / (SELECT count(*) FROM edges), 6) AS score FROM edges GROUP BY 1", "edges")
-def _(t):
-    def most_called(edges, start=None):
-        return edges.groupBy(F.col("dst").alias("entity")).agg(F.count("*").alias("n")).crossJoin(edges.agg(F.count("*").alias("all"))).select("entity", (F.col("n") / F.col("all")).alias("score"))
-
-    N.register_method("most_called", most_called)
-    return N.METHODS["most_called"](t.edges).withColumn("score", R("score"))
-
-
-@query("ext_07_answer_cache", "SELECT cluster_id, cluster_id % 2 = 0 AS kept FROM (SELECT DISTINCT cluster_id FROM kgf)", "kgf")
-def _(t):
-    p = K.prompt(A.kg_features(A.kg_edges(t.incidents, t.topology)))
-    cache = p.filter("cluster_id % 2 = 0").select(F.lit("offline").alias("model"), F.sha2("prompt", 256).alias("prompt_hash"), F.lit("kept").alias("answer")).distinct()
-    return N.answered(p, cache=cache).select("cluster_id", (F.col("answer") == "kept").alias("kept"))
+    p = K.prompt(A.kg_features(A.kg_edges(t.incidents, t.topology))).withColumn("prompt", F.concat("prompt", F.lit("\n"), "cluster_id"))
+    path = f"{shared_folder(t.spark)}/fathomline/{uuid.uuid4().hex}/answers"
+    cache = p.filter("cluster_id % 2 = 0").select(F.lit("offline").alias("model"), F.sha2("prompt", 256).alias("prompt_hash"), F.lit("kept").alias("answer"))
+    first = N.answered(p, cache=cache, cache_path=path)
+    before = N.cache_table(t.spark, path).select("prompt_hash", F.lit(True).alias("cached"))
+    second = p.select("cluster_id", F.sha2("prompt", 256).alias("prompt_hash")).join(before, "prompt_hash", "left").select("cluster_id", F.when(F.col("cached"), "cached").otherwise("asked").alias("second"))
+    return first.select("cluster_id", F.when(F.col("answer") == "kept", "kept").otherwise("asked").alias("first")).join(second, "cluster_id")
 
 
 @query("ext_10_chunks", "SELECT fault_id AS cluster_id, 'report' AS original_source, component, [level, reason] AS symptoms FROM faults", "faults")

@@ -180,9 +180,9 @@ def _(t):
     return K.mermaid(A.kg_edges(t.incidents, t.topology).filter("type = 'TOPOLOGY_DEPENDS_ON'")).select("cluster_id", "body")
 
 
-@query("snk_11_multi_grain_report", "SELECT g AS grain, CAST(floor(ts / g) * g AS BIGINT) AS bucket_ts, count(*) AS n FROM anomalies CROSS JOIN (VALUES (60), (300), (900)) v(g) GROUP BY ALL", "anomalies")
+@query("snk_11_multi_grain_report", "WITH s AS (SELECT cluster_id, min(ts) - 600 AS lo, max(ts) + 600 AS hi FROM clustered WHERE cluster_id >= 0 GROUP BY 1) SELECT s.cluster_id, g AS grain, type, CAST(floor(ts / g) * g AS BIGINT) AS bucket_ts, count(*) AS n FROM clustered a JOIN s ON a.ts BETWEEN s.lo AND s.hi CROSS JOIN (VALUES (60), (300), (900)) v(g) GROUP BY ALL", "clustered")
 def _(t):
-    return K.multi_grain(t.anomalies, [60, 300, 900])
+    return K.multi_grain(t.clustered, [60, 300, 900], 600, 600)
 
 
 @query("snk_12_around_faults", "SELECT fault_id, type, count(*) AS n, min(a.ts) AS first_ts FROM faults f JOIN anomalies a ON a.ts BETWEEN f.ts - 3600 AND f.ts + 18000 GROUP BY ALL", "faults anomalies")

@@ -85,9 +85,12 @@ def union_of(sources: dict[str, DataFrame]) -> DataFrame:
 
 
 def parsed_report(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-10: cluster, entity and attribute of a report of `Cluster #n` sections with `Entity a | Attribute b` lines."""
-    text = spark.read.text(path, wholetext=True)
-    parts = text.select(F.explode(F.slice(F.split("value", r"(?=Cluster #\d+)"), 1, 1_000_000)).alias("part")).filter(F.col("part").startswith("Cluster #"))
+    """SRC-10: cluster, entity and attribute of a report of `Cluster #n` sections with `Entity a | Attribute b` lines.
+
+    Sections are Spark's records here, so a report of any length is read in splits. What stands before the first section isn't one, as it doesn't
+    begin with a number.
+    """
+    parts = spark.read.text(path, lineSep="Cluster #").filter(F.col("value").rlike(r"^\d+"))
     pattern = F.lit(r"Entity\s+(\S+)\s*\|\s*Attribute\s+(\S+)")
-    pairs = F.arrays_zip(F.regexp_extract_all("part", pattern, F.lit(1)).alias("entity"), F.regexp_extract_all("part", pattern, F.lit(2)).alias("attribute"))
-    return parts.select(F.regexp_extract("part", r"Cluster #(\d+)", 1).cast("long").alias("cluster_id"), F.explode(pairs).alias("x")).select("cluster_id", "x.entity", "x.attribute")
+    pairs = F.arrays_zip(F.regexp_extract_all("value", pattern, F.lit(1)).alias("entity"), F.regexp_extract_all("value", pattern, F.lit(2)).alias("attribute"))
+    return parts.select(F.regexp_extract("value", r"^(\d+)", 1).cast("long").alias("cluster_id"), F.explode(pairs).alias("x")).select("cluster_id", "x.entity", "x.attribute")

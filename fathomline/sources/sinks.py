@@ -53,10 +53,18 @@ def mermaid(edges: DataFrame) -> DataFrame:
     return edges.groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_list(one))["line"], "\n").alias("body"))
 
 
-def multi_grain(anomalies: DataFrame, grains: list[int]) -> DataFrame:
-    """SNK-11: counts by bucket for several grains in one pass."""
-    g = anomalies.select("ts", F.explode(F.array(*[F.lit(x) for x in grains])).alias("grain"))
-    return g.groupBy("grain", (F.floor(F.col("ts") / F.col("grain")) * F.col("grain")).alias("bucket_ts")).agg(F.count("*").alias("n"))
+def multi_grain(anomalies: DataFrame, grains: list[int], before: int = 0, after: int = 0) -> DataFrame:
+    """SNK-11: cluster_id, grain, type, bucket_ts, n: what a report of each cluster shows at several grains, from `before` seconds before its first to `after` seconds after its last anomaly.
+
+    All clusters and grains in one plan; anomalies of other clusters within the span count too. anomalies: ts, type, cluster_id (-1: none).
+    The join with spans is on cells of the widest span, so it is no nested loop.
+    """
+    spans = anomalies.filter("cluster_id >= 0").groupBy("cluster_id").agg((F.min("ts") - before).alias("lo"), (F.max("ts") + after).alias("hi"))
+    cell = 86400
+    cells = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor(F.col("hi") / cell))))
+    near = anomalies.select("ts", "type", F.floor(F.col("ts") / cell).alias("cell")).join(cells, "cell").filter("ts BETWEEN lo AND hi")
+    each = near.select("cluster_id", "type", "ts", F.explode(F.array(*[F.lit(x) for x in grains])).alias("grain"))
+    return each.groupBy("cluster_id", "grain", "type", (F.floor(F.col("ts") / F.col("grain")) * F.col("grain")).alias("bucket_ts")).agg(F.count("*").alias("n"))
 
 
 def prompt(features: DataFrame) -> DataFrame:

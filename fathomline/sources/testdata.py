@@ -68,14 +68,14 @@ def scores(t) -> DataFrame:
     return d.select(F.concat(F.lit("m_"), F.col("doc_id") % 5).alias("entity"), F.col("doc_id").alias("idx"), (F.col("n_chars") % 997).cast("double").alias("score"), F.when(F.floor(F.col("doc_id") / 20) % 3 == 0, 1).otherwise(0).alias("label"))
 
 
-EPS, MIN_SAMPLES, PERIOD = 7200, 3, 2592000
+EPS, MIN_SAMPLES = 7200, 3
 
 
 def clustered(t) -> DataFrame:
-    """anomalies with their cluster in time, over periods of 30 days."""
-    from ..operators.cluster import dbscan_1d
+    """anomalies with their cluster in time."""
+    from ..operators.cluster import dbscan_ranges
 
-    return dbscan_1d(anomalies(t).withColumn("period", F.floor(F.col("ts") / PERIOD)), EPS, MIN_SAMPLES, ["period"]).withColumn("cluster_id", F.when(F.col("cluster_id") >= 0, F.col("period") * 100000 + F.col("cluster_id")).otherwise(-1))
+    return dbscan_ranges(anomalies(t), EPS, MIN_SAMPLES, width=86400)
 
 
 def incidents(t) -> DataFrame:
@@ -88,6 +88,27 @@ def vectors(t) -> DataFrame:
     return t.table("embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda v: F.round(v.cast("double"), 4)).alias("x"))
 
 
+WEEK, SUPPLY = 604800, ["quantity", "price", "discount", "tax"]
+
+
+def supplies(t) -> DataFrame:
+    """entity, model, ts, x: each supplier's lines by week, four features scaled by the supplier's means and deviations; suppliers in three clusters."""
+    li = t.table("lineitem").select("l_suppkey", (F.floor(epoch("l_shipdate") / WEEK) * WEEK).alias("ts"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
+    weeks = li.groupBy("l_suppkey", "ts").agg(F.sum("quantity").alias("quantity"), *[F.avg(f).alias(f) for f in SUPPLY[1:]])
+    fit = weeks.groupBy("l_suppkey").agg(*[x for f in SUPPLY for x in (F.avg(f).alias(f"{f}_m"), F.greatest(F.stddev_pop(f), F.lit(1e-3)).alias(f"{f}_s"))])
+    scaled = F.array(*[(F.col(f) - F.col(f"{f}_m")) / F.col(f"{f}_s") for f in SUPPLY])
+    return weeks.join(fit, "l_suppkey").select(F.concat(F.lit("sup_"), "l_suppkey").alias("entity"), F.concat(F.lit("c"), F.col("l_suppkey") % 3).alias("model"), "ts", scaled.alias("x"))
+
+
+ORDERED = ["lines", "quantity", "price", "discount", "tax", "total"]
+
+
+def ordered(t) -> DataFrame:
+    """o_orderkey and what is known of an order: lines, quantity, price, discount, tax, total."""
+    li = t.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").cast("double").alias("lines"), F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("price"), F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"))
+    return t.table("orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("total")).join(li, "o_orderkey")
+
+
 #: name: (adapters it needs, SQL)
 SQL = {
     "points": ("", "SELECT event_id, 'svc_' || (user_id % 12) AS entity, event_type AS feature, CAST(floor(epoch(ts)) AS BIGINT) AS ts, value FROM events"),
@@ -98,9 +119,9 @@ SQL = {
     "edges": ("spans", "SELECT DISTINCT p.cmdb_id AS src, c.cmdb_id AS dst FROM spans p JOIN spans c ON p.span_id = c.parent_id AND p.trace_id = c.trace_id WHERE p.cmdb_id <> c.cmdb_id"),
     "topology": ("", "SELECT DISTINCT * FROM (SELECT 'svc_' || (n_nationkey % 12) AS src, 'svc_' || ((n_nationkey * 5 + n_nationkey // 12 + 1) % 12) AS dst FROM nation) WHERE src <> dst"),
     "scores": ("", "SELECT 'm_' || (doc_id % 5) AS entity, doc_id AS idx, CAST(n_chars % 997 AS DOUBLE) AS score, CASE WHEN CAST(floor(doc_id / 20) AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS label FROM documents JOIN labels USING (doc_id)"),
-    "clustered": ("anomalies", f"""SELECT ts, type, entity, attribute, raw, period, CASE WHEN coalesce(id, near) IS NULL THEN -1 ELSE CAST(period * 100000 + coalesce(id, near) AS BIGINT) END AS cluster_id FROM (SELECT *, min(id) OVER (PARTITION BY period ORDER BY ts RANGE BETWEEN {EPS} PRECEDING AND {EPS} FOLLOWING) AS near FROM (SELECT *, CASE WHEN core THEN sum(fresh) OVER (PARTITION BY period ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 END AS id FROM (
-        SELECT *, CASE WHEN core AND (prev IS NULL OR ts - prev > {EPS}) AND coalesce(lag(ts) OVER (PARTITION BY period ORDER BY ts) < ts, true) THEN 1 ELSE 0 END AS fresh FROM (SELECT *, max(CASE WHEN core THEN ts END) OVER (PARTITION BY period ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM (
-        SELECT *, count(*) OVER (PARTITION BY period ORDER BY ts RANGE BETWEEN {EPS} PRECEDING AND {EPS} FOLLOWING) >= {MIN_SAMPLES} AS core FROM (SELECT *, CAST(floor(ts / {PERIOD}) AS BIGINT) AS period FROM anomalies))))))"""),
+    "clustered": ("anomalies", f"""SELECT ts, type, entity, attribute, raw, CASE WHEN coalesce(id, near) IS NULL THEN -1 ELSE CAST(coalesce(id, near) AS BIGINT) END AS cluster_id FROM (SELECT *, min(id) OVER (ORDER BY ts RANGE BETWEEN {EPS} PRECEDING AND {EPS} FOLLOWING) AS near FROM (SELECT *, CASE WHEN core THEN sum(fresh) OVER (ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 END AS id FROM (
+        SELECT *, CASE WHEN core AND (prev IS NULL OR ts - prev > {EPS}) AND coalesce(lag(ts) OVER (ORDER BY ts) < ts, true) THEN 1 ELSE 0 END AS fresh FROM (SELECT *, max(CASE WHEN core THEN ts END) OVER (ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM (
+        SELECT *, count(*) OVER (ORDER BY ts RANGE BETWEEN {EPS} PRECEDING AND {EPS} FOLLOWING) >= {MIN_SAMPLES} AS core FROM anomalies)))))"""),
     "incidents": ("clustered", "SELECT * FROM clustered WHERE cluster_id >= 0"),
     "reach": ("topology", "SELECT DISTINCT src, dst FROM (WITH RECURSIVE w(src, dst) AS (SELECT src, dst FROM topology UNION SELECT w.src, t.dst FROM w JOIN topology t ON w.dst = t.src) SELECT * FROM w) WHERE src <> dst"),
     "degree": ("topology", "SELECT entity, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS entity, 0 AS i, 1 AS o FROM topology UNION ALL SELECT dst, 1, 0 FROM topology) GROUP BY 1"),
