@@ -88,7 +88,6 @@ def smallest_linked(ids: DataFrame, links: DataFrame) -> DataFrame:
         hooked = label.join(low, "id")
         asked = low.unionByName(hooked.select(F.col("label").alias("id"), "low")).groupBy("id").agg(F.min("low").alias("low"))
         lower = label.join(asked, "id", "left").select("id", F.least("label", F.coalesce("low", "label")).alias("label"), F.col("label").alias("old"))
-        lower = stored(lower, "labels")
         up = lower.select(F.col("id").alias("label"), F.col("label").alias("top"))
         new = stored(lower.join(up, "label", "left").select("id", F.least("label", F.coalesce("top", "label")).alias("label"), "old"), "labels")
         label = new.select("id", "label")
@@ -125,8 +124,8 @@ def average_linkage(pairs: DataFrame, k: int, by: list[str] | None = None) -> Da
     """CLU-10: by, id, label of k average-linkage clusters, labels from 1 by the clusters' smallest ids; pairs: by, a, b, d.
 
     In a round all pairs of clusters that are each other's nearest merge, which gives the same tree as merging one pair at a time: merging
-    others never brings a cluster nearer. Distances are rows of sums and counts, so no task holds a matrix. Rounds end when merges
-    enough lie below every distance left; the lowest of them, all but k - 1 of a whole tree's, are taken. Ties go by ids.
+    others never brings a cluster nearer. Distances are rows of sums and counts, so no task holds a matrix. The lowest merges of the
+    tree, all but k - 1, are taken. Ties go by ids.
     """
     keys = list(by or [])
     a, b = F.least("a", "b"), F.greatest("a", "b")
@@ -142,16 +141,12 @@ def average_linkage(pairs: DataFrame, k: int, by: list[str] | None = None) -> Da
         ends = left.select(*keys, "a", "b", apart, F.explode(F.array("a", "b")).alias("id"))
         nearest = ends.groupBy(*keys, "id").agg(F.min(F.struct("d", "a", "b")).alias("x"))
         mutual = nearest.groupBy(*keys, "x").agg(F.count("*").alias("both")).filter("both = 2")
-        merges.append(stored(mutual.select(*keys, "x.a", "x.b", F.col("x.d").alias("height"), F.lit(step).alias("step")), "merges"))
+        merges.append(stored(mutual.select(*keys, "x.a", "x.b", F.col("x.d").alias("height"), F.lit(step).alias("step")).coalesce(1), "merges"))  # fewer rows than ids
         into = merges[-1].select(*keys, F.col("b").alias("_b"), F.col("a").alias("_a"))
         for end in ("a", "b"):
             left = left.join(into.withColumnRenamed("_b", end), [*keys, end], "left").withColumn(end, F.coalesce("_a", end)).drop("_a")
         left = left.filter("a <> b").select(*keys, a.alias("a"), b.alias("b"), "s", "n").groupBy(*keys, "a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
         left, step = stored(left, "distances"), step + 1
-        least = left.groupBy(*keys).agg(F.min(F.round(F.col("s") / F.col("n"), 12)).alias("least"))
-        done = _rows(merges).join(least, keys).filter("height <= least").groupBy(*keys).agg(F.count("*").alias("done"))
-        open_ = least.join(needed, keys).join(done, keys, "left").filter(F.coalesce("done", F.lit(0)) < F.col("needed")).select(*keys)
-        left = stored(left.join(open_, keys, "left_semi"), "distances")
         if left.isEmpty():
             break
     order = Window.partitionBy(*keys).orderBy("height", "step", "a", "b")  # a row for each merge

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from . import graph
 
 
@@ -242,17 +243,17 @@ def beam_search(edges: DataFrame, features: DataFrame, seeds: int = 5, width: in
 
     pruner: adds a score to steps; the default is candidate_scores. All clusters are searched at once, a join a step.
     """
-    steps = (pruner or candidate_scores)(expanded(edges), features).select("cluster_id", "id", "other", "triplet", "score")
+    steps = stored((pruner or candidate_scores)(expanded(edges), features).select("cluster_id", "id", "other", "triplet", "score"), "steps")
     w = Window.partitionBy("cluster_id")
     order = [F.desc("anomalies"), F.desc("severity"), "first_ts", "id"]
     beam = features.withColumn("r", F.row_number().over(w.orderBy(*order))).filter(F.col("r") <= seeds)
-    beam = beam.select("cluster_id", "id", F.array("id").alias("path"), F.array().cast("array<string>").alias("chain"), F.lit(1.0).alias("weight"))
+    beam = stored(beam.select("cluster_id", "id", F.array("id").alias("path"), F.array().cast("array<string>").alias("chain"), F.lit(1.0).alias("weight")), "beam")
     out = beam
     for _ in range(depth):
         best = F.row_number().over(w.orderBy(F.desc("weight"), F.concat_ws("|", "path"), F.concat_ws("|", "chain")))
         step = beam.join(steps, ["cluster_id", "id"]).filter(~F.array_contains("path", F.col("other")))
         beam = step.select("cluster_id", F.col("other").alias("id"), F.concat("path", F.array("other")).alias("path"), F.concat("chain", F.array("triplet")).alias("chain"), F.round(F.col("weight") * F.col("score"), 9).alias("weight"))
-        beam = beam.withColumn("r", best).filter(F.col("r") <= width).drop("r")
+        beam = stored(beam.withColumn("r", best).filter(F.col("r") <= width).drop("r"), "beam")
         out = out.union(beam)
     return out.withColumn("length", F.size("path"))
 
@@ -283,19 +284,24 @@ def keywords(text: Column, words: list[str]) -> Column:
 
 
 def random_walk(edges: DataFrame, start: DataFrame, restart: float = 0.15, rounds: int = 20) -> DataFrame:
-    """RCA-17: random walk with restart from the start entities; mass of nodes without a way on returns to the start."""
-    from .cluster import _cut
+    """RCA-17: random walk with restart from the start entities; mass of nodes without a way on returns to the start.
 
+    What such nodes hold flows to a row of its own (dst null) in the same join as all else, and from there to the start, so a round is one
+    job and nothing goes to the driver.
+    """
     nodes = edges.select(F.col("src").alias("entity")).union(edges.select("dst")).union(start.select("entity")).distinct()
-    n = start.select("entity").distinct().count()
-    base = _cut(nodes.join(start.select("entity").distinct().withColumn("s", F.lit(1.0 / max(1, n))), "entity", "left").withColumn("s", F.coalesce("s", F.lit(0.0))))
+    starts = start.select("entity").distinct()
+    share = starts.agg((1.0 / F.greatest(F.count("*"), F.lit(1))).alias("one"))  # one row
+    base = nodes.join(starts.crossJoin(F.broadcast(share)), "entity", "left").select("entity", F.coalesce("one", F.lit(0.0)).alias("s"))
+    base = stored(base, "nodes")
     out = edges.select("src", "dst").distinct()
-    out = _cut(out.join(out.groupBy("src").agg(F.count("*").alias("k")), "src"))
+    ways = out.join(out.groupBy("src").agg(F.count("*").alias("k")), "src").select("src", "dst", "k")
+    ends = base.select(F.col("entity").alias("src")).join(out, "src", "left_anti").select("src", F.lit(None).cast(out.schema["dst"].dataType).alias("dst"), F.lit(1).cast("long").alias("k"))
+    ways = stored(ways.unionByName(ends), "ways")
     rank = base.select("entity", "s", F.col("s").alias("p"))
-    for i in range(rounds):
-        flow = rank.join(out, rank.entity == out.src).groupBy("dst").agg(F.sum(F.col("p") / F.col("k")).alias("f"))
-        rank = base.join(flow, base.entity == flow.dst, "left").select("entity", "s", (restart * F.col("s") + (1 - restart) * F.coalesce("f", F.lit(0.0))).alias("p"))
-        total = rank.agg(F.sum("p")).first()[0] or 1.0
-        rank = rank.withColumn("p", F.col("p") + F.col("s") * (1 - total))
-        rank = _cut(rank) if i % 5 == 4 else rank
+    for _ in range(rounds):
+        flow = stored(rank.join(ways, rank.entity == ways.src).groupBy("dst").agg(F.sum(F.col("p") / F.col("k")).alias("f")), "flow")
+        lost = flow.filter("dst is null").agg(F.coalesce(F.sum("f"), F.lit(0.0)).alias("lost"))  # one row
+        moved = base.join(flow, base.entity == flow.dst, "left").crossJoin(F.broadcast(lost))
+        rank = moved.select("entity", "s", (restart * F.col("s") + (1 - restart) * (F.coalesce("f", F.lit(0.0)) + F.col("s") * F.col("lost"))).alias("p"))
     return rank.select("entity", F.col("p").alias("score"))

@@ -149,5 +149,5 @@ def _(t):
 @query("ext_05_causal_method")
 def _(t):
     N.register_method("pc", lambda df, metrics: causal.pc(df, metrics, alpha=0.001, deepest=2))
-    graph = N.METHODS["pc"](t.ordered, ORDERED).filter("directed").select("src", "dst")
+    graph = N.METHODS["pc"](t.ordered, ORDERED).select("src", "dst")
     return N.apply_rules(graph, N.domain_rules(t.spark, [("tax", "lines")], [], ["lines"], ["total"])).select("src", "dst")

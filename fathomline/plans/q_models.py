@@ -151,16 +151,16 @@ def _(t):
     return W.drained(W.sliding(_events(t), "24 hours", "6 hours", "10 minutes"), _folder(t)).withColumn("mean", R("mean", 5))
 
 
-@query("str_05b_stream_clusters", """WITH e AS (SELECT event_type AS key, event_id AS id, epoch_ms(ts) AS at FROM events), m AS (SELECT max(at) - 600000 AS mark FROM e),
-a AS (SELECT *, count(*) OVER (PARTITION BY key ORDER BY at RANGE BETWEEN 1200000 PRECEDING AND 1200000 FOLLOWING) >= 4 AS core FROM e),
-b AS (SELECT *, max(CASE WHEN core THEN at END) OVER (PARTITION BY key ORDER BY at RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev, lag(at) OVER (PARTITION BY key ORDER BY at) AS before FROM a),
-c AS (SELECT *, CASE WHEN core THEN sum(CASE WHEN core AND (prev IS NULL OR at - prev > 1200000) AND coalesce(before < at, true) THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 END AS n FROM b),
-d AS (SELECT *, min(n) OVER (PARTITION BY key ORDER BY at RANGE BETWEEN 1200000 PRECEDING AND 1200000 FOLLOWING) AS near FROM c)
-SELECT key, id, at, CAST(coalesce(n, near, -1) AS BIGINT) AS cluster_id FROM d CROSS JOIN m WHERE at + CASE WHEN core THEN 1200000 ELSE 2400000 END < mark""")
+@query("str_05b_stream_clusters", """WITH e AS (SELECT event_type AS key, event_id AS id, epoch_us(ts) // 1000 AS ms FROM events), m AS (SELECT max(ms) - 600000 AS mark FROM e),
+a AS (SELECT *, count(*) OVER (PARTITION BY key ORDER BY ms RANGE BETWEEN 1200000 PRECEDING AND 1200000 FOLLOWING) >= 4 AS core FROM e),
+b AS (SELECT *, max(CASE WHEN core THEN ms END) OVER (PARTITION BY key ORDER BY ms RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev, lag(ms) OVER (PARTITION BY key ORDER BY ms) AS before FROM a),
+c AS (SELECT *, CASE WHEN core THEN sum(CASE WHEN core AND (prev IS NULL OR ms - prev > 1200000) AND coalesce(before < ms, true) THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ms RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 END AS n FROM b),
+d AS (SELECT *, min(n) OVER (PARTITION BY key ORDER BY ms RANGE BETWEEN 1200000 PRECEDING AND 1200000 FOLLOWING) AS near FROM c)
+SELECT key, id, ms, CAST(coalesce(n, near, -1) AS BIGINT) AS cluster_id FROM d CROSS JOIN m WHERE ms + CASE WHEN core THEN 1200000 ELSE 2400000 END < mark""")
 def _(t):
     from ..streaming.clusters import clusters
 
-    return W.drained(clusters(_events(t).withColumn("id", F.col("event_id")), "event_type", 1200000, 4, "10 minutes"), _folder(t))
+    return W.drained(clusters(_events(t).withColumn("id", F.col("event_id")), "event_type", 1200000, 4, "10 minutes"), _folder(t)).withColumnRenamed("at", "ms")
 
 
 @query("str_06_assigned_centres", "WITH p AS (SELECT a.id AS id, b.id AS center, round(sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS d FROM vectors a CROSS JOIN (SELECT * FROM vectors WHERE id IN (3, 4, 5)) b) SELECT id, center, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, center) AS r FROM p) WHERE r = 1", "vectors")

@@ -32,9 +32,9 @@ _PERIODS = f"""{_CURVES}, p AS (SELECT k.entity, k.feature, CAST(coalesce(min(la
 ON f.entity = k.entity AND f.feature = k.feature AND f.c < {DIP} AND (f.ahead IS NULL OR f.ahead >= f.c) GROUP BY ALL)"""
 
 
-@query("win_17_yin", f"WITH {_CURVES} SELECT entity, feature, lag, round(d, 3) AS d, round(c, 6) AS c FROM c", "samples")
+@query("win_17_yin", f"WITH {_CURVES} SELECT entity, feature, lag, round(d, 6) AS d, round(c, 6) AS c FROM c", "samples")
 def _(t):
-    return _curves(t).select("entity", "feature", "lag", R("d", 3).alias("d"), R("c").alias("c"))
+    return _curves(t).select("entity", "feature", "lag", R("d").alias("d"), R("c").alias("c"))
 
 
 @query("win_17b_periods", f"WITH {_PERIODS} SELECT * FROM p", "samples")
@@ -60,20 +60,20 @@ def _whole(t):
 
 
 _SHIFT = f"""{_GRID}, e AS (SELECT a, b, sum(w * q) AS d FROM (SELECT x.entity AS a, y.entity AS b, x.feature, 0.2::DOUBLE AS w, sqrt(sum((x.v - y.v) ** 2)) AS q FROM g x JOIN g y ON x.feature = y.feature AND x.i = y.i AND x.entity <> y.entity GROUP BY ALL) GROUP BY ALL),
-pv AS (SELECT a AS pivot FROM (SELECT a, round(sum(d), 9) AS s FROM e GROUP BY 1) ORDER BY s, a LIMIT 1),
+pv AS (SELECT a AS centre FROM (SELECT a, round(sum(d), 9) AS s FROM e GROUP BY 1) ORDER BY s, a LIMIT 1),
 n AS (SELECT entity, feature, sqrt(sum(v * v)) AS n FROM g GROUP BY ALL),
-l AS (SELECT y.entity, y.feature, (x.i - y.i + {LENGTH}) % {LENGTH} AS s, sum(x.v * y.v) AS c FROM g x JOIN pv ON x.entity = pv.pivot JOIN g y ON x.feature = y.feature GROUP BY ALL),
-k AS (SELECT l.entity, s, round(sum(0.2::DOUBLE * c / (a.n * b.n + 1e-9)), 9) AS v FROM l JOIN n a ON a.entity = l.entity AND a.feature = l.feature CROSS JOIN pv JOIN n b ON b.entity = pv.pivot AND b.feature = l.feature GROUP BY ALL),
+l AS (SELECT y.entity, y.feature, (x.i - y.i + {LENGTH}) % {LENGTH} AS s, sum(x.v * y.v) AS c FROM g x JOIN pv ON x.entity = pv.centre JOIN g y ON x.feature = y.feature GROUP BY ALL),
+k AS (SELECT l.entity, s, round(sum(0.2::DOUBLE * c / (a.n * b.n + 1e-9)), 9) AS v FROM l JOIN n a ON a.entity = l.entity AND a.feature = l.feature CROSS JOIN pv JOIN n b ON b.entity = pv.centre AND b.feature = l.feature GROUP BY ALL),
 sh AS (SELECT entity, CAST(CASE WHEN s = 0 THEN 0 ELSE s - {LENGTH} END AS INTEGER) AS shift FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY v DESC, CASE WHEN s = 0 THEN 0 ELSE s - {LENGTH} END) AS r FROM k) WHERE r = 1)"""
 
 
-@query("win_16_aligned", f"WITH {_SHIFT} SELECT g.entity, g.feature, pivot, shift, CAST((g.i + shift + {LENGTH}) % {LENGTH} AS INTEGER) AS at, round(v, 3) AS value FROM g JOIN sh USING (entity) CROSS JOIN pv", "samples")
+@query("win_16_aligned", f"WITH {_SHIFT} SELECT g.entity, g.feature, centre, shift, CAST((g.i + shift + {LENGTH}) % {LENGTH} AS INTEGER) AS place, round(v, 3) AS value FROM g JOIN sh USING (entity) CROSS JOIN pv", "samples")
 def _(t):
     series = _whole(t)
     weights = series.select("feature").distinct().withColumn("w", F.lit(0.2))
     half = D.weighted_euclidean(series, weights)
     both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    return P.aligned(series, weights, both).select("entity", "feature", "pivot", "shift", F.posexplode("values").alias("at", "value")).withColumn("value", R("value", 3))
+    return P.aligned(series, weights, both).select("entity", "feature", F.col("pivot").alias("centre"), "shift", F.posexplode("values").alias("place", "value")).withColumn("value", R("value", 3))
 
 
 def _votes(t):
@@ -101,9 +101,12 @@ def _(t):
     return C.clusters_by("dbscan", pairs, t.vectors.select("id"), eps=10.5, min_samples=3)
 
 
-@query("agg_12b_quantiles", "SELECT l_returnflag, s AS share, round(quantile_cont(l_extendedprice, s), 6) AS q FROM lineitem CROSS JOIN (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.99::DOUBLE), (1.0::DOUBLE)) v(s) GROUP BY ALL".replace("quantile_cont(l_extendedprice, s)", "CASE s WHEN 0 THEN min(l_extendedprice) WHEN 0.25 THEN quantile_cont(l_extendedprice, 0.25) WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5) WHEN 0.99 THEN quantile_cont(l_extendedprice, 0.99) ELSE max(l_extendedprice) END"))
+_SHARES = {0.0: "min(l_extendedprice)", 0.25: "quantile_cont(l_extendedprice, 0.25)", 0.5: "quantile_cont(l_extendedprice, 0.5)", 0.99: "quantile_cont(l_extendedprice, 0.99)", 1.0: "max(l_extendedprice)"}
+
+
+@query("agg_12b_quantiles", " UNION ALL ".join(f"SELECT l_returnflag, {s}::DOUBLE AS share, round({x}, 6) AS q FROM lineitem GROUP BY 1" for s, x in _SHARES.items()))
 def _(t):
-    return Q.quantiles(t.lineitem, ["l_returnflag"], "l_extendedprice", [0.0, 0.25, 0.5, 0.99, 1.0], few=1000).withColumn("q", R("q"))
+    return Q.quantiles(t.lineitem, ["l_returnflag"], "l_extendedprice", list(_SHARES), few=1000).withColumn("q", R("q"))
 
 
 @query("src_01_array_files", "SELECT 'vectors-' || lpad(CAST(vec_id // 200 AS VARCHAR), 6, '0') || '.npy' AS file, vec_id % 200 AS row, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 4) AS total FROM embeddings")

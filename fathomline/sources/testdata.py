@@ -72,10 +72,15 @@ EPS, MIN_SAMPLES = 7200, 3
 
 
 def clustered(t) -> DataFrame:
-    """anomalies with their cluster in time."""
+    """anomalies with their cluster in time; clustered once for all that is read of them through t."""
     from ..operators.cluster import dbscan_ranges
+    from ..storage import written
 
-    return dbscan_ranges(anomalies(t), EPS, MIN_SAMPLES, width=86400)
+    if "_clustered" not in t.__dict__:
+        found = dbscan_ranges(anomalies(t), EPS, MIN_SAMPLES, width=86400)
+        t.__dict__["_clustered"] = (found.schema, written(found, "clustered"))
+    schema, path = t.__dict__["_clustered"]
+    return t.spark.read.schema(schema).parquet(path)
 
 
 def incidents(t) -> DataFrame:

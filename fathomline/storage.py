@@ -23,13 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[0]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/fathomline/{uuid.uuid4().hex}/{name}"
+def written(df: DataFrame, name: str) -> str:
+    """The path of a new table with df's rows, in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/fathomline/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     _STORED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
 
 
 def forget(spark: SparkSession, keep: int = 0) -> int:
