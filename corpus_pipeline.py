@@ -50,7 +50,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: The language model, MinHash and packing have no SQL form; the tests hold run() against brute force.
+#: The language model, MinHash and packing have no SQL form. Tests hold the stages' operators against brute force, and run() against its stages.
 ORACLE_SQL = None
 
 
