@@ -122,12 +122,10 @@ def oriented(pairs: DataFrame, gone: DataFrame, most: int = 1000) -> DataFrame:
         sides = loose.join(loose.select("a", F.col("b").alias("c")), "a").join(to("c", "b"), ["c", "b"]).select("a", "b", "c")
         three = sides.join(sides.withColumnRenamed("c", "d"), ["a", "b"]).filter("c < d").join(both.select(F.col("a").alias("c"), F.col("b").alias("d")), ["c", "d"], "left_anti").select("a", "b")
         asked = stored(one.unionByName(two).unionByName(three).distinct(), "asked")
-        more = asked.join(flip(asked), ["a", "b"], "left_anti").unionByName(asked.join(flip(asked), ["a", "b"], "left_semi").filter("a < b"))
-        grown = stored(directed.unionByName(more).distinct(), "directed")
-        done = grown.count() == directed.count()
-        directed = grown
-        if done:
+        if asked.isEmpty():
             break
+        more = asked.join(flip(asked), ["a", "b"], "left_anti").unionByName(asked.join(flip(asked), ["a", "b"], "left_semi").filter("a < b"))
+        directed = stored(directed.unionByName(more), "directed")
     loose = pairs.join(directed.unionByName(flip(directed)), ["a", "b"], "left_anti")
     return directed.withColumn("directed", F.lit(True)).unionByName(loose.withColumn("directed", F.lit(False)))
 

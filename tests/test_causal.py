@@ -59,21 +59,26 @@ def plain_pc(x, alpha, deepest):
         to |= more
 
 
-@pytest.mark.parametrize("first", range(0, 50, 10))
-def test_pc_equals_a_plain_version(spark, first):
-    for seed in range(first, first + 10):
-        p = 3 + seed % 5
-        x = linear(seed, p)
-        names = [f"v{k}" for k in range(p)]
-        n, r = len(x), np.corrcoef(x.T)
-        pairs, gone = causal.skeleton(spark, r, n, 0.01, 2)
-        got = {tuple(e) for e in causal.oriented(pairs, gone).collect()}
-        assert got == plain_pc(x, 0.01, 2), seed
-        if seed % 10 == 0:  # and from rows
-            df = spark.createDataFrame([tuple(map(float, v)) for v in x] + [(None,) * p, (math.nan,) * p], ", ".join(f"{c} double" for c in names)).repartition(3)
-            count, matrix = causal.correlations(df, names)
-            assert count == n and np.allclose(matrix, r, atol=1e-9)
-            assert {(names.index(a), names.index(b), d) for a, b, d in causal.pc(df, names, 0.01, 2).collect()} == got
+def test_pc_equals_a_plain_version_on_50_graphs(spark):
+    """All graphs at once, as one matrix in which those of different graphs have nothing to do with each other."""
+    data = [linear(seed, 3 + seed % 5) for seed in range(50)]
+    at = np.concatenate([[0], np.cumsum([x.shape[1] for x in data])])
+    r = np.zeros((at[-1], at[-1]))
+    for x, lo, hi in zip(data, at, at[1:]):
+        r[lo:hi, lo:hi] = np.corrcoef(x.T)
+    pairs, gone = causal.skeleton(spark, r, 600, 0.01, 2)
+    got = {tuple(e) for e in causal.oriented(pairs, gone).collect()}
+    for seed, (x, lo, hi) in enumerate(zip(data, at, at[1:])):
+        assert {(a - lo, b - lo, d) for a, b, d in got if lo <= a < hi} == plain_pc(x, 0.01, 2), seed
+
+
+def test_pc_from_rows(spark):
+    x = linear(3, 6)
+    names = [f"v{k}" for k in range(6)]
+    df = spark.createDataFrame([tuple(map(float, v)) for v in x] + [(None,) * 6, (math.nan,) * 6], ", ".join(f"{c} double" for c in names)).repartition(3)
+    count, matrix = causal.correlations(df, names)
+    assert count == len(x) and np.allclose(matrix, np.corrcoef(x.T), atol=1e-9)
+    assert {(names.index(a), names.index(b), d) for a, b, d in causal.pc(df, names, 0.01, 2).collect()} == plain_pc(x, 0.01, 2)
 
 
 def test_collider_and_chain_are_told_apart(spark):
