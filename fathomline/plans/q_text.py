@@ -125,7 +125,7 @@ def _(t):
 def _(t):
     from ..operators.distance import dot
 
-    return t.vectors.select("id", F.slice("x", 3, 4).alias("part"), R(T.array_norm(F.col("x"))).alias("norm"), R(dot(F.col("x"), F.reverse("x"))).alias("dot"), T.arg_max(F.col("x")).alias("top"))
+    return t.vectors.select("id", F.slice("x", 3, 4).alias("part"), T.rounded(T.array_norm(F.col("x")), 6).alias("norm"), T.rounded(dot(F.col("x"), F.reverse("x")), 6).alias("dot"), T.arg_max(F.col("x")).alias("top"))
 
 
 @query("fn_20_map_default", "SELECT s_suppkey, CASE s_nationkey WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'none' END AS name FROM supplier")
