@@ -97,8 +97,7 @@ _SQ = "list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[
 
 @query("ext_03_approach_by_name", f"WITH RECURSIVE p AS (SELECT a.id AS a, b.id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.id <> b.id AND sqrt({_SQ}) <= 10.5), core AS (SELECT a AS id FROM p GROUP BY a HAVING count(*) >= 2), l AS (SELECT a, b FROM p WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)), r(a, b) AS (SELECT id, id FROM core UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), g AS (SELECT a AS id, min(b) AS label FROM r GROUP BY a) SELECT v.id, coalesce(g.label, (SELECT min(g2.label) FROM p JOIN g g2 ON g2.id = p.b WHERE p.a = v.id)) AS label FROM vectors v LEFT JOIN g ON g.id = v.id", "vectors")
 def _(t):
-    pairs = D.within(t.vectors, "euclidean", "label").drop("label")
-    return C.clusters_by("dbscan", pairs, t.vectors.select("id"), eps=10.5, min_samples=3)
+    return C.clusters_by("dbscan_vectors", t.vectors, t.vectors.select("id"), eps=10.5, min_samples=3, key="label")
 
 
 _SHARES = {0.0: "min(l_extendedprice)", 0.25: "quantile_cont(l_extendedprice, 0.25)", 0.5: "quantile_cont(l_extendedprice, 0.5)", 0.99: "quantile_cont(l_extendedprice, 0.99)", 1.0: "max(l_extendedprice)"}
