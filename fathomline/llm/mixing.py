@@ -9,7 +9,7 @@ can't be met leave open. The draw is a hash of doc_id, text and a seed, so it ca
 Targets are shares by value for each dimension; values without a target share what the others leave, as their tokens to a power
 (POWERS: 1 leaves the mix as it is, 0 makes all alike). A target of a value that no token has goes to the others.
 
-Topics are those of the corpus: a sample of about TOPIC_ROWS documents trains TOPICS centres on hashed word counts, weighted by
+Topics are those of the corpus: all its documents train TOPICS centres on hashed word counts, weighted by
 how few documents have the word; every document belongs to the nearest centre, whole texts counted.
 
 Cells are sums, as many as there are combinations: up to MAX_CELLS they are raked on the driver; beyond that,
@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Rolling, mix, small_batches, steps, stored, texts_of, words_of
-from .vectors import means, nearest
+from .vectors import TURNS, nearest
 
 MAX_CELLS, ROUNDS, TOLERANCE, LEAST_CELL = 100_000, 200, 1e-6, 1e-3
 POWERS = {"source": 0.9, "lang": 0.95, "topic": 0.98}
 SEED = 8
-TOPICS, TOPIC_ROWS, FEATURES = 8, 4000, 512
+TOPICS, FEATURES = 8, 512
 #: Shares by dimension and value; none are asked for by default.
 Targets = dict[str, dict[str, float]]
 
@@ -61,23 +61,87 @@ def points(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def topics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the features, and the centres of the topics: a few hundred KB, whatever the corpus."""
-    n = docs.count()
-    share = int(min(1.0, TOPIC_ROWS / max(1, n)) * (1 << 30))
-    some = docs.filter(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) < share).filter(F.length("text") > 0).select("text").distinct()
+    """Weights of the features, and the centres of the topics: a few hundred KB, whatever the corpus.
+
+    All documents with words count. Their points are stored as bytes; first centres are drawn among them with a chance by the squared distance from those before
+    (by a hash of the counts), then TURNS rounds of means. Sums are of whole numbers, so they don't depend on how documents are dealt.
+    """
 
     def count(rows):
         for batch in rows:
             c, words = counts_of(batch.column(0))
-            yield pa.record_batch({"counts": pa.FixedSizeListArray.from_arrays(pa.array(c.ravel()), FEATURES).cast(pa.list_(pa.int64())), "words": pa.array(words)})
-
-    got = some.mapInArrow(count, "counts array<long>, words long").filter("words > 0").toArrow()
-    counts = np.asarray(got["counts"].combine_chunks().flatten()).reshape(-1, FEATURES)
-    counts = counts[np.lexsort(counts.T)]
-    weight = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1e-3
-    if not len(counts):
+            c = np.minimum(c, 65535).astype("<u2")[words > 0]
+            yield pa.record_batch({"counts": pa.array([r.tobytes() for r in c], pa.binary())})
+
+    def summed(of):
+        def run(rows):
+            n, sums = np.zeros(TOPICS, np.int64), np.zeros((TOPICS, FEATURES), np.int64)
+            for batch in rows:
+                if batch.num_rows:
+                    of(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2").reshape(-1, FEATURES), n, sums)
+            yield pa.record_batch({"topic": pa.array(np.arange(TOPICS)), "n": pa.array(n), "sums": pa.array([r.tobytes() for r in sums], pa.binary())})
+
+        got = table.mapInArrow(run, "topic long, n long, sums binary").toArrow()  # TOPICS rows a task
+        n, sums = np.zeros(TOPICS, np.int64), np.zeros((TOPICS, FEATURES), np.int64)
+        for k, m, x in zip(*(got[c].to_pylist() for c in ("topic", "n", "sums"))):
+            n[k] += m
+            sums[k] += np.frombuffer(x, np.int64)
+        return n, sums
+
+    def having(c, n, sums):
+        n[0] += len(c)
+        sums[0] += (c > 0).sum(0)
+
+    table = stored(docs.select("text").mapInArrow(count, "counts binary"), "counts")
+    n, have = summed(having)
+    weight = np.log((1 + n[0]) / (1 + have[0])) + 1e-3
+    if not n[0]:
         return weight, np.zeros((1, FEATURES))
-    return weight, means(points(counts, weight), min(TOPICS, len(counts)))
+
+    def far(centres):
+        """The document with the least -log(u) / squared distance: a draw with a chance by that distance."""
+
+        def run(rows):
+            best = (np.inf, b"")
+            for batch in rows:
+                if batch.num_rows:
+                    raw = batch.column(0).to_pylist()
+                    c = np.frombuffer(b"".join(raw), "<u2").reshape(-1, FEATURES)
+                    d = np.ones(len(c)) if not len(centres) else np.maximum(2 - 2 * (points(c, weight) @ centres.T).max(1), 0.0)
+                    u = (mix(c.astype(np.uint64) @ odd) >> np.uint64(11)).astype(float) + 1
+                    key = np.where(d > 1e-9, -np.log(u / 2.0**53) / np.maximum(d, 1e-9), np.inf)
+                    i = int(np.lexsort((u, key))[0])
+                    best = min(best, (float(key[i]), raw[i]))
+            if best[1]:
+                yield pa.record_batch({"key": pa.array([best[0]]), "counts": pa.array([best[1]], pa.binary())})
+
+        odd = mix(np.arange(1, FEATURES + 1, dtype=np.uint64) * np.uint64(2 * len(centres) + 1)) | np.uint64(1)
+        found = min(((r["key"], bytes(r["counts"])) for r in table.mapInArrow(run, "key double, counts binary").filter("key < double('infinity')").collect()), default=None)  # a row a task
+        return points(np.frombuffer(found[1], "<u2").reshape(1, -1), weight) if found else None
+
+    centres = np.zeros((0, FEATURES))
+    while len(centres) < TOPICS:
+        one = far(centres)
+        if one is None:
+            break
+        centres = np.concatenate([centres, one])
+    for _ in range(TURNS):
+
+        def moved(c, n, sums, centres=centres):
+            x = points(c, weight)
+            near = nearest(x, centres)
+            whole = np.rint(x * 2.0**24).astype(np.int64)
+            for k in range(len(centres)):
+                n[k] += (near == k).sum()
+                sums[k] += whole[near == k].sum(0)
+
+        n, sums = summed(moved)
+        new = centres.copy()
+        new[n[: len(new)] > 0] = (sums / 2.0**24 / np.maximum(n, 1)[:, None])[: len(new)][n[: len(new)] > 0]
+        if np.array_equal(new, centres):
+            break
+        centres = new
+    return weight, centres
 
 
 def _measure(shared):

@@ -4,10 +4,11 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.llm import packing, sharding
+from fathomline.llm import mixing, packing, sharding
 
 
 def test_shards_of_rows_that_are_alike_in_all(spark):
@@ -103,3 +104,16 @@ def test_rows_carry_the_certificate(spark):
     r = out.first()
     assert r["n_sequences"] == out.select("sequence_id").distinct().count() >= r["lower_bound"] > 0
     assert packing.best_fit_packing(df.filter("false")).withColumn("x", F.lit(1)).count() == 0
+
+
+def test_topics_come_from_all_documents(spark):
+    words = [[f"w{k}x{i}" for i in range(12)] for k in range(3)]
+    texts = [" ".join(words[0][(i + j) % 12] for j in range(8)) for i in range(9000)] + [" ".join(words[1][(i + j) % 12] for j in range(8)) for i in range(3000)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    weight, centres = mixing.topics(df)
+    counts, _ = mixing.counts_of(pa.array(texts))
+    assert np.allclose(weight, np.log((1 + len(texts)) / (1 + (counts > 0).sum(0))) + 1e-3)
+    again = mixing.topics(df.repartition(7))
+    assert (again[0] == weight).all() and (again[1] == centres).all()
+    near = mixing.nearest(mixing.points(counts, weight), centres)
+    assert not set(near[:9000]) & set(near[9000:])
