@@ -180,6 +180,43 @@ def test_average_linkage_equals_one_pair_at_a_time(spark, seed):
         assert [min(got[k]) for k in sorted(got)] == sorted(min(v) for v in got.values())  # labels by smallest id
 
 
+@pytest.mark.parametrize("side", [16])
+def test_linkage_in_tiles_equals_that_of_pairs(spark, side):
+    from fathomline.operators import distance
+
+    r = np.random.default_rng(side)
+    rows = [(g, 1000 - 3 * i, [float(v) for v in x]) for g, n in ((1, 60), (2, 9), (3, 2), (4, 1), (5, 30)) for i, x in enumerate(np.rint(4 * r.normal(size=(n, 2))) if g == 5 else r.normal(size=(n, 3)))]
+    rows += [(6, i, [float(i * i)] if i < 5 else [float(i), 1.0]) for i in range(6)] + [(None, 1, [1.0]), (1, None, [1.0, 1.0, 1.0])]  # 6: unequal lengths
+    df = spark.createDataFrame(rows, "g int, id long, x array<double>").cache()
+    want = {tuple(x) for x in cluster.average_linkage(distance.within(df, "euclidean", "g"), 4, ["g"]).select("g", "id", "label").collect()}
+    got = [tuple(x) for x in cluster.linkage_of(df, 4, "g", side=side).collect()]
+    assert set(got) == want and len(got) == len(want) == 60 + 9 + 2 + 30 + 6
+
+
+def test_the_query_of_linkage_makes_no_rows_of_pairs(monkeypatch):
+    from fathomline.operators import distance
+    from fathomline.plans.registry import QUERIES
+
+    asked = []
+    monkeypatch.setattr(distance, "within", lambda *a, **k: asked.append("pairs"))
+    monkeypatch.setattr(cluster, "average_linkage", lambda *a, **k: asked.append("rows"))
+    monkeypatch.setattr(cluster, "linkage_of", lambda *a, **k: asked.append("tiles"))
+
+    class Spark:
+        class read:
+            parquet = staticmethod(lambda path: Rows())
+
+    class Rows:
+        select = withColumnRenamed = lambda self, *a: self
+
+    import fathomline.plans as plans
+
+    plans.queries()
+    monkeypatch.setattr("fathomline.sources.testdata.vectors", lambda t: Rows())
+    QUERIES["clu_10_average_linkage"](Spark, "x")
+    assert asked == ["tiles"]
+
+
 def test_components_of_long_chains(spark):
     r = random.Random(2)
     names = list(range(300))
