@@ -71,6 +71,18 @@ def test_states_are_bounded(monkeypatch):
     assert len(kept) == 200 and abs(np.mean(kept) - 10000) < 1500  # of all, not of the last or first
 
 
+def test_fits_grow_with_the_logarithm_of_the_peaks(monkeypatch):
+    monkeypatch.setattr(spot, "MOST_PEAKS", 50)
+    fits, means, fit, view = [], [], spot.gpd_fit, np.lib.stride_tricks.sliding_window_view
+    monkeypatch.setattr(spot, "gpd_fit", lambda y: fits.append(1) or fit(y))
+    monkeypatch.setattr(np.lib.stride_tricks, "sliding_window_view", lambda *a, **k: means.append(1) or view(*a, **k))
+    x = np.random.default_rng(5).normal(size=30000)
+    s = spot.Spot(1e-3, 0.95, depth=10).calibrate(x[:500])
+    flags, _, _ = s.steps(x[500:])
+    assert s.up.seen > 1000 and len(fits) < 50 * (2 + np.log(s.up.seen / 50)) < s.up.seen / 3
+    assert len(means) <= flags.sum() + 10  # moving means are taken anew after an alarm, not after each peak
+
+
 @pytest.mark.parametrize("depth", [0, 10])
 def test_a_stream_in_pieces_gives_what_one_run_gives(spark, tmp_path, depth):
     x = values(4)
