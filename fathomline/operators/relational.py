@@ -35,6 +35,31 @@ def range_join(left: DataFrame, right: DataFrame, before: int, after: int, lts:
     return a.join(b, "_cell").filter(F.col(rts).between(F.col(lts) - before, F.col(lts) + after)).drop("_cell")
 
 
+def range_counts(left: DataFrame, right: DataFrame, before: int, after: int, lts: str, rts: str, by: str, first: str) -> DataFrame:
+    """JN-05, counted: left's columns, by, n and first (the least time) of the right rows within [t - before, t + after] of each left row; no pairs.
+
+    Times are whole numbers. Equal times of either side are one row; windows are split at cells as long as they are, so the part in each cell is a difference of
+    running counts from its first or to its last row, and a window's first row is in its first cell that has one. Work grows with
+    the rows of both sides, each `by` of right being met by each time of left.
+    """
+    cell = max(1, before + after)
+    kinds = right.filter(F.col(rts).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(rts).alias("_at")).agg(F.count("*").alias("_n"))
+    times = left.filter(F.col(lts).isNotNull()).select(F.col(lts).alias("_t")).distinct().crossJoin(F.broadcast(kinds.select("_by").distinct()))  # a row for each kind
+    lo, hi = F.col("_t") - before, F.col("_t") + after
+    parts = times.withColumn("_cell", F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell))))
+    parts = parts.select("_by", "_cell", "_t", F.greatest(lo, F.col("_cell") * cell).alias("_lo"), F.least(hi, (F.col("_cell") + 1) * cell - 1).alias("_hi"))
+    ends = parts.select("_by", "_cell", "_t", F.explode(F.array(F.struct(F.col("_lo").alias("_at"), F.lit(-1).alias("_end")), F.struct(F.col("_hi").alias("_at"), F.lit(1).alias("_end")))).alias("_x"))
+    ends = ends.select("_by", "_cell", "_t", "_x._at", "_x._end", F.lit(None).cast("long").alias("_n"))
+    rows = kinds.select("_by", F.floor(F.col("_at") / cell).alias("_cell"), F.lit(None).cast("long").alias("_t"), "_at", F.lit(0).alias("_end"), "_n").unionByName(ends)
+    w = Window.partitionBy("_by", "_cell").orderBy("_at", "_end")  # the beginning of a window before the rows of its time, its end after them
+    back = Window.partitionBy("_by", "_cell").orderBy(F.desc("_at"), F.desc("_end"))  # a frame that only grows, as one that shrinks is read anew for each row
+    seen = rows.withColumn("_run", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    seen = seen.withColumn("_next", F.min(F.when(F.col("_end") == 0, F.col("_at"))).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    part = seen.filter("_end <> 0").groupBy("_by", "_t", "_cell").agg(F.sum(F.col("_end") * F.col("_run")).alias("n"), F.min(F.when(F.col("_end") == -1, F.col("_next"))).alias("_first"))
+    found = part.filter("n > 0").groupBy("_by", "_t").agg(F.sum("n").alias("n"), F.min("_first").alias(first))
+    return left.join(found.withColumnRenamed("_t", lts).withColumnRenamed("_by", by), lts)
+
+
 def nearest_clean_slot(faults: DataFrame, clean: DataFrame, by: list[str]) -> DataFrame:
     """JN-06: for each fault the clean slot of its component that is nearest to its own, the earlier of equals; faults without one are left out.
 

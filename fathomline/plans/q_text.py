@@ -187,10 +187,10 @@ def _(t):
 
 @query("snk_12_around_faults", "SELECT fault_id, type, count(*) AS n, min(a.ts) AS first_ts FROM faults f JOIN anomalies a ON a.ts BETWEEN f.ts - 3600 AND f.ts + 18000 GROUP BY ALL", "faults anomalies")
 def _(t):
-    from ..operators.relational import range_join
+    from ..operators.relational import range_counts
 
     a = t.anomalies.select("type", F.col("ts").alias("at"))
-    return range_join(t.faults.select("fault_id", "ts"), a, 3600, 18000, "ts", "at").groupBy("fault_id", "type").agg(F.count("*").alias("n"), F.min("at").alias("first_ts"))
+    return range_counts(t.faults.select("fault_id", "ts"), a, 3600, 18000, "ts", "at", "type", "first_ts").groupBy("fault_id", "type").agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"))
 
 
 @query("ext_08_prompt", "SELECT cluster_id, string_agg('- ' || id || ': ' || anomalies || ' anomalies, first ' || first_ts, chr(10) ORDER BY anomalies DESC, id) AS prompt FROM kgf GROUP BY 1", "kgf")
