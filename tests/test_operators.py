@@ -188,6 +188,20 @@ def test_query_store_over_midnight(spark, tmp_path):
     assert "PartitionFilters: [" in got._jdf.queryExecution().toString()
 
 
+def test_folders_by_machine_take_one_file_each_and_few_listing_tasks(spark, tmp_path):
+    where, key = tmp_path / "out", "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    was, jobs = spark.conf.get(key), spark.sparkContext.statusTracker()
+    df = spark.range(90).select(F.concat(F.lit("machine-"), F.col("id") % 3, F.lit("-"), "id").alias("machine"), F.when(F.col("id") == 7, "1,2\n\n3,4").otherwise("1,2\n3,4\n5,6").alias("value"))
+    sinks.write_text(df, f"file://{where}", by=["machine"])
+    assert len(list(where.glob("machine=*/part-*"))) == 90 and not list(where.rglob("*.crc"))
+    spark.sparkContext.setJobGroup("listing", "listing")
+    got = readers.matrix_text(spark, f"file://{where}")
+    found = [jobs.getStageInfo(x).numTasks for j in jobs.getJobIdsForGroup("listing") for x in jobs.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found and max(found) <= readers.LISTERS < 90 and spark.conf.get(key) == was
+    assert got.count() == 180 and {tuple(r["values"]) for r in got.filter("idx = 1").collect()} == {(3.0, 4.0)}
+
+
 def test_matrix_text_is_cut_and_sorted(spark, tmp_path):
     (tmp_path / "machine-1-2.txt").write_text("1,2\n3,4\n5,6\n")
     (tmp_path / "machine-1-10.txt").write_text("7,8\n9,10\n")
