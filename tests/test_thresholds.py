@@ -138,3 +138,36 @@ def test_stream_clusters_equal_the_tables(spark, tmp_path):
     mark = int(at.max()) - 600_000
     sure = {x[1] for x in rows if x[2] + 40_000 < mark}
     assert sure <= set(out) and all(want[i] == c for i, c in out.items()) and max(out.values()) > 3
+
+
+def test_stream_clusters_hold_few_bytes_an_event(spark):
+    """A stream's first batch waits in the state as a whole; the next one hands it on."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from fathomline.streaming.clusters import clusters
+    from pyspark.sql.types import StructType
+
+    class Stream:  # hands over the function of a group
+        schema = StructType().add("k", "string")
+        withWatermark = select = filter = groupBy = lambda self, *a: self
+        applyInPandasWithState = lambda self, run, *a: run
+
+    class State:
+        exists, hasTimedOut, mark, get = False, False, 0, None
+        getCurrentWatermarkMs = lambda self: self.mark
+        setTimeoutTimestamp = lambda self, at: None
+
+        def update(self, row):
+            self.exists, self.get = True, row
+
+    n, state, run = 200_000, State(), clusters(Stream(), "k", 1000, 3, "10 minutes")
+    batches = (pd.DataFrame({"id": np.arange(k, k + 10_000), "at": np.arange(k, k + 10_000) * 7919 % n * 100}) for k in range(0, n, 10_000))
+    tracemalloc.start()
+    assert list(run(("a",), batches, state)) == []
+    state.hasTimedOut, state.mark = True, n * 100 + 10_000
+    seen = sum(len(part) for part in run(("a",), iter(()), state))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == n and peak < 150 * n, peak / n
