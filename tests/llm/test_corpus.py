@@ -111,6 +111,18 @@ def test_induced_sorting_and_prefixes():
             assert lcp[a] == n
 
 
+def test_near_copies_are_sorted_in_few_steps(monkeypatch):
+    r = np.random.default_rng(1)
+    texts = r.integers(2, 40, (60, 500))
+    copies = np.repeat(texts, 5, 0)
+    copies[np.arange(len(copies)), r.integers(0, 500, len(copies))] = 41  # each is edited in one place
+    t = np.append(np.hstack([copies, np.ones((len(copies), 1), int)]).ravel(), 0)
+    steps, put = [], suffixes._scatter
+    monkeypatch.setattr(suffixes, "_scatter", lambda *a: (steps.append(1), put(*a)))
+    assert (suffixes.suffix_array(t) == doubled(t)).all()
+    assert len(steps) < 1000
+
+
 # --- 2 -------------------------------------------------------------------------------------------------------------
 
 URLS = [
