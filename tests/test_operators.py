@@ -88,6 +88,15 @@ def test_range_join_is_inclusive(spark):
     assert sorted(r["at"] for r in relational.range_join(f, a, 60, 300, "ts", "at").collect()) == [940, 1000, 1300]
 
 
+def test_range_join_is_dealt_to_many_tasks(spark):
+    f = spark.range(40).selectExpr("id as fault", "1000 + id * 50 as ts").coalesce(1)
+    a = spark.range(3000).selectExpr("id as event", "if(id < 1500, 1500, id) as at").coalesce(1)  # one second holds half of them
+    got = relational.range_join(f, a, 60, 300, "ts", "at")
+    want = sorted((f, e) for f in range(40) for e in range(3000) if 1000 + f * 50 - 60 <= (1500 if e < 1500 else e) <= 1000 + f * 50 + 300)
+    assert sorted((r["fault"], r["event"]) for r in got.select("fault", "event").collect()) == want
+    assert got.groupBy(F.spark_partition_id()).count().count() > 1
+
+
 def test_range_counts_equal_the_join_and_make_no_pairs(spark):
     r = np.random.default_rng(3)
     f = spark.createDataFrame([(i, int(v)) for i, v in enumerate(r.integers(-500, 3000, 200))] + [(200, None), (201, 9000), (202, 7), (202, 7)], "id int, ts long")
