@@ -123,9 +123,7 @@ def _(t):
 
 @query("fn_19_array_functions", "SELECT id, x[3:6] AS part, round(sqrt(list_sum(list_transform(x, lambda v: v * v))), 6) AS norm, round(list_sum(list_transform(list_zip(x, list_reverse(x)), lambda z: z[1] * z[2])), 6) AS dot, CAST(list_position(x, list_max(x)) - 1 AS INTEGER) AS top FROM vectors", "vectors")
 def _(t):
-    from ..operators.distance import dot
-
-    return t.vectors.select("id", F.slice("x", 3, 4).alias("part"), T.rounded(T.array_norm(F.col("x")), 6).alias("norm"), T.rounded(dot(F.col("x"), F.reverse("x")), 6).alias("dot"), T.arg_max(F.col("x")).alias("top"))
+    return t.vectors.select("id", F.slice("x", 3, 4).alias("part"), T.rounded(T.array_norm(F.col("x")), 6).alias("norm"), T.rounded(T.array_dot(F.col("x"), F.reverse("x")), 6).alias("dot"), T.arg_max(F.col("x")).alias("top"))
 
 
 @query("fn_20_map_default", "SELECT s_suppkey, CASE s_nationkey WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'none' END AS name FROM supplier")
